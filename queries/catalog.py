@@ -31,7 +31,7 @@ from wellspark.sources import annotations as ann_source
 from wellspark.sources import payload as payload_source
 from wellspark.sources import sinks
 from wellspark.sources import telemetry as tele_source
-from wellspark.staging import fits_one_task, new_path, prepare, stage
+from wellspark.staging import new_path, prepare, stage
 from wellspark.streaming.detector import detect_stream
 from wellspark.streaming.resample import resample_stream
 
@@ -749,7 +749,7 @@ _STATS_SQL = (
 @query("D12_interval_stats", _STATS_SQL, "interval_stats")
 def _(spark, d):
     run = reference(spark, d)
-    return rounded(summaries.interval_stats(run.base, run.features, run.intervals, small=fits_one_task(run.base)))
+    return rounded(summaries.interval_stats(run.base, run.features, run.intervals, small=run.small))
 
 
 @query("D13_label_summary", _SUMMARY_SQL, "stats_long")

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wellspark.functions.scalar import bin_center, freq_bin
 from wellspark.operators.intervals import bucketed_coverage, weigh_points
 from wellspark.operators.quantiles import exact_quantiles
 from wellspark.schema import FREQUENCY, MODELLED, BaselineSettings
-from wellspark.staging import fits_one_task, stage
+from wellspark.staging import stage
 
 _SIGMA = 1.4826
 _TINY = 1e-6
@@ -31,27 +32,39 @@ def median_and_spread(
     rows: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, small: bool = False
 ) -> DataFrame:
     """``(keys, n, median, spread)``: exact median and median absolute deviation per key."""
-    medians = exact_quantiles(rows, keys, value, {"median": 0.5}, weight, small)
-    if not small:
-        medians = stage(medians, "medians")
+    if small:
+        counted = F.col(weight) if weight else F.lit(1)
+        centred = rows.withColumn("median", F.percentile(value, F.lit(0.5), counted).over(Window.partitionBy(*keys)))
+        return centred.groupBy(*keys).agg(
+            F.sum(counted.cast("bigint")).alias("n"),
+            F.first("median").alias("median"),
+            F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5), counted).alias("spread"),
+        )
+    medians = stage(exact_quantiles(rows, keys, value, {"median": 0.5}, weight), "medians")
     away = rows.join(medians.select(*keys, "median"), list(keys)).withColumn("_away", F.abs(F.col(value) - F.col("median")))
-    spreads = exact_quantiles(away, keys, "_away", {"spread": 0.5}, weight, small).drop("n")
+    spreads = exact_quantiles(away, keys, "_away", {"spread": 0.5}, weight).drop("n")
     return medians.join(spreads, list(keys))
 
 
-def build_baseline(base: DataFrame, normal: DataFrame, cfg: BaselineSettings = BaselineSettings()) -> DataFrame:
+def build_baseline(
+    base: DataFrame, normal: DataFrame, cfg: BaselineSettings = BaselineSettings(), small: bool = False
+) -> DataFrame:
     """Robust centre and spread per (metric, frequency bin) over the normal intervals.
 
     A grid point counts once for each interval that holds it. Bins with fewer than
     ``min_points`` points are left out; without a bin width the baseline is empty.
     """
     width = cfg.bin_width if cfg.enabled else 0
-    segments = stage(bucketed_coverage(normal), "normal-segments")
+    segments = bucketed_coverage(normal, small=small)
+    if not small:
+        segments = stage(segments, "normal-segments")
     inside = weigh_points(base.where(F.col(FREQUENCY).isNotNull() & F.lit(width > 0)), segments)
     inside = inside.withColumn("bin_index", freq_bin(FREQUENCY, width or 1.0)).where(F.col("bin_index").isNotNull())
-    points = stage(unpivot(inside, ["bin_index", "weight"], cfg.metrics), "baseline-points")
+    points = unpivot(inside, ["bin_index", "weight"], cfg.metrics)
+    if not small:
+        points = stage(points, "baseline-points")
     keys = ["metric", "bin_index"]
-    stats = median_and_spread(points, keys, "value", "weight", fits_one_task(points)).where(F.col("n") >= cfg.min_points)
+    stats = median_and_spread(points, keys, "value", "weight", small).where(F.col("n") >= cfg.min_points)
     mad = F.col("spread") * _SIGMA
     return stats.select(
         "metric",
@@ -72,13 +85,14 @@ def baseline_by_bin(baseline: DataFrame, metrics: Sequence[str] = tuple(MODELLED
     return baseline.groupBy("bin_index").agg(*columns)
 
 
-def scale_profile(base: DataFrame, baseline: DataFrame, width: float, metrics: Sequence[str] = tuple(MODELLED)) -> DataFrame:
+def scale_profile(
+    base: DataFrame, baseline: DataFrame, width: float, metrics: Sequence[str] = tuple(MODELLED), small: bool = False
+) -> DataFrame:
     """Scale to use where a well's metric has no bin: ``(well, metric, fallback, fill)``.
 
     Rows exist only where the baseline applies: the well reports a frequency and the
     metric, and the metric has at least one bin.
     """
-    small = fits_one_task(base)
     values = unpivot(base, ["well"], metrics)
     spread = median_and_spread(values, ["well", "metric"], "value", small=small).select("well", "metric", "spread")
     deviation = values.groupBy("well", "metric").agg(F.stddev_pop("value").alias("deviation"))

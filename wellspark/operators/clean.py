@@ -11,7 +11,7 @@ from pyspark.sql.window import Window, WindowSpec
 from wellspark.operators.ordering import own_rows, sampling_gaps, with_halo
 from wellspark.operators.quantiles import exact_quantiles
 from wellspark.schema import DAY, METRICS, PRESSURE, CleanSettings
-from wellspark.staging import fits_one_task, stage
+from wellspark.staging import stage
 
 MAX_FRAMES = 4  # distinct frame sizes up to which literal frames are used
 _SIGMA = 1.4826  # scales a median absolute deviation to a standard deviation
@@ -31,10 +31,10 @@ def whole_points(minutes: float, step) -> Column:
     return F.bround(F.lit(float(minutes)) * 60.0 / F.col(step)).cast("int")
 
 
-def clean_params(base: DataFrame, cfg: CleanSettings) -> DataFrame:
+def clean_params(base: DataFrame, cfg: CleanSettings, small: bool = False) -> DataFrame:
     """Per well: half-width of the outlier frame and fill limit in rows: ``(well, half, fill)``."""
     wells = base.groupBy("well").agg(F.count("*").alias("_rows"))
-    known = sampling_step(base, ["well"], small=fits_one_task(base))
+    known = sampling_step(base, ["well"], small=small)
     steps = wells.join(known, "well", "left").withColumn("step", F.coalesce("step", F.lit(60.0)))
     points = F.greatest(whole_points(cfg.hampel_minutes, "step"), F.lit(3))
     half = F.floor(points / 2).cast("int")  # an even count is widened to the next odd one
@@ -78,7 +78,7 @@ def _centred_median(x: str, order: WindowSpec, halves: list[int] | None, widest:
 
 
 def clean(
-    base: DataFrame, cfg: CleanSettings = CleanSettings(), metrics: Sequence[str] = METRICS, params: DataFrame | None = None
+    base: DataFrame, cfg: CleanSettings = CleanSettings(), metrics: Sequence[str] = METRICS, small: bool = False
 ) -> DataFrame:
     """Outliers nulled, then short gaps filled forward; adds ``<m>_outlier`` and ``<m>_filled`` flags.
 
@@ -88,15 +88,19 @@ def clean(
     if not cfg.active:
         flags = [F.lit(False).alias(f"{m}_{kind}") for m in metrics for kind in ("outlier", "filled")]
         return base.select("*", *flags)
-    params = stage(clean_params(base, cfg), "clean-params") if params is None else params
+    params = clean_params(base, cfg, small)
     sizes = frame_choices(params, ["half", "fill"])
+    if sizes is None or len(sizes) > 1:
+        params = stage(params, "clean-params")
     if sizes is None:
         widest, longest = params.agg(F.max("half"), F.max("fill")).first()
     else:
         widest, longest = (max((s[i] for s in sizes), default=1) for i in (0, 1))
     columns = base.columns
     order = Window.partitionBy("well", "_block").orderBy("pos")
-    rows = with_halo(base.join(params, "well"), back=2 * widest + longest, ahead=2 * widest)
+    alike = sizes is not None and len(sizes) == 1
+    sized = base if alike else base.join(params, "well")
+    rows = with_halo(sized, back=2 * widest + longest, ahead=2 * widest)
     half_sizes, fill_sizes = (None if sizes is None else sorted({s[i] for s in sizes} or {1}) for i in (0, 1))
 
     for m in metrics:

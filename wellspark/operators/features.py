@@ -13,7 +13,7 @@ from wellspark.operators.baseline import baseline_by_bin, scale_profile, unpivot
 from wellspark.operators.clean import MAX_FRAMES, sampling_step, whole_points
 from wellspark.operators.ordering import neighbours, own_rows, with_halo
 from wellspark.schema import FREQUENCY, MODELLED, BaselineSettings, FeatureSettings
-from wellspark.staging import fits_one_task, stage
+from wellspark.staging import stage
 
 FEATURES = (
     "pressure_delta", "pressure_slope", "current_delta", "temperature_delta",
@@ -24,9 +24,11 @@ FEATURES = (
 )
 
 
-def window_params(base: DataFrame, cfg: FeatureSettings, metrics: Sequence[str] = tuple(MODELLED)) -> DataFrame:
+def window_params(
+    base: DataFrame, cfg: FeatureSettings, metrics: Sequence[str] = tuple(MODELLED), small: bool = False
+) -> DataFrame:
     """Rows per window, shift and minimum count of every (well, metric): ``(well, metric, w, s, mp)``."""
-    steps = sampling_step(unpivot(base, ["well", "ts"], metrics), ["well", "metric"], small=fits_one_task(base))
+    steps = sampling_step(unpivot(base, ["well", "ts"], metrics), ["well", "metric"], small=small)
     fraction = min(1.0, cfg.min_samples / max(1, cfg.window_minutes))
     w = F.greatest(whole_points(cfg.window_minutes, "step"), F.lit(1))
     needed = F.least(w, F.ceil(w * F.lit(fraction)).cast("int"))
@@ -40,15 +42,15 @@ def window_params(base: DataFrame, cfg: FeatureSettings, metrics: Sequence[str]
 
 
 def well_profile(
-    base: DataFrame, baseline: DataFrame | None, cfg: FeatureSettings, bcfg: BaselineSettings
+    base: DataFrame, baseline: DataFrame | None, cfg: FeatureSettings, bcfg: BaselineSettings, small: bool = False
 ) -> DataFrame:
     """One row per well with every per-(well, metric) constant the features need, prefixed by feature name."""
     keys = ["well", "metric"]
-    rows = window_params(base, cfg)
+    rows = window_params(base, cfg, small=small)
     if baseline is None:
         rows = rows.withColumns({"fallback": F.lit(None).cast("double"), "fill": F.lit(None).cast("double")})
     else:
-        rows = rows.join(scale_profile(base, baseline, bcfg.bin_width), keys, "full")
+        rows = rows.join(scale_profile(base, baseline, bcfg.bin_width, small=small), keys, "full")
     columns = []
     for metric, name in MODELLED.items():
         own = F.col("metric") == metric
@@ -176,10 +178,10 @@ def feature_frame(
     baseline: DataFrame | None,
     cfg: FeatureSettings = FeatureSettings(),
     bcfg: BaselineSettings = BaselineSettings(),
-    profile: DataFrame | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """``(well, ts, pos, <20 features>)`` of every grid row; ``base`` and ``baseline`` should be staged."""
-    profile = stage(well_profile(base, baseline, cfg, bcfg), "profile") if profile is None else profile
+    profile = stage(well_profile(base, baseline, cfg, bcfg, small), "profile")
     residuals = apply_baseline(base, baseline, profile, bcfg.bin_width)
-    rows = rolling_features(residuals, profile, small=fits_one_task(base))
+    rows = rolling_features(residuals, profile, small=small)
     return rows.select("well", "ts", "pos", *FEATURES)

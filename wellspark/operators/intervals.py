@@ -79,11 +79,16 @@ def train_or_all(intervals: DataFrame, holdout: Sequence[str], by: Sequence[str]
     return marked.join(some, list(by)).where(F.col("_train") | ~F.col("_some")).drop("_train", "_some")
 
 
-def coverage(intervals: DataFrame) -> DataFrame:
+def coverage(intervals: DataFrame, small: bool = False) -> DataFrame:
     """Disjoint segments with the number of intervals over each: ``(well, seg_start, seg_end, weight)`` in microseconds."""
     starts = intervals.select("well", micros("start_ts").alias("us"), F.lit(1).alias("d"))
     ends = intervals.select("well", (micros("end_ts") + 1).alias("us"), F.lit(-1).alias("d"))
     marks = starts.unionByName(ends).groupBy("well", "us").agg(F.sum("d").alias("d"))
+    if small:
+        order = Window.partitionBy("well").orderBy("us")
+        depth = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("weight")
+        swept = marks.select("well", F.col("us").alias("seg_start"), (F.lead("us").over(order) - 1).alias("seg_end"), depth)
+        return swept.where(F.col("weight") > 0)
     marks = marks.withColumn("_slice", floor_div("us", _SWEEP_US))
     inside = Window.partitionBy("well", "_slice").orderBy("us")
     across = Window.partitionBy("well").orderBy("_slice")
@@ -120,8 +125,9 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(floor_div(start, width), floor_div(end, width)))
 
 
-def bucketed_coverage(intervals: DataFrame, width: int = BUCKET_US) -> DataFrame:
-    segments = coverage(intervals)
+def bucketed_coverage(intervals: DataFrame, width: int = BUCKET_US, small: bool = False) -> DataFrame:
+    """Coverage cut along time buckets, the right side of :func:`weigh_points`."""
+    segments = coverage(intervals, small)
     return segments.select("*", _buckets(F.col("seg_start"), F.col("seg_end"), width).alias("_bucket"))
 
 
@@ -140,9 +146,9 @@ def weigh_points(points: DataFrame, segments: DataFrame, how: str = "inner", wid
     return joined.drop("_bucket", "_us", "_well", "_seg_bucket", "seg_start", "seg_end")
 
 
-def mark_normal(points: DataFrame, normal: DataFrame, out: str = "in_normal") -> DataFrame:
+def mark_normal(points: DataFrame, normal: DataFrame, out: str = "in_normal", small: bool = False) -> DataFrame:
     """Adds whether a point lies in any of the intervals of its well."""
-    marked = weigh_points(points, bucketed_coverage(normal), "left")
+    marked = weigh_points(points, bucketed_coverage(normal, small=small), "left")
     return marked.withColumn(out, F.col("weight").isNotNull()).drop("weight")
 
 
@@ -175,12 +181,14 @@ def uncovered(refs: DataFrame, points: DataFrame, width: int = BUCKET_US) -> Dat
     return refs.join(hit.select("interval_id").distinct(), "interval_id", "left_anti")
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, left_id: str, width: int = _SWEEP_US) -> DataFrame:
+def asof_nearest(
+    left: DataFrame, right: DataFrame, left_id: str, width: int = _SWEEP_US, small: bool = False
+) -> DataFrame:
     """For each left row ``(well, <left_id>, ts)`` the nearest right time of its well, later on ties: adds ``near_ts``."""
     seekers = left.select("well", "ts", F.lit(1).alias("_seeks"), F.col(left_id).alias("_id"))
     found = right.select("well", "ts", F.lit(0).alias("_seeks"), F.col("ts").alias("_at"))
     both = seekers.unionByName(found, allowMissingColumns=True).withColumn("_slice", time_slice("ts", width))
-    around = neighbours(both, ["well"], "_slice", ["ts", "_seeks"], ["_at"])
+    around = neighbours(both, ["well"], "_slice", ["ts", "_seeks"], ["_at"], small)
     back = micros("ts") - micros("_at_prev")
     ahead = micros("_at_next") - micros("ts")
     near = F.when(F.col("_at_prev").isNull() | (ahead <= back), F.col("_at_next")).otherwise(F.col("_at_prev"))

@@ -49,8 +49,12 @@ def bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def cumulative_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def cumulative_counts(counts: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
     """Adds to each distinct value ``_upto`` (rows at or below it) and ``_n`` (rows of the key)."""
+    if small:
+        whole = Window.partitionBy(*keys)
+        running = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({"_upto": F.sum("_c").over(running), "_n": F.sum("_c").over(whole)})
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     joined = counts.join(bin_offsets(counts, keys), [*keys, "_bin"])
     return joined.withColumn("_upto", F.sum("_c").over(inside) + F.col("_below")).drop("_in", "_below")

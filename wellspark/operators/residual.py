@@ -16,7 +16,7 @@ from wellspark.operators.intervals import bucketed_coverage, weigh_points
 from wellspark.operators.ordering import BLOCK_ROWS, number_rows
 from wellspark.operators.quantiles import exact_quantiles
 from wellspark.schema import MODELLED, ResidualSettings
-from wellspark.staging import fits_one_task, stage
+from wellspark.staging import stage
 
 # fixed values: chi-square quantiles at 0.5 and 0.975 for 1, 2 and 3 dimensions
 CHI2_MEDIAN = (0.454936423119573, 1.386294361119891, 2.365973884375338)
@@ -67,13 +67,15 @@ def _usable(cov: np.ndarray) -> bool:
     return bool(np.isfinite(cov).all()) and np.linalg.det(cov) > 1e-12
 
 
-def normal_scores(features: DataFrame, normal: DataFrame) -> DataFrame:
+def normal_scores(features: DataFrame, normal: DataFrame, small: bool = False) -> DataFrame:
     """z-scores inside the normal intervals with the number of intervals over each point."""
     columns = [f"{n}_z" for n in MODELLED.values()]
-    return weigh_points(features.select("well", "ts", *columns), bucketed_coverage(normal)).select(*columns, "weight")
+    return weigh_points(features.select("well", "ts", *columns), bucketed_coverage(normal, small=small)).select(*columns, "weight")
 
 
-def fit_residual_model(features: DataFrame, normal: DataFrame, cfg: ResidualSettings = ResidualSettings()) -> ResidualModel | None:
+def fit_residual_model(
+    features: DataFrame, normal: DataFrame, cfg: ResidualSettings = ResidualSettings(), small: bool = False
+) -> ResidualModel | None:
     """Minimum-covariance-determinant fit from a deterministic robust start.
 
     Concentration steps keep the ``h`` closest points and refit, until the determinant
@@ -82,18 +84,25 @@ def fit_residual_model(features: DataFrame, normal: DataFrame, cfg: ResidualSett
     """
     if not cfg.enabled:
         return None
-    pool = stage(normal_scores(features, normal), "z-pool")
+    pool = stage(normal_scores(features, normal, small), "z-pool")
     names = list(MODELLED.values())
-    counts = pool.agg(*[F.sum(F.when(F.col(f"{n}_z").isNotNull(), F.col("weight"))).alias(n) for n in names]).first()
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(f"{n}_z").isNotNull()
+    counts = pool.agg(
+        *[F.sum(F.when(F.col(f"{n}_z").isNotNull(), F.col("weight"))).alias(n) for n in names],
+        F.sum(F.when(whole, F.col("weight"))).alias("whole"),
+    ).first()
     active = tuple(n for n in names if (counts[n] or 0) >= cfg.min_points)
     if not active:
         return None
     columns = [f"{n}_z" for n in active]
     points = pool.dropna(subset=columns)
-    n = points.agg(F.sum("weight")).first()[0] or 0
+    every = active == tuple(names)
+    n = (counts["whole"] if every else points.agg(F.sum("weight")).first()[0]) or 0
     if n < cfg.min_points:
         return None
-    p, small = len(columns), fits_one_task(pool)
+    p = len(columns)
     h = math.ceil(0.5 * (n + p + 1))
 
     start = median_and_spread(unpivot(points, ["weight"], columns), ["metric"], "value", "weight", small)

@@ -15,19 +15,19 @@ from wellspark.operators.residual import ResidualModel, fit_residual_model
 from wellspark.operators.summaries import training_summary
 from wellspark.operators.thresholds import group_thresholds, well_rules
 from wellspark.plans.prepare import Prepared
-from wellspark.staging import stage
+from wellspark.staging import stage, together
 
 
 @dataclass
 class Detection(Prepared):
     @cached_property
     def model(self) -> ResidualModel | None:
-        return fit_residual_model(self.features, self.train_normals, self.cfg.residual)
+        return fit_residual_model(self.features, self.train_normals, self.cfg.residual, self.few)
 
     @cached_property
     def thresholds(self) -> DataFrame:
         pool = train_or_all(self.normals, self.cfg.holdout)
-        return stage(group_thresholds(self.features, self.intervals, pool, self.cfg), "thresholds")
+        return stage(group_thresholds(self.features, self.intervals, pool, self.cfg, self.few), "thresholds")
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -39,15 +39,18 @@ class Detection(Prepared):
 
     @cached_property
     def scored(self) -> DataFrame:
-        return stage(score_points(self.features, self.rules, self.model, self.normals, self.cfg), "scored")
+        _ = self.features
+        together(lambda: self.model, lambda: self.rules, lambda: self.references)
+        return stage(score_points(self.features, self.rules, self.model, self.normals, self.cfg, self.few), "scored")
 
     @cached_property
     def events(self) -> DataFrame:
-        return stage(event_starts(self.scored, self.cfg.gap_minutes), "events")
+        return stage(event_starts(self.scored, self.cfg.gap_minutes, self.small), "events")
 
     @cached_property
     def matches(self) -> DataFrame:
-        return stage(match_references(self.events, self.references, self.scored, self.rules, self.cfg), "matches")
+        found = match_references(self.events, self.references, self.scored, self.rules, self.cfg, self.few)
+        return stage(found, "matches")
 
     @property
     def records(self) -> DataFrame:

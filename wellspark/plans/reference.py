@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from wellspark.operators.summaries import interval_stats, label_summary
 from wellspark.plans.prepare import Prepared
-from wellspark.staging import fits_one_task, stage
+from wellspark.staging import stage
 
 
 @dataclass
@@ -22,10 +22,9 @@ class ReferenceAnalysis(Prepared):
 
     @cached_property
     def stats(self) -> DataFrame:
-        small = fits_one_task(self.base)
-        rows = interval_stats(self.base, self.features, self.intervals, self.cfg.directions, small)
+        rows = interval_stats(self.base, self.features, self.intervals, self.cfg.directions, self.small)
         return stage(rows, "interval-stats")
 
     @property
     def summary(self) -> DataFrame:
-        return label_summary(self.stats, self.cfg.percentiles, fits_one_task(self.stats))
+        return label_summary(self.stats, self.cfg.percentiles, self.few)

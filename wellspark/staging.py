@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Up to this many rows in a whole table, a group of them may be buffered by one task.
@@ -48,6 +51,12 @@ def fits_one_task(staged: DataFrame) -> bool:
     return staged.count() <= SMALL_ROWS
 
 
+def together(*steps: Callable[[], object]) -> list:
+    """Runs independent steps at the same time, so their jobs share the cluster."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on: wall-clock timestamps are read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
