@@ -9,7 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from queries.catalog import QUERIES, forget
-from wellspark.staging import prepare
+from wellspark.staging import prepare, release
 
 HEADLINE = (
     "G10_detect",
@@ -57,6 +57,7 @@ def main() -> None:
     total = round(sum(seconds.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "total_query_time", "value": total, "unit": "sec", "queries": seconds, "sf": sf, "cpus": cpus}))
+    release(spark)
     spark.stop()
 
 

@@ -541,7 +541,7 @@ def _(spark, d):
 @query("J3_baseline_lookup", f"SELECT well, ts, {S.r6(*[f'{n}_expected' for n in S.NAMES])} FROM applied", "applied")
 def _(spark, d):
     run = detection(spark, d)
-    profile = features.well_profile(run.base, run.baseline, run.cfg.features, run.cfg.baseline)
+    profile = stage(features.well_profile(run.base, run.baseline, run.cfg.features, run.cfg.baseline), "profile")
     rows = features.apply_baseline(run.base, run.baseline, profile, run.cfg.baseline.bin_width)
     return rounded(rows.select("well", "ts", *[f"{n}_expected" for n in S.NAMES]))
 
@@ -749,7 +749,7 @@ _STATS_SQL = (
 @query("D12_interval_stats", _STATS_SQL, "interval_stats")
 def _(spark, d):
     run = reference(spark, d)
-    return rounded(summaries.interval_stats(run.base, run.features, run.intervals, small=run.small))
+    return rounded(summaries.interval_stats(run.features, run.intervals))
 
 
 @query("D13_label_summary", _SUMMARY_SQL, "stats_long")
@@ -894,7 +894,7 @@ _APPLIED = [f"{n}_{c}" for n in S.NAMES for c in ("expected", "residual", "scale
 @query("F2_apply_baseline", f"SELECT well, ts, {S.r6(*_APPLIED)} FROM applied", "applied")
 def _(spark, d):
     run = detection(spark, d)
-    profile = features.well_profile(run.base, run.baseline, run.cfg.features, run.cfg.baseline)
+    profile = stage(features.well_profile(run.base, run.baseline, run.cfg.features, run.cfg.baseline), "profile")
     return rounded(features.apply_baseline(run.base, run.baseline, profile, 20.0).select("well", "ts", *_APPLIED))
 
 

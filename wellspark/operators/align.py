@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wellspark.functions.scalar import finite, floor_div, from_micros, micros
 from wellspark.operators.ordering import positions
+from wellspark.operators.quantiles import exact_quantiles
 from wellspark.schema import DAY, AlignSettings, frequency_micros
 from wellspark.staging import fits_one_task, stage
 
@@ -67,8 +68,7 @@ def _with_origin(clipped: DataFrame, step: int) -> DataFrame:
 
 
 def _aggregate(aggregation: str, value: Column) -> Column:
-    known = {"median": lambda v: F.percentile(v, F.lit(0.5)), "max": F.max, "min": F.min}
-    return known.get((aggregation or "mean").lower(), F.avg)(value)
+    return {"max": F.max, "min": F.min}.get((aggregation or "mean").lower(), F.avg)(value)
 
 
 def resample(clipped: DataFrame, cfg: AlignSettings) -> DataFrame:
@@ -80,15 +80,17 @@ def resample(clipped: DataFrame, cfg: AlignSettings) -> DataFrame:
     step = frequency_micros(cfg.frequency)
     rows = _with_origin(clipped, step)
     label = floor_div(micros("ts") - F.col("_origin"), step) * F.lit(step) + F.col("_origin")
-    return (
-        rows.groupBy("well", "metric", "range_start", "range_end", from_micros(label).alias("bin_ts"))
-        .agg(
-            _aggregate(cfg.aggregation, F.col("value")).alias("value"),
-            F.min("value").alias("min_value"),
-            F.max("value").alias("max_value"),
-        )
-        .withColumnRenamed("bin_ts", "ts")
+    rows = rows.select("well", "metric", "range_start", "range_end", from_micros(label).alias("ts"), "value")
+    keys = ["well", "metric", "range_start", "range_end", "ts"]
+    bins = rows.groupBy(*keys).agg(
+        _aggregate(cfg.aggregation, F.col("value")).alias("value"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
     )
+    if (cfg.aggregation or "").lower() != "median":
+        return bins
+    medians = exact_quantiles(rows, ["well", "metric", "ts"], "value", {"value": 0.5}).drop("n")
+    return bins.drop("value").join(medians, ["well", "metric", "ts"])
 
 
 def in_range(bins: DataFrame) -> DataFrame:

@@ -56,8 +56,6 @@ def build_baseline(
     """
     width = cfg.bin_width if cfg.enabled else 0
     segments = bucketed_coverage(normal, small=small)
-    if not small:
-        segments = stage(segments, "normal-segments")
     inside = weigh_points(base.where(F.col(FREQUENCY).isNotNull() & F.lit(width > 0)), segments)
     inside = inside.withColumn("bin_index", freq_bin(FREQUENCY, width or 1.0)).where(F.col("bin_index").isNotNull())
     points = unpivot(inside, ["bin_index", "weight"], cfg.metrics)

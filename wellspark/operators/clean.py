@@ -89,9 +89,9 @@ def clean(
         flags = [F.lit(False).alias(f"{m}_{kind}") for m in metrics for kind in ("outlier", "filled")]
         return base.select("*", *flags)
     params = clean_params(base, cfg, small)
-    sizes = frame_choices(params, ["half", "fill"])
-    if sizes is None or len(sizes) > 1:
+    if not small:
         params = stage(params, "clean-params")
+    sizes = frame_choices(params, ["half", "fill"])
     if sizes is None:
         widest, longest = params.agg(F.max("half"), F.max("fill")).first()
     else:

@@ -216,7 +216,7 @@ def match_references(
     nearest = stage(nearest.select("well", "interval_id", F.col("near_ts").alias("ts")), "nearest")
     spots = events.select("well", "ts").unionByName(nearest.select("well", "ts")).distinct()
     spots = stage(points.join(spots, ["well", "ts"]), "spots")
-    inside = containing(spots, refs).withColumnRenamed("interval_id", "contain_id")
+    inside = containing(spots, refs, small=small).withColumnRenamed("interval_id", "contain_id")
     spots = spots.join(inside, ["well", "ts"], "left").withColumn("contain_id", F.coalesce("contain_id", F.lit(-1)))
 
     usable = F.col("pressure_delta").isNotNull() & F.col("pressure_slope").isNotNull()
@@ -250,11 +250,12 @@ def detection_records(
 ) -> DataFrame:
     """The 36-column detection record of every match."""
     snapshot = [c for c in SCORED if c not in ("pos", "t2_flag", "base_flag", "signal")]
-    grid = [c for c in base.columns if c not in ("pos",)]
+    extrema = [f"Intake_Pressure_{side}" for side in ("min", "max")]
+    base = base.drop("pos").withColumns({x: F.lit(None).cast("double") for x in extrema if x not in base.columns})
     named = refs.select("interval_id", F.col("start_ts").alias("reference_start"), "notes")
     rows = (
         matches.join(scored.select(*snapshot), ["well", "ts"])
-        .join(base.select(*grid), ["well", "ts"])
+        .join(base, ["well", "ts"])
         .join(named, "interval_id")
         .join(rules, "well")
     )

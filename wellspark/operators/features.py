@@ -179,9 +179,13 @@ def feature_frame(
     cfg: FeatureSettings = FeatureSettings(),
     bcfg: BaselineSettings = BaselineSettings(),
     small: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(well, ts, pos, <20 features>)`` of every grid row; ``base`` and ``baseline`` should be staged."""
+    """``(well, ts, pos, <20 features>)`` of every grid row; ``base`` and ``baseline`` should be staged.
+
+    ``keep`` names base columns to carry along, which saves a later join back.
+    """
     profile = stage(well_profile(base, baseline, cfg, bcfg, small), "profile")
     residuals = apply_baseline(base, baseline, profile, bcfg.bin_width)
     rows = rolling_features(residuals, profile, small=small)
-    return rows.select("well", "ts", "pos", *FEATURES)
+    return rows.select("well", "ts", "pos", *FEATURES, *keep)

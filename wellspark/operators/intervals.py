@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from wellspark.functions.scalar import canon_well, classify_label, floor_div, micros
 from wellspark.operators.ordering import BLOCK_ROWS, forward_fill, neighbours, number_rows, time_slice
 from wellspark.schema import DAY, CauseRules
+from wellspark.staging import stage
 
 BUCKET_US = DAY
 _SWEEP_US = 64 * DAY  # slice width when interval endpoints are swept
@@ -126,9 +127,13 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
 
 
 def bucketed_coverage(intervals: DataFrame, width: int = BUCKET_US, small: bool = False) -> DataFrame:
-    """Coverage cut along time buckets, the right side of :func:`weigh_points`."""
+    """Coverage cut along time buckets, the right side of :func:`weigh_points`.
+
+    Staged unless small, so that its written size decides whether it is broadcast.
+    """
     segments = coverage(intervals, small)
-    return segments.select("*", _buckets(F.col("seg_start"), F.col("seg_end"), width).alias("_bucket"))
+    cut = segments.select("*", _buckets(F.col("seg_start"), F.col("seg_end"), width).alias("_bucket"))
+    return cut if small else stage(cut, "segments")
 
 
 def weigh_points(points: DataFrame, segments: DataFrame, how: str = "inner", width: int = BUCKET_US) -> DataFrame:
@@ -153,13 +158,21 @@ def mark_normal(points: DataFrame, normal: DataFrame, out: str = "in_normal", sm
 
 
 def points_in_intervals(
-    points: DataFrame, intervals: DataFrame, start: Column | None = None, width: int = BUCKET_US
+    points: DataFrame,
+    intervals: DataFrame,
+    start: Column | None = None,
+    width: int = BUCKET_US,
+    small: bool = False,
 ) -> DataFrame:
-    """One row per point and interval that holds it (both ends closed); ``start`` may widen the interval."""
+    """One row per point and interval that holds it (both ends closed); ``start`` may widen the interval.
+
+    The bucketed intervals are staged unless small, so that their written size decides the join.
+    """
     begin = F.coalesce(start, F.col("start_ts")) if start is not None else F.col("start_ts")
     cut = intervals.withColumns({"_from": begin}).select(
         "*", _buckets(micros("_from"), micros("end_ts"), width).alias("_bucket")
     )
+    cut = cut if small else stage(cut, "interval-buckets")
     at = floor_div(micros("ts"), width)
     return (
         points.withColumn("_bucket", at)
@@ -169,9 +182,12 @@ def points_in_intervals(
     )
 
 
-def containing(points: DataFrame, refs: DataFrame, id_columns: Sequence[str] = ("well", "ts")) -> DataFrame:
+def containing(
+    points: DataFrame, refs: DataFrame, id_columns: Sequence[str] = ("well", "ts"), small: bool = False
+) -> DataFrame:
     """Per point the first reference (annotation order) that contains it: ``(ids, interval_id)``."""
-    pairs = points_in_intervals(points.select(*id_columns), refs.select("well", "interval_id", "row_id", "start_ts", "end_ts"))
+    spans = refs.select("well", "interval_id", "row_id", "start_ts", "end_ts")
+    pairs = points_in_intervals(points.select(*id_columns), spans, small=small)
     return pairs.groupBy(*id_columns).agg(F.min_by("interval_id", "row_id").alias("interval_id"))
 
 

@@ -22,25 +22,30 @@ SUMMARY_COLUMNS = (
 
 
 def interval_stats(
-    base: DataFrame, features: DataFrame, intervals: DataFrame, cfg: Directions = Directions(), small: bool = False
+    features: DataFrame, intervals: DataFrame, cfg: Directions = Directions(), small: bool = False
 ) -> DataFrame:
-    """Statistics of each interval that holds grid points (24 columns)."""
-    points = base.join(features.select("well", "pos", *_DELTAS), ["well", "pos"])
-    pairs = points_in_intervals(points, intervals.select("interval_id", "well", "start_ts", "end_ts"))
-    p, c, t = "Intake_Pressure", "Current", "Motor_Temperature"
+    """Statistics of each interval that holds grid points (24 columns).
+
+    ``features`` carries the pressure extrema of the grid besides the feature columns, where there are any.
+    """
+    p, c, t = "pressure", "current", "temperature"
+    extrema = [f"Intake_Pressure_{side}" for side in ("min", "max")]
+    missing = {x: F.lit(None).cast("double") for x in extrema if x not in features.columns}
+    points = features.withColumns(missing).select("well", "ts", p, c, t, "frequency", *_DELTAS, *extrema)
+    pairs = points_in_intervals(points, intervals.select("interval_id", "well", "start_ts", "end_ts"), small=small)
     stats = pairs.groupBy("interval_id").agg(
         F.avg(p).alias("pressure_mean"),
         F.stddev_pop(p).alias("pressure_std"),
         F.min(p).alias("pressure_min"),
         F.max(p).alias("pressure_max"),
-        F.min(f"{p}_min").alias("pressure_min_15m"),
-        F.max(f"{p}_max").alias("pressure_max_15m"),
+        F.min(extrema[0]).alias("pressure_min_15m"),
+        F.max(extrema[1]).alias("pressure_max_15m"),
         F.avg("pressure_delta").alias("pressure_delta_mean"),
         F.avg(c).alias("current_mean"),
         F.stddev_pop(c).alias("current_std"),
         F.avg(t).alias("temperature_mean"),
         F.stddev_pop(t).alias("temperature_std"),
-        F.avg("Frequency").alias("frequency_mean"),
+        F.avg("frequency").alias("frequency_mean"),
     )
     deltas = unpivot(pairs, ["interval_id"], _DELTAS)
     middle = exact_quantiles(deltas, ["interval_id", "metric"], "value", {"median": 0.5}, small=small)

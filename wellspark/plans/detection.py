@@ -39,8 +39,8 @@ class Detection(Prepared):
 
     @cached_property
     def scored(self) -> DataFrame:
-        _ = self.features
-        together(lambda: self.model, lambda: self.rules, lambda: self.references)
+        spark = self.features.sparkSession
+        together(spark, lambda: self.model, lambda: self.rules, lambda: self.references)
         return stage(score_points(self.features, self.rules, self.model, self.normals, self.cfg, self.few), "scored")
 
     @cached_property
@@ -60,14 +60,15 @@ class Detection(Prepared):
     def triggers(self, wells=None) -> DataFrame:
         """First trigger of each anomaly interval, of the given wells or all."""
         spans = self.anomalies if wells is None else self.anomalies.where(F.col("well").isin(list(wells)))
-        return first_triggers(self.features, spans, self.rules, self.cfg.features)
+        return first_triggers(self.features, spans, self.rules, self.cfg.features, self.few)
 
     @property
     def calibration(self) -> DataFrame:
         """Trigger values of the training intervals per cause group; thresholds do not depend on them."""
         grouped = map_groups(self.anomalies, self.cfg.causes)
         trained = train_or_all(grouped, self.cfg.holdout, ["cause_group"])
-        return calibration_values(first_triggers(self.features, trained, self.rules, self.cfg.features), trained)
+        found = first_triggers(self.features, trained, self.rules, self.cfg.features, self.few)
+        return calibration_values(found, trained)
 
     def holdout_report(self, wells=None) -> DataFrame:
         held = [w for w in self.cfg.holdout if wells is None or w in set(wells)]

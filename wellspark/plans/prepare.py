@@ -78,7 +78,9 @@ class Prepared:
         return stage(build_baseline(self.base, self.normals, self.cfg.baseline, self.few), "baseline-full")
 
     def features_with(self, baseline: DataFrame) -> DataFrame:
-        return stage(feature_frame(self.base, baseline, self.cfg.features, self.cfg.baseline, self.small), "features")
+        extrema = [c for c in self.base.columns if c.endswith(("_min", "_max"))]
+        rows = feature_frame(self.base, baseline, self.cfg.features, self.cfg.baseline, self.small, extrema)
+        return stage(rows, "features")
 
     @cached_property
     def features(self) -> DataFrame:

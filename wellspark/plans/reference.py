@@ -22,7 +22,7 @@ class ReferenceAnalysis(Prepared):
 
     @cached_property
     def stats(self) -> DataFrame:
-        rows = interval_stats(self.base, self.features, self.intervals, self.cfg.directions, self.small)
+        rows = interval_stats(self.features, self.intervals, self.cfg.directions, self.few)
         return stage(rows, "interval-stats")
 
     @property

@@ -34,8 +34,19 @@ def root(spark: SparkSession) -> str:
     return _local_root
 
 
+def folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{root(spark)}/wellspark-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes this application's staged tables; frames read from them stop working."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -51,10 +62,10 @@ def fits_one_task(staged: DataFrame) -> bool:
     return staged.count() <= SMALL_ROWS
 
 
-def together(*steps: Callable[[], object]) -> list:
+def together(spark: SparkSession, *steps: Callable[[], object]) -> list:
     """Runs independent steps at the same time, so their jobs share the cluster."""
     with ThreadPoolExecutor(len(steps)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
