@@ -125,12 +125,15 @@ def _frames(x: str, name: str, order: WindowSpec, sizes: list[tuple] | None, rea
     return mean_of(F.slice(seen, F.lit(1), w)), mean_of(F.slice(seen, s + 1, w)), F.col(x) - F.get(seen, s)["x"]
 
 
-def interpolate_time(prev: str, nxt: str, ts: str, value: Column) -> Column:
-    """Time-linear value between the nearest valid ``(us, v)`` pairs; after the last one it holds, before the first it is null."""
-    p, n = F.col(prev), F.col(nxt)
-    slope = (n["v"] - p["v"]) / (n["us"] - p["us"])
-    between = slope * (micros(ts) - p["us"]) + p["v"]
-    return F.coalesce(value, F.when(n.isNotNull(), between).otherwise(p["v"]))
+def interpolate_time(us: str, v: str) -> Column:
+    """Time-linear value between the nearest valid points, given as ``<us>_prev``, ``<v>_prev``, ``…_next``.
+
+    After the last valid point its value holds; before the first one the result is null.
+    """
+    p, n = F.col(f"{v}_prev"), F.col(f"{v}_next")
+    slope = (n - p) / (F.col(f"{us}_next") - F.col(f"{us}_prev"))
+    between = slope * (micros("ts") - F.col(f"{us}_prev")) + p
+    return F.coalesce(v, F.when(n.isNotNull(), between).otherwise(p))
 
 
 def window_choices(profile: DataFrame, names: Sequence[str]) -> tuple[dict[str, list[tuple]], int]:
@@ -161,16 +164,12 @@ def rolling_features(
         if n == "pressure":
             added["pressure_slope"] = slope
     blocks = own_rows(blocks.withColumns(added))
-    points = {
-        f"_{n}_at": F.when(F.col(f"_{n}_before").isNotNull(), F.struct(micros("ts").alias("us"), F.col(f"_{n}_before").alias("v")))
-        for n in names
-    }
-    around = neighbours(blocks.withColumns(points), ["well"], "_block", ["pos"], list(points), small)
-    for n in names:
-        before = interpolate_time(f"_{n}_at_prev", f"_{n}_at_next", "ts", F.col(f"_{n}_before"))
-        around = around.withColumn(f"_{n}_before", before)
-        around = around.withColumn(f"{n}_delta", safe_divide(F.col(f"_{n}_now") - F.col(f"_{n}_before"), F.col(f"_{n}_before")))
-    return around
+    points = {f"_{n}_us": F.when(F.col(f"_{n}_before").isNotNull(), micros("ts")) for n in names}
+    payloads = [f"_{n}_{c}" for n in names for c in ("us", "before")]
+    around = neighbours(blocks.withColumns(points), ["well"], "_block", ["pos"], payloads, small)
+    around = around.withColumns({f"_{n}_before": interpolate_time(f"_{n}_us", f"_{n}_before") for n in names})
+    change = {n: F.col(f"_{n}_now") - F.col(f"_{n}_before") for n in names}
+    return around.withColumns({f"{n}_delta": safe_divide(change[n], f"_{n}_before") for n in names})
 
 
 def feature_frame(

@@ -85,7 +85,7 @@ def neighbours(
         df = df.withColumn(chunk, F.lit(0))
     up = Window.partitionBy(*keys, chunk).orderBy(*order)
     down = Window.partitionBy(*keys, chunk).orderBy(*[F.col(c).desc() for c in order])
-    ordinal = F.struct(*order)
+    ordinal = F.struct(*order) if len(order) > 1 else F.col(order[0])
     inner = df.select(
         "*",
         *[F.last(p, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{p}_prev") for p in payloads],
