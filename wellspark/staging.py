@@ -9,6 +9,9 @@ so a join side is broadcast only when that size is under
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,14 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 2_000_000
 
 _local_root: str | None = None
+_shipped: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
-    """Folder for staged tables: the cluster's shared one, or a temporary one where none is set."""
+    """Folder for staged tables: the cluster's shared one; a temporary one on a single machine."""
     global _local_root
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="spark-wellspark-", dir="/tmp")
     return _local_root
@@ -68,7 +75,23 @@ def together(spark: SparkSession, *steps: Callable[[], object]) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.realpath(__file__))
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="wellspark-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = os.path.join(folder, "src", os.path.basename(package))
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    archive = shutil.make_archive(os.path.join(folder, "wellspark"), "zip", os.path.dirname(copy))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on: wall-clock timestamps are read as UTC."""
+    """Session settings the operators rely on: wall-clock timestamps are read as UTC; workers have the package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
