@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspark.llm import curriculum, packing, records
+from wellspark.llm import curriculum, packing, records, simhash, substrings
 from wellspark.llm.arrow import table
 from wellspark.staging import prepare
 
@@ -39,6 +39,14 @@ def _(spark, d):
     )
 
 
+@query("op3_winnowed_repeats")
+def _(spark, d):
+    kept = substrings.remove_repeats(table(spark, d, "documents"))
+    return kept.select(
+        F.col("row_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
 @query("op5_best_two_fit")
 def _(spark, d):
     pieces = packing.cut_pieces(table(spark, d, "documents"))
@@ -46,6 +54,12 @@ def _(spark, d):
     return placed.select(F.col("row_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op6_ball_simhash")
+def _(spark, d):
+    found = simhash.near_duplicates(table(spark, d, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k
