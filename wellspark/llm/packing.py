@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wellspark.llm.arrow import batch_of, schema_of, slices
-from wellspark.llm.tokens import DEFAULT_VOCABULARY, encoder
+from wellspark.llm.tokens import DEFAULT_VOCABULARY, ENCODE_ROWS, encoder
 from wellspark.staging import stage
 
 PIECES = (
@@ -42,10 +42,10 @@ def _cut(batches: Iterable[pa.RecordBatch], vocabulary: str, end_id: int, capaci
     end = np.array([end_id], dtype=enc.dtype).tobytes()
     width = enc.dtype.itemsize
     part, seen = uuid.uuid4().hex[:16], {}
-    for batch in slices(batches):
+    for batch in slices(batches, ENCODE_ROWS):
         rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = enc.encode(text) + end
+        for key, encoded in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            data = encoded.tobytes() + end
             for piece, at in enumerate(range(0, len(data), capacity * width)):
                 own = data[at : at + capacity * width]
                 n = len(own) // width

@@ -7,9 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspark.llm import curriculum, packing, records, simhash, substrings
+from wellspark.llm import (
+    curriculum,
+    licenses,
+    media,
+    nearest,
+    packing,
+    quality,
+    records,
+    simhash,
+    substrings,
+    toxicity,
+)
 from wellspark.llm.arrow import table
-from wellspark.staging import prepare
+from wellspark.staging import prepare, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,12 +41,27 @@ def query(name: str, sql: str | None = None):
 @query("op1_token_records")
 def _(spark, d):
     index = records.write_shards(table(spark, d, "documents"), end_id=1)
-    stored = records.read_shards(index)
+    stored = records.read_shards(index).select("shard", "row_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return stored.join(records.shard_starts(index), "shard").select(
+        F.col("row_id").alias("doc_id"), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
+    )
+
+
+@query("op2_iso_media")
+def _(spark, d):
+    stored = stage(media.store_texts(table(spark, d, "documents")), "media", compression="zstd")
+    found = media.media_features(stored)
+    first, last = F.element_at("key_offsets", 1), F.element_at("key_offsets", -1)
+    parts = ["codec", "timescale", "duration", "samples", F.size("key_offsets"), first, last, F.element_at("key_sizes", -1)]
+    return found.select(
         F.col("row_id").alias("doc_id"),
-        (F.col("base") + F.col("before")).alias("start"),
-        "n_tokens",
-        F.crc32("ids").alias("ids_crc32"),
+        "n_bytes",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -media.FRAME, media.FRAME)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws("|", *parts).alias("feature"),
     )
 
 
@@ -47,6 +73,23 @@ def _(spark, d):
     )
 
 
+def _held_out(folds: int, fold: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
+
+
+def _judged(scores, folds: int, fold: int):
+    named = scores.withColumnRenamed("row_id", "doc_id")
+    held = F.coalesce(_held_out(folds, fold), F.lit(False))
+    return named.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_pairwise_quality")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    model = quality.fit_model(docs, table(spark, d, "labels"), ~_held_out(3, 1))
+    return _judged(quality.score_documents(docs, model), 3, 1)
+
+
 @query("op5_best_two_fit")
 def _(spark, d):
     pieces = packing.cut_pieces(table(spark, d, "documents"))
@@ -93,3 +136,22 @@ def _(spark, d):
     return mixed.select(
         F.col("row_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken"
     )
+
+
+@query("op8_license_digests", licenses.scan_sql())
+def _(spark, d):
+    found = licenses.scan(table(spark, d, "documents"))
+    return found.select(F.col("row_id").alias("doc_id"), "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+@query("op9_subsequence_toxicity")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    model = toxicity.fit_model(docs, table(spark, d, "labels"), ~_held_out(5, 0))
+    return _judged(toxicity.score_documents(docs, model), 5, 0)
+
+
+@query("op10_one_bit_neighbours")
+def _(spark, d):
+    found = nearest.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("row_id").alias("vec_id"), "score")

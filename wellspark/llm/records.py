@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from wellspark.llm.arrow import batch_of, schema_of, slices
 from wellspark.llm.files import open_input, open_output
-from wellspark.llm.tokens import DEFAULT_VOCABULARY, encoder
+from wellspark.llm.tokens import DEFAULT_VOCABULARY, ENCODE_ROWS, encoder
 from wellspark.staging import new_path, stage
 
 MAGIC = b"WSTOKEN1"
@@ -73,16 +73,16 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, vocabulary: str, end_
     end = np.array([end_id], dtype=enc.dtype).tobytes()
     prefix = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
     out, name, place, before, number = None, "", 0, 0, 0
-    for batch in slices(batches):
+    for batch in slices(batches, ENCODE_ROWS):
         rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for key, encoded in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
             if out is None or place >= max_bytes:
                 if out is not None:
                     out.close()
                 name = f"{prefix}-{number:04d}.tok"
                 out, place, before, number = open_output(name), HEADER.size, 0, number + 1
                 out.write(HEADER.pack(MAGIC, enc.dtype.itemsize, 0))
-            data = enc.encode(text) + end
+            data = encoded.tobytes() + end
             record = frame(data)
             out.write(record)
             n = len(data) // enc.dtype.itemsize

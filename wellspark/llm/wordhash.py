@@ -39,22 +39,33 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and the first word's number of each text (one more at the end)."""
-    data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
-    if not len(data):
-        return np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+def word_borders(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after it."""
     apart = _SEPARATOR[data]
     change = np.flatnonzero(np.diff(np.concatenate(([True], apart)).view(np.int8)))
-    if not apart[-1]:
+    if len(data) and not apart[-1]:
         change = np.append(change, len(data))
-    starts, ends = change[0::2], change[1::2]
+    return change[0::2], change[1::2]
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes with a space after each, and where each begins (one more at the end)."""
+    data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
+    return data, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word."""
     power, inverse = _powers_to(len(data) + 1)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[data] * power[: len(data)])))
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _STEP)
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    borders = np.concatenate(([0], np.cumsum(lengths)))
-    return hashes, np.searchsorted(starts, borders)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[data] * power[: len(data)])))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and the first word's number of each text (one more at the end)."""
+    data, borders = joined(texts)
+    starts, ends = word_borders(data)
+    return hashes_of(data, starts, ends), np.searchsorted(starts, borders)
 
 
 def runs_of(hashes: np.ndarray, words: int) -> np.ndarray:
