@@ -118,7 +118,7 @@ WITH d AS (
     / sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM c
 ), g AS (
-  SELECT source, source_size, least(cap, weight * min(level) FILTER (level * weight <= cap) OVER ()) AS target FROM l
+  SELECT source, source_size, least(cap, weight * max(level) FILTER (level * weight <= cap) OVER ()) AS target FROM l
 ), p AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, round(g.target)::BIGINT AS goal,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place

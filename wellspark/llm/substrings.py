@@ -27,7 +27,7 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -177,9 +177,9 @@ def _open_windows(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator
     """Rows ``(row_id, body, ranges)`` to one row per window of the ranges."""
     schema = schema_of(_ROW)
     for batch in slices(batches):
-        _, first, windows, _ = _windows(utf8(batch.column(1).to_pylist()), min_words)
+        _, first, windows, _ = _windows(utf8(batch.column("body").to_pylist()), min_words)
         keys, docs, places = [], [], []
-        for i, (doc, ranges) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+        for i, (doc, ranges) in enumerate(zip(batch.column("row_id").to_pylist(), batch.column("ranges").to_pylist())):
             at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in ranges])
             keys.append(windows[first[i] + at])
             docs.append(np.full(len(at), doc))
@@ -188,14 +188,14 @@ def _open_windows(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator
         yield _rows(schema, key, key, np.concatenate(docs), np.concatenate(places))
 
 
-KEPT = "row_id bigint, n_words bigint, n_removed bigint, kept string"
+KEPT = "n_words bigint, n_removed bigint, kept string"
 
 
 def _cut(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     schema = schema_of(KEPT)
     for batch in slices(batches):
         out = []
-        for doc, text, ranges in zip(batch.column(0).to_pylist(), utf8(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+        for text, ranges in zip(utf8(batch.column("body").to_pylist()), batch.column("ranges").to_pylist()):
             words = text.split()
             total = len(words)
             if ranges:
@@ -203,8 +203,10 @@ def _cut(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.Recor
                 for r in ranges:
                     keep[r["start"] : r["start"] + r["n"] + min_words - 1] = False
                 words = [words[i] for i in np.flatnonzero(keep)]
-            out.append((doc, total, total - len(words), b" ".join(words).decode("utf-8")))
-        yield batch_of(list(zip(*out)), schema.names, schema.types)
+            out.append((total, total - len(words), b" ".join(words).decode("utf-8")))
+        found = batch_of(list(zip(*out)), schema.names, schema.types)
+        carried = [batch.column("row_id"), batch.column("row")]
+        yield pa.RecordBatch.from_arrays([*carried, *found.columns], names=["row_id", "row", *schema.names])
 
 
 def _by_document(ranges: DataFrame) -> DataFrame:
@@ -218,17 +220,35 @@ def remove_repeats(
     text_col: str = "text",
     min_words: int = MIN_WORDS,
     anchor_words: int = ANCHOR_WORDS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(row_id, n_words, n_removed, kept)``: each text without its repeated passages, words joined by a space."""
+    """``(row_id, row, n_words, n_removed, kept)``: each text without its repeated passages, words joined by a
+    space. ``row`` is a struct of the ``carry`` columns."""
     if not 0 < anchor_words <= min_words:
         raise ValueError("an anchor must fit into a window")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("body"))
-    seeds = rows.where("row_id IS NOT NULL").mapInArrow(lambda b: _seed(b, min_words, anchor_words), _ROW)
+    row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("body"), row.alias("row"))
+    seeds = rows.where("row_id IS NOT NULL").select("row_id", "body").mapInArrow(lambda b: _seed(b, min_words, anchor_words), _ROW)
     met = seeds.repartition("key").sortWithinPartitions("key", "extent", "row_id")
     found = stage(met.mapInArrow(_extend, _RANGE), "ranges")
     undecided = _by_document(found.where("open"))
-    single = rows.join(undecided, "row_id").select("row_id", "body", "ranges").mapInArrow(lambda b: _open_windows(b, min_words), _ROW)
+    # Both joins read the same columns of the same rows, so the texts are exchanged once.
+    inputs = ["row_id", "body", "row", "ranges"]
+    single = rows.join(undecided, "row_id").select(*inputs).mapInArrow(lambda b: _open_windows(b, min_words), _ROW)
     compared = single.repartition("key").sortWithinPartitions("key", "row_id").mapInArrow(_extend, _RANGE)
     removed = found.where("NOT open").unionByName(compared)
-    whole = rows.join(_by_document(removed), "row_id", "left").select("row_id", "body", "ranges")
-    return whole.mapInArrow(lambda b: _cut(b, min_words), KEPT)
+    whole = rows.join(_by_document(removed), "row_id", "left").select(*inputs)
+    kind = rows.schema["row"].dataType.simpleString()
+    return whole.mapInArrow(lambda b: _cut(b, min_words), f"row_id bigint, row {kind}, {KEPT}")
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with each text, and its length, after :func:`remove_repeats`; texts without repeats are unchanged."""
+    found = remove_repeats(docs, text_col=text_col, carry=docs.columns, **options)
+    cut = F.col("n_removed") > 0
+    columns = {c: F.col("row")[c] for c in docs.columns}
+    columns[text_col] = F.when(cut, F.col("kept")).otherwise(columns[text_col])
+    if length_col in columns:
+        kind = docs.schema[length_col].dataType
+        columns[length_col] = F.when(cut, F.length("kept").cast(kind)).otherwise(columns[length_col])
+    return found.select(*[c.alias(name) for name, c in columns.items()])

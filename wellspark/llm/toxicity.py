@@ -255,3 +255,15 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(lambda b: _score(b, shared.value), SCORES)
+
+
+def _keep(batches: Iterable[pa.RecordBatch], model: ToxicityModel, text_col: str, border: float) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        margin, _ = model.worst([words_of(t) for t in batch.column(text_col).to_pylist()])
+        yield batch.filter(pa.array(model.score(margin) < border))
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", border: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, whatever columns they have, whose score is under ``border``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda b: _keep(b, shared.value, text_col, border), docs.schema)
