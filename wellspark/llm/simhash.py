@@ -34,7 +34,7 @@ from wellspark.staging import stage
 
 RADIUS = 3
 SEED = 42
-_BLOCK = 1024
+_BLOCK = 64
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -67,39 +67,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lambda b: _fingerprints(b, shingle), "row_id bigint, fp bigint")
 
 
+def _ball(key: Column) -> Column:
+    """The key with each of its half's 32 bits flipped."""
+    flips = F.array(*[F.lit(1 << (bit + 1)) for bit in range(32)])
+    return F.transform(flips, lambda flip: key.bitwiseXOR(flip))
+
+
 def variants(fp: Column) -> Column:
     """Array of variant keys: a half's 32 bits above the half's number."""
     halves = []
     for number, half in enumerate((F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF)))):
         key = F.shiftleft(half, 1).bitwiseOR(F.lit(number))
-        flips = F.array(*[F.lit(1 << (bit + 1)) for bit in range(32)])
-        ball = F.transform(flips, lambda f, key=key: key.bitwiseXOR(f))
-        halves.append(F.when(F.bit_count(half) % 2 == 1, F.concat(F.array(key), ball)).otherwise(F.array(key)))
+        own = F.array(key)
+        halves.append(F.when(F.bit_count(half) % 2 == 1, F.concat(own, _ball(key))).otherwise(own))
     return F.concat(*halves)
 
 
-def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the members of one meeting that are within ``radius``."""
-    root = np.arange(len(nodes))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+def _forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Links ``(n, 2)`` of a spanning forest over the members of one meeting that are within ``radius``.
 
-    links = []
-    for a in range(0, len(nodes), _BLOCK):
-        for b in range(a, len(nodes), _BLOCK):
-            near = np.bitwise_count(fps[a : a + _BLOCK, None] ^ fps[None, b : b + _BLOCK]) <= radius
-            if a == b:
-                near = np.triu(near, 1)
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                x, y = find(a + i), find(b + j)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    links.append((int(nodes[a + i]), int(nodes[b + j])))
-    return links
+    Grows one tree after the other: members not yet reached are compared with a block of reached ones.
+    """
+    links, rest = [], np.arange(1, len(nodes))
+    front = np.array([0])
+    while len(rest):
+        some, front = front[:_BLOCK], front[_BLOCK:]
+        near = np.bitwise_count(fps[some, None] ^ fps[None, rest]) <= radius
+        reached = near.any(axis=0)
+        if reached.any():
+            links.append(np.stack([nodes[some[near[:, reached].argmax(axis=0)]], nodes[rest[reached]]], axis=1))
+            front = np.append(front, rest[reached])
+            rest = rest[~reached]
+        if not len(front) and len(rest):
+            front, rest = rest[:1], rest[1:]
+    return np.concatenate(links) if links else np.empty((0, 2), dtype=np.int64)
 
 
 def _meet(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -129,8 +130,7 @@ def _pairs(node, fp, starts, ends, radius) -> np.ndarray:
     near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
     found = [np.stack([node[near], node[near + 1]], axis=1)]
     for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-        if links := _forest(node[s:e], fp[s:e], radius):
-            found.append(np.array(links, dtype=np.int64))
+        found.append(_forest(node[s:e], fp[s:e], radius))
     return np.concatenate(found)
 
 
