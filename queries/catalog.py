@@ -680,8 +680,8 @@ def _(spark, d):
 
 @query(
     "D6_scale_profile",
-    "SELECT f.well, f.metric, round(f.fallback, 8) + 0.0 AS fallback, round(coalesce(g.found, f.fallback), 8) + 0.0 AS fill FROM fallbacks f LEFT JOIN fills g USING (well, metric)",
-    "fallbacks",
+    "SELECT f.well, f.metric, round(f.fallback, 8) + 0.0 AS fallback, round(coalesce(g.found, f.fallback), 8) + 0.0 AS fill FROM known f LEFT JOIN fills g USING (well, metric)",
+    "known",
     "fills",
 )
 def _(spark, d):
@@ -710,7 +710,7 @@ def _(spark, d):
 
 @query(
     "D9_residual_model",
-    "SELECT " + ", ".join(S.rnd(e, n) for e, n in (("mx", "mx"), ("my", "my"), ("mz", "mz"), ("pxx", "pxx"), ("pxy", "pxy"), ("pxz", "pxz"), ("pyy", "pyy"), ("pyz", "pyz"), ("pzz", "pzz"), ("threshold", "threshold"))) + " FROM model, model_cut",
+    "SELECT " + ", ".join(S.rnd(e, n) for e, n in (("mx", "mx"), ("my", "my"), ("mz", "mz"), ("pxx", "pxx"), ("pxy", "pxy"), ("pxz", "pxz"), ("pyy", "pyy"), ("pyz", "pyz"), ("pzz", "pzz"), ("threshold", "threshold"))) + " FROM model, model_cut WHERE mx IS NOT NULL",
     "model",
     "model_cut",
 )

@@ -254,18 +254,26 @@ WHERE Frequency IS NOT NULL GROUP BY well, metric""",
         "clean",
         b,
     )
+    cte(
+        f"known{suffix}",
+        f"""SELECT well, metric, fallback FROM fallbacks WHERE metric IN (SELECT metric FROM {b})
+AND well IN (SELECT well FROM clean WHERE Frequency IS NOT NULL)""",
+        "fallbacks",
+        "clean",
+        b,
+    )
     columns = []
     joins = []
     for m, n in MODELLED.items():
         joins.append(
             f"LEFT JOIN {b} b_{n} ON b_{n}.metric = '{m}' AND b_{n}.bin_index = CAST(floor(c.Frequency / 20.0) AS BIGINT) "
-            f"LEFT JOIN fallbacks f_{n} ON f_{n}.metric = '{m}' AND f_{n}.well = c.well "
+            f"LEFT JOIN known{suffix} f_{n} ON f_{n}.metric = '{m}' AND f_{n}.well = c.well "
             f"LEFT JOIN fills{suffix} g_{n} ON g_{n}.metric = '{m}' AND g_{n}.well = c.well "
             f"LEFT JOIN windows w_{n} ON w_{n}.metric = '{m}' AND w_{n}.well = c.well"
         )
         columns.append(
             f"c.{m} AS {n}, b_{n}.median AS {n}_expected, coalesce(c.{m} - b_{n}.median, c.{m}) AS {n}_residual, "
-            f"greatest(coalesce(b_{n}.mad, g_{n}.found, f_{n}.fallback), 0.1 * f_{n}.fallback, 0.05) AS {n}_scale, "
+            f"CASE WHEN f_{n}.fallback IS NOT NULL THEN greatest(coalesce(b_{n}.mad, g_{n}.found, f_{n}.fallback), 0.1 * f_{n}.fallback, 0.05) END AS {n}_scale, "
             f"coalesce(w_{n}.w, 1) AS {n}_w, coalesce(w_{n}.s, 1) AS {n}_s, coalesce(w_{n}.mp, 1) AS {n}_mp"
         )
     cte(
@@ -273,7 +281,7 @@ WHERE Frequency IS NOT NULL GROUP BY well, metric""",
         f"SELECT c.well, c.ts, c.pos, c.Frequency AS frequency, {', '.join(columns)} FROM clean c {' '.join(joins)}",
         "clean",
         b,
-        "fallbacks",
+        f"known{suffix}",
         f"fills{suffix}",
         "windows",
     )
@@ -456,7 +464,7 @@ cte("model_cut", f"SELECT quantile_cont(d, 0.99) AS threshold FROM ({_distance('
 cte(
     "t2",
     """SELECT f.*, (pressure_z-mx)**2*pxx + (current_z-my)**2*pyy + (temperature_z-mz)**2*pzz + 2*(pressure_z-mx)*(current_z-my)*pxy
-  + 2*(pressure_z-mx)*(temperature_z-mz)*pxz + 2*(current_z-my)*(temperature_z-mz)*pyz AS t2_stat, threshold FROM features f, model, model_cut""",
+  + 2*(pressure_z-mx)*(temperature_z-mz)*pxz + 2*(current_z-my)*(temperature_z-mz)*pyz AS t2_stat, threshold FROM features f LEFT JOIN model ON true LEFT JOIN model_cut ON true""",
     "features",
     "model",
     "model_cut",
