@@ -35,12 +35,11 @@ def random_intervals(seed, n, wells=2, span=3000, longest=400):
     return rows
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_coverage_weights_equal_brute_force(spark, small):
+def test_coverage_weights_equal_brute_force(spark):
     rows = random_intervals(1, 60)
     spans = intervals_frame(spark, rows)
     pdf = pd.DataFrame({"well": ["w0", "w1"] * 300, "ts": at(np.arange(600) * 6), "n": range(600)})
-    got = intervals.weigh_points(points_frame(spark, pdf), intervals.bucketed_coverage(spans, small=small), "left")
+    got = intervals.weigh_points(points_frame(spark, pdf), intervals.bucketed_coverage(spans), "left")
     got = {r.n: r.weight or 0 for r in got.collect()}
     for r in pdf.itertuples():
         assert got[r.n] == sum(w == r.well and pd.Timestamp(a) <= r.ts <= pd.Timestamp(b) for _, _, w, a, b, _, _ in rows)
@@ -81,11 +80,10 @@ def test_clip_rules(spark):
     ]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_asof_nearest_prefers_exact_then_later(spark, small):
+def test_asof_nearest_prefers_exact_then_later(spark):
     right = points_frame(spark, pd.DataFrame({"well": "w", "ts": at(np.array([0, 100, 200, 5000]))}))
     left = points_frame(spark, pd.DataFrame({"well": ["w"] * 6, "id": range(6), "ts": at(np.array([-9, 50, 100, 149, 2600, 9999]))}))
-    got = intervals.asof_nearest(left, right, "id", width=60 * 10**6 * 30, small=small)
+    got = intervals.asof_nearest(left, right, "id", width=60 * 10**6 * 30)
     assert {r.id: int((pd.Timestamp(r.near_ts) - T0).total_seconds() // 60) for r in got.collect()} == {0: 0, 1: 100, 2: 100, 3: 100, 4: 5000, 5: 5000}
 
 
@@ -110,14 +108,13 @@ def brute_threshold(values, contamination):
     return out.min() if len(out) else np.abs(x).max()
 
 
-@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("shape", ["right", "left", "constant", "even"])
-def test_tail_thresholds(spark, small, shape):
+def test_tail_thresholds(spark, shape):
     rng = np.random.default_rng(11)
     x = {"right": rng.exponential(1, 300), "left": -rng.exponential(1, 300), "constant": np.full(50, 2.5), "even": np.tile([-2.0, -1.0, 1.0, 2.0], 25)}[shape]
     w = rng.integers(1, 3, len(x)) if shape in ("right", "left") else np.ones(len(x), int)
     pool = spark.createDataFrame(pd.DataFrame({"feature": "f", "value": np.round(x, 3), "weight": w}))
-    got = thresholds.tail_thresholds(pool, {"a": 0.01, "b": 0.05}, small).first()
+    got = thresholds.tail_thresholds(pool, {"a": 0.01, "b": 0.05}).first()
     full = np.repeat(np.round(x, 3), w)
     np.testing.assert_allclose([got.a, got.b], [brute_threshold(full, 0.01), brute_threshold(full, 0.05)])
 
@@ -143,9 +140,8 @@ def test_group_thresholds_without_normal_data(spark):
     assert soft["b"].inflow and soft["b"].thr_slope == pytest.approx(0.018) and set(soft) == {"a", "b"}
 
 
-@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("active", [3, 2])
-def test_residual_model_ignores_outliers(spark, small, active):
+def test_residual_model_ignores_outliers(spark, active):
     rng = np.random.default_rng(5)
     good = rng.multivariate_normal([1, -1, 0.5], [[1, 0.6, 0], [0.6, 1, 0.2], [0, 0.2, 1]], 800)
     bad = rng.normal(30, 1, (100, 3))
@@ -153,17 +149,17 @@ def test_residual_model_ignores_outliers(spark, small, active):
     pdf = pd.DataFrame({"well": "w", "ts": at(np.arange(900)), "pressure_z": z[:, 0], "current_z": z[:, 1], "temperature_z": z[:, 2] if active == 3 else np.nan})
     feats = points_frame(spark, pdf).withColumn("temperature_z", fn.finite("temperature_z"))
     spans = intervals_frame(spark, [(1, 1, "w", str(at(0)), str(at(900)), "normal", "n")])
-    model = residual.fit_residual_model(feats, spans, ResidualSettings(t2_alpha=0.2), small)
+    model = residual.fit_residual_model(feats, spans, ResidualSettings(t2_alpha=0.2))
     assert len(model.metrics) == active
     np.testing.assert_allclose(model.location, [1, -1, 0.5][:active], atol=0.15)
     cov = np.linalg.inv(np.array(model.precision))
     np.testing.assert_allclose(cov, np.cov(good[:, :active].T), atol=0.25)
     scored = feats.withColumn("t2", residual.t2_score(model)).toPandas()
     assert (scored.t2[800:] > model.threshold).all() and (scored.t2[:800] > model.threshold).mean() < 0.15
-    assert residual.fit_residual_model(feats, spans, ResidualSettings(min_points=5000), small) is None
-    assert residual.fit_residual_model(feats, spans, ResidualSettings(enabled=False), small) is None
+    assert residual.fit_residual_model(feats, spans, ResidualSettings(min_points=5000)) is None
+    assert residual.fit_residual_model(feats, spans, ResidualSettings(enabled=False)) is None
     flat = feats.withColumn("current_z", F.lit(1.0))
-    assert residual.fit_residual_model(flat, spans, ResidualSettings(), small) is None
+    assert residual.fit_residual_model(flat, spans, ResidualSettings()) is None
 
 
 def test_edges_and_gap(spark):
@@ -184,9 +180,8 @@ def test_edges_and_gap(spark):
     df = points_frame(spark, pd.DataFrame(rows, columns=["well", "ts", "pos"]))
     edges = events.rising_edges(df)
     assert sorted((r.well, pd.Timestamp(r.ts)) for r in edges.collect()) == sorted(want_edges)
-    for small in (True, False):
-        kept = events.suppress_gap(edges, 240, small)
-        assert sorted((r.well, pd.Timestamp(r.ts)) for r in kept.collect()) == sorted(want_kept)
+    kept = events.suppress_gap(edges, 240)
+    assert sorted((r.well, pd.Timestamp(r.ts)) for r in kept.collect()) == sorted(want_kept)
     assert events.suppress_gap(edges, 0).count() == len(want_edges)
 
 

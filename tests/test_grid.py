@@ -66,13 +66,12 @@ def test_base_equals_pandas(spark, freq, agg):
             np.testing.assert_allclose(own[c].astype(float), want[c], rtol=1e-12)
 
 
-def test_base_large_path_is_the_same(spark, monkeypatch):
+def test_base_in_short_slices_is_the_same(spark, monkeypatch):
     pdf = random_samples(seed=4)
-    small = align.build_base(to_spark(spark, pdf), AlignSettings("15min"))
-    monkeypatch.setattr(align, "fits_one_task", lambda df: False)
+    whole = align.build_base(to_spark(spark, pdf), AlignSettings("15min"))
     monkeypatch.setattr(align, "_SLICE_STEPS", 16)
-    large = align.build_base(to_spark(spark, pdf), AlignSettings("15min"))
-    assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
+    sliced = align.build_base(to_spark(spark, pdf), AlignSettings("15min"))
+    assert whole.exceptAll(sliced).isEmpty() and sliced.exceptAll(whole).isEmpty()
 
 
 def test_dedup_range_and_first_partial_bin(spark):
@@ -146,18 +145,18 @@ def pandas_clean(pdf, points, limit, n_sigma=3.0):
     return out
 
 
-@pytest.mark.parametrize("path", ["small", "chunked", "arrays"])
+@pytest.mark.parametrize("path", ["one block", "blocks", "arrays"])
 def test_clean_equals_pandas(spark, monkeypatch, path):
     minutes = (15, 5, 30)
     pdf = gappy(minutes=minutes)
     sizes = {15: (5, 2), 5: (13, 6), 30: (3, 1)}  # 60 and 30 minutes as odd points and rows
-    if path != "small":
+    if path != "one block":
         monkeypatch.setattr(ordering, "BLOCK_ROWS", 32)
         for f in (ordering.with_halo, ordering.own_rows):
             monkeypatch.setattr(f, "__defaults__", tuple(32 if v == 8192 else v for v in f.__defaults__))
     if path == "arrays":
         monkeypatch.setattr(clean, "MAX_FRAMES", 1)
-    got = clean.clean(base_frame(spark, pdf), CleanSettings(60, 3.0, 30), small=path == "small").orderBy("well", "ts").toPandas()
+    got = clean.clean(base_frame(spark, pdf), CleanSettings(60, 3.0, 30)).orderBy("well", "ts").toPandas()
     for i, (well, own) in enumerate(got.groupby("well")):
         want = pandas_clean(pdf[pdf.well == well].reset_index(drop=True), *sizes[minutes[i]])
         for c in (*METRICS, "Intake_Pressure_min", "Intake_Pressure_max"):
@@ -186,18 +185,18 @@ def pandas_delta(x, ts, w, s, mp):
     return ((now - before) / before.replace(0, np.nan)).replace([np.inf, -np.inf], np.nan).to_numpy()
 
 
-@pytest.mark.parametrize("path", ["small", "chunked", "arrays"])
+@pytest.mark.parametrize("path", ["one block", "blocks", "arrays"])
 def test_features_equal_pandas(spark, monkeypatch, path):
     minutes = (15, 5, 30)
     pdf = gappy(seed=8, minutes=minutes)
     sizes = {15: (4, 2, 2), 5: (12, 6, 6), 30: (2, 1, 1)}
-    if path != "small":
+    if path != "one block":
         for f in (ordering.with_halo, ordering.own_rows):
             monkeypatch.setattr(f, "__defaults__", tuple(32 if v == 8192 else v for v in f.__defaults__))
     if path == "arrays":
         monkeypatch.setattr(features, "MAX_FRAMES", 0)
     cfg = FeatureSettings(60, 30, 30)
-    got = features.feature_frame(base_frame(spark, pdf), None, cfg, small=path == "small").orderBy("well", "ts").toPandas()
+    got = features.feature_frame(base_frame(spark, pdf), None, cfg).orderBy("well", "ts").toPandas()
     names = {"pressure": "Intake_Pressure", "current": "Current", "temperature": "Motor_Temperature"}
     for i, (well, own) in enumerate(got.groupby("well")):
         src = pdf[pdf.well == well].reset_index(drop=True)
@@ -214,14 +213,13 @@ def intervals_frame(spark, rows):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}).withColumn("notes", F.array().cast("array<string>"))
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_baseline_counts_overlaps_twice_and_scales(spark, small):
+def test_baseline_counts_overlaps_twice_and_scales(spark):
     pdf = gappy(seed=2, wells=2)
     base = base_frame(spark, pdf)
     spans = [("w0", "2024-01-01 00:00", "2024-01-02 12:00"), ("w0", "2024-01-01 10:00", "2024-01-02 00:00"), ("w1", "2024-01-01 05:00", "2024-01-02 05:00")]
     normal = intervals_frame(spark, [(i, i, *s, "normal", "n") for i, s in enumerate(spans)])
     cfg = BaselineSettings(bin_width=20.0, min_points=8)
-    got = {(r.metric, r.bin_index): r for r in build_baseline(base, normal, cfg, small).collect()}
+    got = {(r.metric, r.bin_index): r for r in build_baseline(base, normal, cfg).collect()}
     inside = pd.concat([pdf[(pdf.well == w) & (pdf.ts >= a) & (pdf.ts <= b)] for w, a, b in spans])
     want = {}
     for m in ("Intake_Pressure", "Current", "Motor_Temperature"):
@@ -234,8 +232,8 @@ def test_baseline_counts_overlaps_twice_and_scales(spark, small):
         assert got[k]["count"] == n
         np.testing.assert_allclose([got[k]["median"], got[k]["mad"]], [median, mad], rtol=1e-12)
 
-    baseline = build_baseline(base, normal, cfg, small)
-    rows = features.feature_frame(base, baseline, FeatureSettings(60, 30, 30), cfg, small).toPandas()
+    baseline = build_baseline(base, normal, cfg)
+    rows = features.feature_frame(base, baseline, FeatureSettings(60, 30, 30), cfg).toPandas()
     assert (rows["pressure_scale"].dropna() >= 0.05).all() and rows["pressure_scale"].notna().all()
     hit = rows["pressure_expected"].notna()
     np.testing.assert_allclose(rows["pressure_residual"][hit], rows["pressure"][hit] - rows["pressure_expected"][hit])

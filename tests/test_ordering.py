@@ -35,15 +35,14 @@ def as_pandas(df, *order):
     return df.orderBy(*order).toPandas()
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_positions_and_neighbours(spark, small):
+def test_positions_and_neighbours(spark):
     pdf = series()
-    df = ordering.positions(frame(spark, pdf), ["well"], "ts", DAY, small=small)
+    df = ordering.positions(frame(spark, pdf), ["well"], "ts", DAY)
     got = as_pandas(df, "well", "ts")
     assert got["pos"].tolist() == [*range(1, 401)] * 2
 
     chunked = df.withColumn("_c", ordering.block_of("pos", 7))
-    near = as_pandas(ordering.neighbours(chunked, ["well"], "_c", ["pos"], ["x"], small=small), "well", "ts")
+    near = as_pandas(ordering.neighbours(chunked, ["well"], "_c", ["pos"], ["x"]), "well", "ts")
     grouped = pdf.groupby("well")["x"]
     np.testing.assert_allclose(near["x_prev"].astype(float), grouped.ffill())
     np.testing.assert_allclose(near["x_next"].astype(float), grouped.bfill())
@@ -69,13 +68,12 @@ def test_halo_frames_equal_whole_windows(spark):
 
 def test_sampling_gaps(spark):
     df = frame(spark, series())
-    parts = [ordering.sampling_gaps(df, ["well"], "ts", 2 * DAY, small=s) for s in (True, False)]
+    parts = [ordering.sampling_gaps(df, ["well"], "ts", days * DAY) for days in (2, 10_000)]
     assert parts[0].count() == 798
     assert parts[0].exceptAll(parts[1]).isEmpty() and parts[1].exceptAll(parts[0]).isEmpty()
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_exact_quantiles(spark, small):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame(
         {
@@ -88,7 +86,7 @@ def test_exact_quantiles(spark, small):
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.937, "e": 1.0}
     df = spark.createDataFrame(pdf)
     for weight in (None, "w"):
-        got = exact_quantiles(df, ["k"], "v", probs, weight, small).orderBy("k").toPandas()
+        got = exact_quantiles(df, ["k"], "v", probs, weight).orderBy("k").toPandas()
         for _, row in got.iterrows():
             own = pdf[pdf.k == row.k]
             values = np.repeat(own.v, own.w) if weight else own.v

@@ -15,7 +15,7 @@ from wellspark.functions.scalar import finite, floor_div, from_micros, micros
 from wellspark.operators.ordering import positions
 from wellspark.operators.quantiles import exact_quantiles
 from wellspark.schema import DAY, AlignSettings, frequency_micros
-from wellspark.staging import fits_one_task, stage
+from wellspark.staging import stage
 
 _SLICE_STEPS = 4096  # grid steps per slice when positions are numbered
 
@@ -143,7 +143,7 @@ def build_base(telemetry: DataFrame, cfg: AlignSettings = AlignSettings()) -> Da
     if not cfg.frequency:
         raw = AlignSettings("", cfg.aggregation, cfg.metrics, ())
         wide = stage(pivot_metrics(samples, raw), "base-raw")
-        return positions(wide, ["well"], "ts", DAY, small=fits_one_task(wide))
+        return positions(wide, ["well"], "ts", DAY)
     step = frequency_micros(cfg.frequency)
     bins = stage(resample(samples, cfg), "bins")
     skeleton = bins.select("well", "range_start", "range_end", "ts", "metric", "value", "min_value", "max_value")
@@ -151,8 +151,6 @@ def build_base(telemetry: DataFrame, cfg: AlignSettings = AlignSettings()) -> Da
         empty = dense_labels(bins, metric, step)
         skeleton = skeleton.unionByName(empty, allowMissingColumns=True)
     wide = pivot_metrics(in_range(skeleton), cfg)
-    if fits_one_task(bins):
-        return positions(wide, ["well"], "ts", step * _SLICE_STEPS, small=True)
     return positions(stage(wide, "grid"), ["well"], "ts", step * _SLICE_STEPS)
 
 

@@ -29,17 +29,9 @@ def unpivot(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Dat
 
 
 def median_and_spread(
-    rows: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, small: bool = False
+    rows: DataFrame, keys: Sequence[str], value: str, weight: str | None = None
 ) -> DataFrame:
     """``(keys, n, median, spread)``: exact median and median absolute deviation per key."""
-    if small:
-        counted = F.col(weight) if weight else F.lit(1)
-        centred = rows.withColumn("median", F.percentile(value, F.lit(0.5), counted).over(Window.partitionBy(*keys)))
-        return centred.groupBy(*keys).agg(
-            F.sum(counted.cast("bigint")).alias("n"),
-            F.first("median").alias("median"),
-            F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5), counted).alias("spread"),
-        )
     medians = stage(exact_quantiles(rows, keys, value, {"median": 0.5}, weight), "medians")
     away = rows.join(medians.select(*keys, "median"), list(keys)).withColumn("_away", F.abs(F.col(value) - F.col("median")))
     spreads = exact_quantiles(away, keys, "_away", {"spread": 0.5}, weight).drop("n")
@@ -47,7 +39,7 @@ def median_and_spread(
 
 
 def build_baseline(
-    base: DataFrame, normal: DataFrame, cfg: BaselineSettings = BaselineSettings(), small: bool = False
+    base: DataFrame, normal: DataFrame, cfg: BaselineSettings = BaselineSettings()
 ) -> DataFrame:
     """Robust centre and spread per (metric, frequency bin) over the normal intervals.
 
@@ -55,14 +47,13 @@ def build_baseline(
     ``min_points`` points are left out; without a bin width the baseline is empty.
     """
     width = cfg.bin_width if cfg.enabled else 0
-    segments = bucketed_coverage(normal, small=small)
+    segments = bucketed_coverage(normal)
     inside = weigh_points(base.where(F.col(FREQUENCY).isNotNull() & F.lit(width > 0)), segments)
     inside = inside.withColumn("bin_index", freq_bin(FREQUENCY, width or 1.0)).where(F.col("bin_index").isNotNull())
     points = unpivot(inside, ["bin_index", "weight"], cfg.metrics)
-    if not small:
-        points = stage(points, "baseline-points")
+    points = stage(points, "baseline-points")
     keys = ["metric", "bin_index"]
-    stats = median_and_spread(points, keys, "value", "weight", small).where(F.col("n") >= cfg.min_points)
+    stats = median_and_spread(points, keys, "value", "weight").where(F.col("n") >= cfg.min_points)
     mad = F.col("spread") * _SIGMA
     return stats.select(
         "metric",
@@ -84,7 +75,7 @@ def baseline_by_bin(baseline: DataFrame, metrics: Sequence[str] = tuple(MODELLED
 
 
 def scale_profile(
-    base: DataFrame, baseline: DataFrame, width: float, metrics: Sequence[str] = tuple(MODELLED), small: bool = False
+    base: DataFrame, baseline: DataFrame, width: float, metrics: Sequence[str] = tuple(MODELLED)
 ) -> DataFrame:
     """Scale to use where a well's metric has no bin: ``(well, metric, fallback, fill)``.
 
@@ -92,14 +83,14 @@ def scale_profile(
     metric, and the metric has at least one bin.
     """
     values = unpivot(base, ["well"], metrics)
-    spread = median_and_spread(values, ["well", "metric"], "value", small=small).select("well", "metric", "spread")
+    spread = median_and_spread(values, ["well", "metric"], "value").select("well", "metric", "spread")
     deviation = values.groupBy("well", "metric").agg(F.stddev_pop("value").alias("deviation"))
     raw = F.when(F.col("spread") > 0, F.col("spread")).when(F.col("deviation") > 0, F.col("deviation")).otherwise(1.0)
     fallback = spread.join(deviation, ["well", "metric"]).select("well", "metric", (raw * _SIGMA).alias("fallback"))
 
     at_bin = base.where(F.col(FREQUENCY).isNotNull()).groupBy("well", freq_bin(FREQUENCY, width).alias("bin_index"))
     scales = at_bin.agg(F.count("*").alias("_rows")).join(baseline.select("metric", "bin_index", "mad"), "bin_index")
-    found = exact_quantiles(scales, ["well", "metric"], "mad", {"found": 0.5}, "_rows", small).select("well", "metric", "found")
+    found = exact_quantiles(scales, ["well", "metric"], "mad", {"found": 0.5}, "_rows").select("well", "metric", "found")
 
     with_frequency = base.where(F.col(FREQUENCY).isNotNull()).select("well").distinct()
     known = baseline.select("metric").distinct()

@@ -18,11 +18,11 @@ _SIGMA = 1.4826  # scales a median absolute deviation to a standard deviation
 
 
 def sampling_step(
-    rows: DataFrame, keys: Sequence[str], ts: str = "ts", width_us: int = 64 * DAY, small: bool = False
+    rows: DataFrame, keys: Sequence[str], ts: str = "ts", width_us: int = 64 * DAY
 ) -> DataFrame:
     """Median gap in seconds per key: ``(keys, step)``; keys with fewer than two samples are absent."""
-    gaps = sampling_gaps(rows, keys, ts, width_us, small)
-    steps = exact_quantiles(gaps, keys, "gap", {"step": 0.5}, small=small)
+    gaps = sampling_gaps(rows, keys, ts, width_us)
+    steps = exact_quantiles(gaps, keys, "gap", {"step": 0.5})
     return steps.select(*keys, F.when(F.col("step") > 0, F.col("step")).otherwise(60.0).alias("step"))
 
 
@@ -31,10 +31,10 @@ def whole_points(minutes: float, step) -> Column:
     return F.bround(F.lit(float(minutes)) * 60.0 / F.col(step)).cast("int")
 
 
-def clean_params(base: DataFrame, cfg: CleanSettings, small: bool = False) -> DataFrame:
+def clean_params(base: DataFrame, cfg: CleanSettings) -> DataFrame:
     """Per well: half-width of the outlier frame and fill limit in rows: ``(well, half, fill)``."""
     wells = base.groupBy("well").agg(F.count("*").alias("_rows"))
-    known = sampling_step(base, ["well"], small=small)
+    known = sampling_step(base, ["well"])
     steps = wells.join(known, "well", "left").withColumn("step", F.coalesce("step", F.lit(60.0)))
     points = F.greatest(whole_points(cfg.hampel_minutes, "step"), F.lit(3))
     half = F.floor(points / 2).cast("int")  # an even count is widened to the next odd one
@@ -78,7 +78,7 @@ def _centred_median(x: str, order: WindowSpec, halves: list[int] | None, widest:
 
 
 def clean(
-    base: DataFrame, cfg: CleanSettings = CleanSettings(), metrics: Sequence[str] = METRICS, small: bool = False
+    base: DataFrame, cfg: CleanSettings = CleanSettings(), metrics: Sequence[str] = METRICS
 ) -> DataFrame:
     """Outliers nulled, then short gaps filled forward; adds ``<m>_outlier`` and ``<m>_filled`` flags.
 
@@ -88,9 +88,7 @@ def clean(
     if not cfg.active:
         flags = [F.lit(False).alias(f"{m}_{kind}") for m in metrics for kind in ("outlier", "filled")]
         return base.select("*", *flags)
-    params = clean_params(base, cfg, small)
-    if not small:
-        params = stage(params, "clean-params")
+    params = stage(clean_params(base, cfg), "clean-params")
     sizes = frame_choices(params, ["half", "fill"])
     if sizes is None:
         widest, longest = params.agg(F.max("half"), F.max("fill")).first()

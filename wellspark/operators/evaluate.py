@@ -13,7 +13,7 @@ _DELTAS = ("pressure_delta", "pressure_slope", "current_delta", "temperature_del
 
 
 def first_triggers(
-    features: DataFrame, intervals: DataFrame, rules: DataFrame, cfg: FeatureSettings, small: bool = False
+    features: DataFrame, intervals: DataFrame, rules: DataFrame, cfg: FeatureSettings
 ) -> DataFrame:
     """One row per interval: grid points looked at and the first point inside it with a base signal.
 
@@ -23,7 +23,7 @@ def first_triggers(
     marked = features.select("well", "ts", *_DELTAS).join(rules.select("well", "thr_delta", "thr_slope"), "well", "left")
     marked = marked.withColumn("_signal", base_signal("pressure_delta", "pressure_slope", "thr_delta", "thr_slope"))
     spans = intervals.select("interval_id", "well", "start_ts", "end_ts")
-    pairs = points_in_intervals(marked, spans, start=F.col("start_ts") - warm, small=small)
+    pairs = points_in_intervals(marked, spans, start=F.col("start_ts") - warm)
     hit = F.col("_signal") & (F.col("ts") >= F.col("start_ts"))
     seen = pairs.groupBy("interval_id").agg(
         F.count("*").alias("evaluated_points"),

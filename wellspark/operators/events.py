@@ -38,7 +38,6 @@ def score_points(
     model: ResidualModel | None,
     normals: DataFrame,
     cfg: DetectSettings,
-    small: bool = False,
 ) -> DataFrame:
     """Flags and the combined signal at every grid point of the wells in ``rules`` (columns ``SCORED``)."""
     rows = features.join(rules.select("well", "thr_delta", "thr_slope", "holdout"), "well")
@@ -51,13 +50,13 @@ def score_points(
             "_steep": F.coalesce(F.abs("pressure_slope") >= F.col("thr_slope"), F.lit(False)),
         }
     ).withColumn("t2_flag", F.coalesce(F.col("t2_stat") > threshold, F.lit(False)))
-    averaged = ewma_flags(features, model, cfg.residual, small)
+    averaged = ewma_flags(features, model, cfg.residual)
     if averaged is None:
         rows = rows.withColumn("ewma_flag", F.lit(False))
     else:
         flagged = averaged.withColumn("_ewma", F.lit(True))
         rows = rows.join(flagged, ["well", "pos"], "left").withColumn("ewma_flag", F.coalesce("_ewma", F.lit(False)))
-    rows = mark_normal(rows, normals, small=small)
+    rows = mark_normal(rows, normals)
     exempt = F.col("holdout") | ~F.col("in_normal")
     rows = rows.withColumn("residual_flag", F.col("t2_flag") & F.col("spike_flag") & F.col("_steep") & exempt)
     return rows.withColumn("signal", F.col("base_flag") | F.col("residual_flag")).select(*SCORED)
@@ -87,7 +86,7 @@ def _kept_edges(gap_us: int):
     return keep
 
 
-def suppress_gap(edges: DataFrame, gap_minutes: float, small: bool = False) -> DataFrame:
+def suppress_gap(edges: DataFrame, gap_minutes: float) -> DataFrame:
     """Edges at least ``gap_minutes`` after the last kept one of their well: ``(well, ts)``.
 
     An edge that far after the edge before it is always kept, so each run of closer
@@ -103,7 +102,7 @@ def suppress_gap(edges: DataFrame, gap_minutes: float, small: bool = False) -> D
     own = near.where(F.col("_slice") == floor_div("_us", width))
     starts = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= gap)
     marked = own.withColumn("_start", F.when(starts, F.col("_us")))
-    runs = neighbours(marked, ["well"], "_slice", ["_us"], ["_start"], small).select("well", "_us", F.col("_start_prev").alias("_run"))
+    runs = neighbours(marked, ["well"], "_slice", ["_us"], ["_start"]).select("well", "_us", F.col("_start_prev").alias("_run"))
     kept = runs.repartition("well", "_run").sortWithinPartitions("well", "_run", "_us")
     return kept.mapInPandas(_kept_edges(gap), "well string, _us bigint").select("well", from_micros("_us").alias("ts"))
 
@@ -196,7 +195,7 @@ def _match_wells(guard_us: int):
 
 
 def match_references(
-    events: DataFrame, refs: DataFrame, scored: DataFrame, rules: DataFrame, cfg: DetectSettings, small: bool = False
+    events: DataFrame, refs: DataFrame, scored: DataFrame, rules: DataFrame, cfg: DetectSettings
 ) -> DataFrame:
     """``(well, ts, interval_id, supplemental)``: each event's reference, at most one event per reference.
 
@@ -211,12 +210,12 @@ def match_references(
     points = flagged.select("well", "ts", *values)
     wanted = refs.join(rules.where(~F.col("holdout")).select("well"), "well", "left_semi")
     nearest = asof_nearest(
-        wanted.select("well", "interval_id", F.col("start_ts").alias("ts")), scored.select("well", "ts"), "interval_id", small=small
+        wanted.select("well", "interval_id", F.col("start_ts").alias("ts")), scored.select("well", "ts"), "interval_id"
     )
     nearest = stage(nearest.select("well", "interval_id", F.col("near_ts").alias("ts")), "nearest")
     spots = events.select("well", "ts").unionByName(nearest.select("well", "ts")).distinct()
     spots = stage(points.join(spots, ["well", "ts"]), "spots")
-    inside = containing(spots, refs, small=small).withColumnRenamed("interval_id", "contain_id")
+    inside = containing(spots, refs).withColumnRenamed("interval_id", "contain_id")
     spots = spots.join(inside, ["well", "ts"], "left").withColumn("contain_id", F.coalesce("contain_id", F.lit(-1)))
 
     usable = F.col("pressure_delta").isNotNull() & F.col("pressure_slope").isNotNull()
@@ -304,9 +303,9 @@ def event_snapshot(events: DataFrame, scored: DataFrame, base: DataFrame) -> Dat
     return rows.where(F.col("pressure_delta").isNotNull() & F.col("pressure_slope").isNotNull())
 
 
-def event_starts(scored: DataFrame, gap_minutes: float, small: bool = False) -> DataFrame:
+def event_starts(scored: DataFrame, gap_minutes: float) -> DataFrame:
     edges = rising_edges(scored.where("signal").select("well", "ts", "pos"))
-    return suppress_gap(edges, gap_minutes, small)
+    return suppress_gap(edges, gap_minutes)
 
 
 __all__ = [

@@ -25,10 +25,10 @@ FEATURES = (
 
 
 def window_params(
-    base: DataFrame, cfg: FeatureSettings, metrics: Sequence[str] = tuple(MODELLED), small: bool = False
+    base: DataFrame, cfg: FeatureSettings, metrics: Sequence[str] = tuple(MODELLED)
 ) -> DataFrame:
     """Rows per window, shift and minimum count of every (well, metric): ``(well, metric, w, s, mp)``."""
-    steps = sampling_step(unpivot(base, ["well", "ts"], metrics), ["well", "metric"], small=small)
+    steps = sampling_step(unpivot(base, ["well", "ts"], metrics), ["well", "metric"])
     fraction = min(1.0, cfg.min_samples / max(1, cfg.window_minutes))
     w = F.greatest(whole_points(cfg.window_minutes, "step"), F.lit(1))
     needed = F.least(w, F.ceil(w * F.lit(fraction)).cast("int"))
@@ -42,15 +42,15 @@ def window_params(
 
 
 def well_profile(
-    base: DataFrame, baseline: DataFrame | None, cfg: FeatureSettings, bcfg: BaselineSettings, small: bool = False
+    base: DataFrame, baseline: DataFrame | None, cfg: FeatureSettings, bcfg: BaselineSettings
 ) -> DataFrame:
     """One row per well with every per-(well, metric) constant the features need, prefixed by feature name."""
     keys = ["well", "metric"]
-    rows = window_params(base, cfg, small=small)
+    rows = window_params(base, cfg)
     if baseline is None:
         rows = rows.withColumns({"fallback": F.lit(None).cast("double"), "fill": F.lit(None).cast("double")})
     else:
-        rows = rows.join(scale_profile(base, baseline, bcfg.bin_width, small=small), keys, "full")
+        rows = rows.join(scale_profile(base, baseline, bcfg.bin_width), keys, "full")
     columns = []
     for metric, name in MODELLED.items():
         own = F.col("metric") == metric
@@ -151,7 +151,7 @@ def window_choices(profile: DataFrame, names: Sequence[str]) -> tuple[dict[str,
 
 
 def rolling_features(
-    rows: DataFrame, profile: DataFrame, names: Sequence[str] = tuple(MODELLED.values()), small: bool = False
+    rows: DataFrame, profile: DataFrame, names: Sequence[str] = tuple(MODELLED.values())
 ) -> DataFrame:
     """Adds ``<n>_delta`` per metric and the pressure slope to rows with residuals and window sizes."""
     sizes, reach = window_choices(profile, names)
@@ -166,7 +166,7 @@ def rolling_features(
     blocks = own_rows(blocks.withColumns(added))
     points = {f"_{n}_us": F.when(F.col(f"_{n}_before").isNotNull(), micros("ts")) for n in names}
     payloads = [f"_{n}_{c}" for n in names for c in ("us", "before")]
-    around = neighbours(blocks.withColumns(points), ["well"], "_block", ["pos"], payloads, small)
+    around = neighbours(blocks.withColumns(points), ["well"], "_block", ["pos"], payloads)
     around = around.withColumns({f"_{n}_before": interpolate_time(f"_{n}_us", f"_{n}_before") for n in names})
     change = {n: F.col(f"_{n}_now") - F.col(f"_{n}_before") for n in names}
     return around.withColumns({f"{n}_delta": safe_divide(change[n], f"_{n}_before") for n in names})
@@ -177,14 +177,13 @@ def feature_frame(
     baseline: DataFrame | None,
     cfg: FeatureSettings = FeatureSettings(),
     bcfg: BaselineSettings = BaselineSettings(),
-    small: bool = False,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """``(well, ts, pos, <20 features>)`` of every grid row; ``base`` and ``baseline`` should be staged.
 
     ``keep`` names base columns to carry along, which saves a later join back.
     """
-    profile = stage(well_profile(base, baseline, cfg, bcfg, small), "profile")
+    profile = stage(well_profile(base, baseline, cfg, bcfg), "profile")
     residuals = apply_baseline(base, baseline, profile, bcfg.bin_width)
-    rows = rolling_features(residuals, profile, small=small)
+    rows = rolling_features(residuals, profile)
     return rows.select("well", "ts", "pos", *FEATURES, *keep)

@@ -80,16 +80,11 @@ def train_or_all(intervals: DataFrame, holdout: Sequence[str], by: Sequence[str]
     return marked.join(some, list(by)).where(F.col("_train") | ~F.col("_some")).drop("_train", "_some")
 
 
-def coverage(intervals: DataFrame, small: bool = False) -> DataFrame:
+def coverage(intervals: DataFrame) -> DataFrame:
     """Disjoint segments with the number of intervals over each: ``(well, seg_start, seg_end, weight)`` in microseconds."""
     starts = intervals.select("well", micros("start_ts").alias("us"), F.lit(1).alias("d"))
     ends = intervals.select("well", (micros("end_ts") + 1).alias("us"), F.lit(-1).alias("d"))
     marks = starts.unionByName(ends).groupBy("well", "us").agg(F.sum("d").alias("d"))
-    if small:
-        order = Window.partitionBy("well").orderBy("us")
-        depth = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("weight")
-        swept = marks.select("well", F.col("us").alias("seg_start"), (F.lead("us").over(order) - 1).alias("seg_end"), depth)
-        return swept.where(F.col("weight") > 0)
     marks = marks.withColumn("_slice", floor_div("us", _SWEEP_US))
     inside = Window.partitionBy("well", "_slice").orderBy("us")
     across = Window.partitionBy("well").orderBy("_slice")
@@ -126,14 +121,14 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(floor_div(start, width), floor_div(end, width)))
 
 
-def bucketed_coverage(intervals: DataFrame, width: int = BUCKET_US, small: bool = False) -> DataFrame:
+def bucketed_coverage(intervals: DataFrame, width: int = BUCKET_US) -> DataFrame:
     """Coverage cut along time buckets, the right side of :func:`weigh_points`.
 
-    Staged unless small, so that its written size decides whether it is broadcast.
+    Staged, so that its written size decides whether it is broadcast.
     """
-    segments = coverage(intervals, small)
+    segments = coverage(intervals)
     cut = segments.select("*", _buckets(F.col("seg_start"), F.col("seg_end"), width).alias("_bucket"))
-    return cut if small else stage(cut, "segments")
+    return stage(cut, "segments")
 
 
 def weigh_points(points: DataFrame, segments: DataFrame, how: str = "inner", width: int = BUCKET_US) -> DataFrame:
@@ -151,9 +146,9 @@ def weigh_points(points: DataFrame, segments: DataFrame, how: str = "inner", wid
     return joined.drop("_bucket", "_us", "_well", "_seg_bucket", "seg_start", "seg_end")
 
 
-def mark_normal(points: DataFrame, normal: DataFrame, out: str = "in_normal", small: bool = False) -> DataFrame:
+def mark_normal(points: DataFrame, normal: DataFrame, out: str = "in_normal") -> DataFrame:
     """Adds whether a point lies in any of the intervals of its well."""
-    marked = weigh_points(points, bucketed_coverage(normal, small=small), "left")
+    marked = weigh_points(points, bucketed_coverage(normal), "left")
     return marked.withColumn(out, F.col("weight").isNotNull()).drop("weight")
 
 
@@ -162,17 +157,16 @@ def points_in_intervals(
     intervals: DataFrame,
     start: Column | None = None,
     width: int = BUCKET_US,
-    small: bool = False,
 ) -> DataFrame:
     """One row per point and interval that holds it (both ends closed); ``start`` may widen the interval.
 
-    The bucketed intervals are staged unless small, so that their written size decides the join.
+    The bucketed intervals are staged, so that their written size decides the join.
     """
     begin = F.coalesce(start, F.col("start_ts")) if start is not None else F.col("start_ts")
     cut = intervals.withColumns({"_from": begin}).select(
         "*", _buckets(micros("_from"), micros("end_ts"), width).alias("_bucket")
     )
-    cut = cut if small else stage(cut, "interval-buckets")
+    cut = stage(cut, "interval-buckets")
     at = floor_div(micros("ts"), width)
     return (
         points.withColumn("_bucket", at)
@@ -183,11 +177,11 @@ def points_in_intervals(
 
 
 def containing(
-    points: DataFrame, refs: DataFrame, id_columns: Sequence[str] = ("well", "ts"), small: bool = False
+    points: DataFrame, refs: DataFrame, id_columns: Sequence[str] = ("well", "ts")
 ) -> DataFrame:
     """Per point the first reference (annotation order) that contains it: ``(ids, interval_id)``."""
     spans = refs.select("well", "interval_id", "row_id", "start_ts", "end_ts")
-    pairs = points_in_intervals(points.select(*id_columns), spans, small=small)
+    pairs = points_in_intervals(points.select(*id_columns), spans)
     return pairs.groupBy(*id_columns).agg(F.min_by("interval_id", "row_id").alias("interval_id"))
 
 
@@ -198,13 +192,13 @@ def uncovered(refs: DataFrame, points: DataFrame, width: int = BUCKET_US) -> Dat
 
 
 def asof_nearest(
-    left: DataFrame, right: DataFrame, left_id: str, width: int = _SWEEP_US, small: bool = False
+    left: DataFrame, right: DataFrame, left_id: str, width: int = _SWEEP_US
 ) -> DataFrame:
     """For each left row ``(well, <left_id>, ts)`` the nearest right time of its well, later on ties: adds ``near_ts``."""
     seekers = left.select("well", "ts", F.lit(1).alias("_seeks"), F.col(left_id).alias("_id"))
     found = right.select("well", "ts", F.lit(0).alias("_seeks"), F.col("ts").alias("_at"))
     both = seekers.unionByName(found, allowMissingColumns=True).withColumn("_slice", time_slice("ts", width))
-    around = neighbours(both, ["well"], "_slice", ["ts", "_seeks"], ["_at"], small)
+    around = neighbours(both, ["well"], "_slice", ["ts", "_seeks"], ["_at"])
     back = micros("ts") - micros("_at_prev")
     ahead = micros("_at_next") - micros("ts")
     near = F.when(F.col("_at_prev").isNull() | (ahead <= back), F.col("_at_next")).otherwise(F.col("_at_prev"))

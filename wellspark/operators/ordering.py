@@ -25,11 +25,9 @@ def time_slice(ts, width_us: int) -> Column:
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str = "pos", small: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str = "pos"
 ) -> DataFrame:
     """Adds the 1-based position of each row in its key's ``order``; ``chunk`` must grow with that order."""
-    if small:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     chunked = df.withColumn("_chunk", chunk)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,10 +45,10 @@ def number_rows(
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], ts: str, width_us: int, out: str = "pos", small: bool = False
+    df: DataFrame, keys: Sequence[str], ts: str, width_us: int, out: str = "pos"
 ) -> DataFrame:
     """Adds the 1-based position of each row in its key's time order."""
-    return number_rows(df, keys, [ts], time_slice(ts, width_us), out, small)
+    return number_rows(df, keys, [ts], time_slice(ts, width_us), out)
 
 
 def block_of(pos, rows: int = BLOCK_ROWS) -> Column:
@@ -75,14 +73,12 @@ def own_rows(df: DataFrame, pos: str = "pos", rows: int = BLOCK_ROWS) -> DataFra
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], payloads: Sequence[str], small: bool = False
+    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], payloads: Sequence[str]
 ) -> DataFrame:
     """For each payload adds ``<p>_prev`` and ``<p>_next``: its nearest non-null value at or before / after the row.
 
-    ``chunk`` must grow with ``order`` inside a key. ``small`` says a whole key fits one task.
+    ``chunk`` must grow with ``order`` inside a key.
     """
-    if small:
-        df = df.withColumn(chunk, F.lit(0))
     up = Window.partitionBy(*keys, chunk).orderBy(*order)
     down = Window.partitionBy(*keys, chunk).orderBy(*[F.col(c).desc() for c in order])
     ordinal = F.struct(*order) if len(order) > 1 else F.col(order[0])
@@ -91,8 +87,6 @@ def neighbours(
         *[F.last(p, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{p}_prev") for p in payloads],
         *[F.last(p, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{p}_next") for p in payloads],
     )
-    if small:
-        return inner
     edges = df.groupBy(*keys, chunk).agg(
         *[F.max_by(p, F.when(F.col(p).isNotNull(), ordinal)).alias(f"{p}_last") for p in payloads],
         *[F.min_by(p, F.when(F.col(p).isNotNull(), ordinal)).alias(f"{p}_first") for p in payloads],
@@ -123,13 +117,9 @@ def forward_fill(
     return filled.select(*[F.col(f"{c}_prev").alias(c) if c in columns else F.col(c) for c in names])
 
 
-def sampling_gaps(df: DataFrame, keys: Sequence[str], ts: str, width_us: int, small: bool = False) -> DataFrame:
+def sampling_gaps(df: DataFrame, keys: Sequence[str], ts: str, width_us: int) -> DataFrame:
     """One row per gap between consecutive samples of a key: ``(keys, gap)`` in seconds."""
     gap = ((micros("_ts") - micros("_before")) / F.lit(1e6)).alias("gap")
-    if small:
-        order = Window.partitionBy(*keys).orderBy("_ts")
-        rows = df.select(*keys, F.col(ts).alias("_ts")).withColumn("_before", F.lag("_ts").over(order))
-        return rows.where(F.col("_before").isNotNull()).select(*keys, gap)
     sliced = df.select(*keys, F.col(ts).alias("_ts"), time_slice(ts, width_us).alias("_slice"))
     inside = Window.partitionBy(*keys, "_slice").orderBy("_ts")
     within = sliced.select(*keys, "_ts", F.lag("_ts").over(inside).alias("_before"))

@@ -1,8 +1,10 @@
 """Exact interpolated quantiles of groups of any size.
 
 The built-in exact percentile keeps a group's distinct values in one buffer. Here
-values are binned on a fixed logarithmic scale, ranks are located from bin counts,
-and only the bins that hold a wanted rank are ordered.
+values are binned on a fixed logarithmic scale and ranks are located from bin counts,
+which are summed before they are exchanged; of the values themselves only those in a bin
+that holds a wanted rank are exchanged and ordered. The input is read twice, so it should
+be a written table.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wellspark.staging import stage
+
 _PER_E_FOLD = 2048
 _OFFSET = 800 * _PER_E_FOLD  # ln of any positive double is above -746
 
@@ -23,14 +27,17 @@ def value_bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
 
 
+def _weighed(df: DataFrame, keys: Sequence[str], value: str, weight: str | None) -> DataFrame:
+    """Usable values with their bin: ``(keys, _bin, _v, _c)``, one row per input row."""
+    v = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    count = (F.col(weight) if weight else F.lit(1)).cast("bigint")
+    return rows.select(*keys, value_bin(v).alias("_bin"), v.alias("_v"), count.alias("_c"))
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Weighted count of each distinct non-null value, with its bin: ``(keys, _bin, _v, _c)``."""
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *keys,
-        F.col(value).cast("double").alias("_v"),
-        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"),
-    )
-    return rows.groupBy(*keys, value_bin(F.col("_v")).alias("_bin"), "_v").agg(F.sum("_w").alias("_c"))
+    return _weighed(df, keys, value, weight).groupBy(*keys, "_bin", "_v").agg(F.sum("_c").alias("_c"))
 
 
 def bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,12 +56,8 @@ def bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def cumulative_counts(counts: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
+def cumulative_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds to each distinct value ``_upto`` (rows at or below it) and ``_n`` (rows of the key)."""
-    if small:
-        whole = Window.partitionBy(*keys)
-        running = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns({"_upto": F.sum("_c").over(running), "_n": F.sum("_c").over(whole)})
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     joined = counts.join(bin_offsets(counts, keys), [*keys, "_bin"])
     return joined.withColumn("_upto", F.sum("_c").over(inside) + F.col("_below")).drop("_in", "_below")
@@ -66,22 +69,15 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     weight: str | None = None,
-    small: bool = False,
 ) -> DataFrame:
     """``(keys, n, <name>…)``: linearly interpolated quantiles of the non-null values per key.
 
     ``weight`` repeats a row that many times. Keys without values are absent.
-    ``small`` says the whole input fits one task, so the built-in percentile may be used.
     """
     if not keys:
         tagged = df.withColumn("_all", F.lit(1))
-        return exact_quantiles(tagged, ["_all"], value, probs, weight, small).drop("_all")
-    if small:
-        rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-        counted = F.col(weight) if weight else F.lit(1)
-        found = [F.percentile(value, F.lit(float(p)), counted).alias(name) for name, p in probs.items()]
-        return rows.groupBy(*keys).agg(F.sum(counted.cast("bigint")).alias("n"), *found)
-    counts = value_counts(df, keys, value, weight)
+        return exact_quantiles(tagged, ["_all"], value, probs, weight).drop("_all")
+    values = _weighed(df, keys, value, weight)
 
     def rank(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_n") - 1)
@@ -93,12 +89,11 @@ def exact_quantiles(
     wanted = F.lit(False)
     for p in probs.values():
         wanted = wanted | holds(F.floor(rank(p)), low, high) | holds(F.ceil(rank(p)), low, high)
+    # The bins that hold a rank: a few rows per key, written so that their size decides the join.
+    bins = stage(bin_offsets(values, keys).where(wanted), "ranks")
+    near = values.join(bins, [*keys, "_bin"]).groupBy(*keys, "_bin", "_v", "_below", "_n").agg(F.sum("_c").alias("_c"))
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        counts.join(bin_offsets(counts, keys).where(wanted), [*keys, "_bin"])
-        .withColumn("_high", F.sum("_c").over(inside) + F.col("_below"))
-        .withColumn("_low", F.col("_high") - F.col("_c"))
-    )
+    ranked = near.withColumn("_high", F.sum("_c").over(inside) + F.col("_below")).withColumn("_low", F.col("_high") - F.col("_c"))
     picks = [F.first("_n").alias("n")]
     for name, p in probs.items():
         for side, r in (("lo", F.floor(rank(p))), ("hi", F.ceil(rank(p)))):

@@ -58,8 +58,8 @@ def _moments(points: DataFrame, columns: list[str], chosen: Column) -> tuple[int
     return n, mean, cov
 
 
-def _cut(points: DataFrame, distance: Column, prob: float, small: bool) -> float:
-    found = exact_quantiles(points.withColumn("_d", distance), [], "_d", {"cut": prob}, "weight", small)
+def _cut(points: DataFrame, distance: Column, prob: float) -> float:
+    found = exact_quantiles(points.withColumn("_d", distance), [], "_d", {"cut": prob}, "weight")
     return found.first()["cut"]
 
 
@@ -67,14 +67,14 @@ def _usable(cov: np.ndarray) -> bool:
     return bool(np.isfinite(cov).all()) and np.linalg.det(cov) > 1e-12
 
 
-def normal_scores(features: DataFrame, normal: DataFrame, small: bool = False) -> DataFrame:
+def normal_scores(features: DataFrame, normal: DataFrame) -> DataFrame:
     """z-scores inside the normal intervals with the number of intervals over each point."""
     columns = [f"{n}_z" for n in MODELLED.values()]
-    return weigh_points(features.select("well", "ts", *columns), bucketed_coverage(normal, small=small)).select(*columns, "weight")
+    return weigh_points(features.select("well", "ts", *columns), bucketed_coverage(normal)).select(*columns, "weight")
 
 
 def fit_residual_model(
-    features: DataFrame, normal: DataFrame, cfg: ResidualSettings = ResidualSettings(), small: bool = False
+    features: DataFrame, normal: DataFrame, cfg: ResidualSettings = ResidualSettings()
 ) -> ResidualModel | None:
     """Minimum-covariance-determinant fit from a deterministic robust start.
 
@@ -84,7 +84,7 @@ def fit_residual_model(
     """
     if not cfg.enabled:
         return None
-    pool = stage(normal_scores(features, normal, small), "z-pool")
+    pool = stage(normal_scores(features, normal), "z-pool")
     names = list(MODELLED.values())
     whole = F.lit(True)
     for n in names:
@@ -105,7 +105,7 @@ def fit_residual_model(
     p = len(columns)
     h = math.ceil(0.5 * (n + p + 1))
 
-    start = median_and_spread(unpivot(points, ["weight"], columns), ["metric"], "value", "weight", small)
+    start = median_and_spread(unpivot(points, ["weight"], columns), ["metric"], "value", "weight")
     start = {r["metric"]: (r["median"], r["spread"]) for r in start.collect()}  # one row per coordinate
     location = [start[c][0] for c in columns]
     scales = [start[c][1] * 1.4826 for c in columns]
@@ -116,7 +116,7 @@ def fit_residual_model(
     for _ in range(max(1, cfg.max_steps)):
         distance = squared_distance(columns, location, precision)
         # half-way between the h-th and the next distance, so exactly h points are closer
-        chosen = distance <= F.lit(_cut(points, distance, (h - 0.5) / (n - 1), small)) if h < n else F.lit(True)
+        chosen = distance <= F.lit(_cut(points, distance, (h - 0.5) / (n - 1))) if h < n else F.lit(True)
         _, location, cov = _moments(points, columns, chosen)
         if not _usable(cov):
             return None
@@ -125,12 +125,12 @@ def fit_residual_model(
         if previous is not None and abs(determinant - previous) <= 1e-12 * abs(previous):
             break
     distance = squared_distance(columns, location, precision)
-    correction = _cut(points, distance, 0.5, small) / CHI2_MEDIAN[p - 1]
+    correction = _cut(points, distance, 0.5) / CHI2_MEDIAN[p - 1]
     kept, location, cov = _moments(points, columns, distance / F.lit(correction) < F.lit(CHI2_975[p - 1]))
     if not kept or not _usable(cov):
         return None
     precision = np.linalg.inv(cov)
-    threshold = _cut(points, squared_distance(columns, location, precision), 1.0 - cfg.t2_alpha, small)
+    threshold = _cut(points, squared_distance(columns, location, precision), 1.0 - cfg.t2_alpha)
     return ResidualModel(
         active, tuple(float(v) for v in location), tuple(tuple(float(v) for v in r) for r in precision), float(threshold)
     )
@@ -156,7 +156,7 @@ def spike_flag(model: ResidualModel | None, limit: float) -> Column:
     return hit
 
 
-def ewma(rows: DataFrame, lam: float, keys=("well", "metric"), order: str = "pos", x: str = "value", small: bool = False) -> DataFrame:
+def ewma(rows: DataFrame, lam: float, keys=("well", "metric"), order: str = "pos", x: str = "value") -> DataFrame:
     """Adds the exponentially weighted mean of the non-null ``x`` of a key, started at its first value.
 
     Runs on blocks so long that the weight of everything before the previous block is
@@ -170,7 +170,7 @@ def ewma(rows: DataFrame, lam: float, keys=("well", "metric"), order: str = "pos
     keep = 1.0 - lam
     length = max(2, math.ceil(53 * math.log(2) / -math.log(keep)))
     keys = list(keys)
-    numbered = number_rows(valid, keys, [order], floor_div(order, BLOCK_ROWS), "_nth", small)
+    numbered = number_rows(valid, keys, [order], floor_div(order, BLOCK_ROWS), "_nth")
     at = F.col("_at").cast("double")
     share = F.when(F.col("_nth") == 1, F.col(x)).otherwise(F.col(x) * F.lit(lam))
     inside = Window.partitionBy(*keys, "_run").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -184,10 +184,10 @@ def ewma(rows: DataFrame, lam: float, keys=("well", "metric"), order: str = "pos
     return local.join(ends, [*keys, "_run"], "left").withColumn("ewma", value).drop("_nth", "_run", "_at", "_local", "_carried")
 
 
-def ewma_flags(features: DataFrame, model: ResidualModel | None, cfg: ResidualSettings, small: bool = False) -> DataFrame | None:
+def ewma_flags(features: DataFrame, model: ResidualModel | None, cfg: ResidualSettings) -> DataFrame | None:
     """Grid points where any active metric's moving average is beyond the limit: ``(well, pos)``."""
     if model is None:
         return None
     z = unpivot(features, ["well", "pos"], [f"{m}_z" for m in model.metrics])
-    averaged = ewma(z, cfg.ewma_lambda, small=small)
+    averaged = ewma(z, cfg.ewma_lambda)
     return averaged.where(F.abs("ewma") > F.lit(cfg.ewma_limit)).select("well", "pos").distinct()

@@ -22,7 +22,7 @@ SUMMARY_COLUMNS = (
 
 
 def interval_stats(
-    features: DataFrame, intervals: DataFrame, cfg: Directions = Directions(), small: bool = False
+    features: DataFrame, intervals: DataFrame, cfg: Directions = Directions()
 ) -> DataFrame:
     """Statistics of each interval that holds grid points (24 columns).
 
@@ -32,7 +32,7 @@ def interval_stats(
     extrema = [f"Intake_Pressure_{side}" for side in ("min", "max")]
     missing = {x: F.lit(None).cast("double") for x in extrema if x not in features.columns}
     points = features.withColumns(missing).select("well", "ts", p, c, t, "frequency", *_DELTAS, *extrema)
-    pairs = points_in_intervals(points, intervals.select("interval_id", "well", "start_ts", "end_ts"), small=small)
+    pairs = points_in_intervals(points, intervals.select("interval_id", "well", "start_ts", "end_ts"))
     stats = pairs.groupBy("interval_id").agg(
         F.avg(p).alias("pressure_mean"),
         F.stddev_pop(p).alias("pressure_std"),
@@ -48,7 +48,7 @@ def interval_stats(
         F.avg("frequency").alias("frequency_mean"),
     )
     deltas = unpivot(pairs, ["interval_id"], _DELTAS)
-    middle = exact_quantiles(deltas, ["interval_id", "metric"], "value", {"median": 0.5}, small=small)
+    middle = exact_quantiles(deltas, ["interval_id", "metric"], "value", {"median": 0.5})
     medians = middle.groupBy("interval_id").agg(
         *[F.max(F.when(F.col("metric") == d, F.col("median"))).alias(f"{d}_median") for d in _DELTAS]
     )
@@ -86,7 +86,7 @@ def percentile_name(p: float) -> str:
 
 
 def label_summary(
-    stats: DataFrame, percentiles: Sequence[float] = (0.1, 0.5, 0.9), small: bool = False
+    stats: DataFrame, percentiles: Sequence[float] = (0.1, 0.5, 0.9)
 ) -> DataFrame:
     """Per label and column: count, mean, population std, min, max and percentiles; empty columns are absent."""
     rows = unpivot(stats, ["label"], SUMMARY_COLUMNS).withColumnRenamed("metric", "column")
@@ -98,7 +98,7 @@ def label_summary(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    ranks = exact_quantiles(rows, keys, "value", {percentile_name(p): p for p in percentiles}, small=small).drop("n")
+    ranks = exact_quantiles(rows, keys, "value", {percentile_name(p): p for p in percentiles}).drop("n")
     return plain.join(ranks, keys)
 
 

@@ -19,19 +19,19 @@ from wellspark.staging import stage
 FEATURE_LIMITS = {"pressure_delta": 10.0, "pressure_slope": 20.0, "current_delta": 10.0, "temperature_delta": 10.0}
 
 
-def pool_features(features: DataFrame, intervals: DataFrame, small: bool = False) -> DataFrame:
+def pool_features(features: DataFrame, intervals: DataFrame) -> DataFrame:
     """Usable feature values inside the intervals: ``(well, ts, feature, value, weight)``.
 
     ``weight`` is the number of intervals that hold the point.
     """
     names = list(FEATURE_LIMITS)
-    inside = weigh_points(features.select("well", "ts", *names), bucketed_coverage(intervals, small=small))
+    inside = weigh_points(features.select("well", "ts", *names), bucketed_coverage(intervals))
     rows = unpivot(inside, ["well", "ts", "weight"], names).withColumnRenamed("metric", "feature")
     limit = F.create_map(*[F.lit(x) for pair in FEATURE_LIMITS.items() for x in pair])[F.col("feature")]
     return rows.where(F.abs("value") <= limit)
 
 
-def outlier_scores(pool: DataFrame, small: bool = False) -> DataFrame:
+def outlier_scores(pool: DataFrame) -> DataFrame:
     """Tail score of each distinct value of a feature: ``(feature, value, count, score)``.
 
     The score is the negative log of the empirical tail probability, on the side the
@@ -41,17 +41,10 @@ def outlier_scores(pool: DataFrame, small: bool = False) -> DataFrame:
     mean = F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")
     away = F.col("_v") - F.col("_mean")
     lean = F.sum(F.col("_c") * away * away * away)
-    if small:
-        whole = Window.partitionBy("feature")
-        ranked = cumulative_counts(counts, ["feature"], small).withColumn(
-            "_mean", F.sum(F.col("_c") * F.col("_v")).over(whole) / F.col("_n")
-        )
-        ranked = ranked.withColumn("_skew", F.signum(lean.over(whole)))
-    else:
-        counts = stage(counts, "value-counts")
-        means = counts.groupBy("feature").agg(mean.alias("_mean"))
-        skew = counts.join(means, "feature").groupBy("feature").agg(F.signum(lean).alias("_skew"))
-        ranked = cumulative_counts(counts, ["feature"]).join(skew, "feature")
+    counts = stage(counts, "value-counts")
+    means = counts.groupBy("feature").agg(mean.alias("_mean"))
+    skew = counts.join(means, "feature").groupBy("feature").agg(F.signum(lean).alias("_skew"))
+    ranked = cumulative_counts(counts, ["feature"]).join(skew, "feature")
     n = F.col("_n")
     left = -F.log(F.col("_upto") / n)
     right = -F.log((n - F.col("_upto") + F.col("_c")) / n)
@@ -61,14 +54,14 @@ def outlier_scores(pool: DataFrame, small: bool = False) -> DataFrame:
     )
 
 
-def tail_thresholds(pool: DataFrame, contamination: Mapping[str, float], small: bool = False) -> DataFrame:
+def tail_thresholds(pool: DataFrame, contamination: Mapping[str, float]) -> DataFrame:
     """Per feature the smallest magnitude scored as an outlier: ``(feature, <name>…)``.
 
     Where nothing is an outlier the threshold is the largest magnitude. Features without values are absent.
     """
-    scores = stage(outlier_scores(pool, small), "scores")
+    scores = stage(outlier_scores(pool), "scores")
     probs = {f"_{name}": 1.0 - c for name, c in contamination.items()}
-    cuts = exact_quantiles(scores, ["feature"], "score", probs, "count", small)
+    cuts = exact_quantiles(scores, ["feature"], "score", probs, "count")
     size = F.abs("value")
     found = []
     for name in contamination:
@@ -92,11 +85,11 @@ def group_includes_normal(intervals: DataFrame, rules: CauseRules) -> DataFrame:
 
 
 def group_thresholds(
-    features: DataFrame, intervals: DataFrame, pool_intervals: DataFrame, cfg: DetectSettings, small: bool = False
+    features: DataFrame, intervals: DataFrame, pool_intervals: DataFrame, cfg: DetectSettings
 ) -> DataFrame:
     """``(cause_group, first_row, thr_delta, thr_slope, normal_delta, normal_slope)`` of every group with anomalies."""
-    pool = pool_features(features, pool_intervals, small).where(F.col("feature").isin("pressure_delta", "pressure_slope"))
-    cuts = tail_thresholds(pool, {"tight": cfg.contamination, "loose": cfg.normal_contamination}, small)
+    pool = pool_features(features, pool_intervals).where(F.col("feature").isin("pressure_delta", "pressure_slope"))
+    cuts = tail_thresholds(pool, {"tight": cfg.contamination, "loose": cfg.normal_contamination})
     fitted = {r["feature"]: r for r in cuts.collect()}  # at most two rows
     groups = group_includes_normal(intervals, cfg.causes)
 

@@ -22,12 +22,12 @@ from wellspark.staging import stage, together
 class Detection(Prepared):
     @cached_property
     def model(self) -> ResidualModel | None:
-        return fit_residual_model(self.features, self.train_normals, self.cfg.residual, self.few)
+        return fit_residual_model(self.features, self.train_normals, self.cfg.residual)
 
     @cached_property
     def thresholds(self) -> DataFrame:
         pool = train_or_all(self.normals, self.cfg.holdout)
-        return stage(group_thresholds(self.features, self.intervals, pool, self.cfg, self.few), "thresholds")
+        return stage(group_thresholds(self.features, self.intervals, pool, self.cfg), "thresholds")
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -41,15 +41,15 @@ class Detection(Prepared):
     def scored(self) -> DataFrame:
         spark = self.features.sparkSession
         together(spark, lambda: self.model, lambda: self.rules, lambda: self.references)
-        return stage(score_points(self.features, self.rules, self.model, self.normals, self.cfg, self.few), "scored")
+        return stage(score_points(self.features, self.rules, self.model, self.normals, self.cfg), "scored")
 
     @cached_property
     def events(self) -> DataFrame:
-        return stage(event_starts(self.scored, self.cfg.gap_minutes, self.small), "events")
+        return stage(event_starts(self.scored, self.cfg.gap_minutes), "events")
 
     @cached_property
     def matches(self) -> DataFrame:
-        found = match_references(self.events, self.references, self.scored, self.rules, self.cfg, self.few)
+        found = match_references(self.events, self.references, self.scored, self.rules, self.cfg)
         return stage(found, "matches")
 
     @property
@@ -60,14 +60,14 @@ class Detection(Prepared):
     def triggers(self, wells=None) -> DataFrame:
         """First trigger of each anomaly interval, of the given wells or all."""
         spans = self.anomalies if wells is None else self.anomalies.where(F.col("well").isin(list(wells)))
-        return first_triggers(self.features, spans, self.rules, self.cfg.features, self.few)
+        return first_triggers(self.features, spans, self.rules, self.cfg.features)
 
     @property
     def calibration(self) -> DataFrame:
         """Trigger values of the training intervals per cause group; thresholds do not depend on them."""
         grouped = map_groups(self.anomalies, self.cfg.causes)
         trained = train_or_all(grouped, self.cfg.holdout, ["cause_group"])
-        found = first_triggers(self.features, trained, self.rules, self.cfg.features, self.few)
+        found = first_triggers(self.features, trained, self.rules, self.cfg.features)
         return calibration_values(found, trained)
 
     def holdout_report(self, wells=None) -> DataFrame:

@@ -14,7 +14,7 @@ from wellspark.operators.clean import clean
 from wellspark.operators.features import feature_frame
 from wellspark.operators.intervals import reference_intervals, split_holdout
 from wellspark.schema import DetectSettings
-from wellspark.staging import fits_one_task, stage
+from wellspark.staging import stage
 
 
 @dataclass
@@ -29,19 +29,9 @@ class Prepared:
     def raw_base(self) -> DataFrame:
         return stage(build_base(self.telemetry, self.cfg.align), "base")
 
-    @cached_property
-    def small(self) -> bool:
-        """Whether all grid rows together fit one task; otherwise every operator takes its chunked path."""
-        return fits_one_task(self.raw_base)
-
-    @cached_property
-    def few(self) -> bool:
-        """The same for grid rows and intervals alike."""
-        return self.small and fits_one_task(self.intervals)
-
     @cached_property
     def flagged(self) -> DataFrame:
-        return stage(clean(self.raw_base, self.cfg.clean, self.cfg.align.metrics, self.small), "clean")
+        return stage(clean(self.raw_base, self.cfg.clean, self.cfg.align.metrics), "clean")
 
     @cached_property
     def base(self) -> DataFrame:
@@ -70,16 +60,16 @@ class Prepared:
     @cached_property
     def baseline(self) -> DataFrame:
         """Fitted on the training wells only."""
-        return stage(build_baseline(self.base, self.train_normals, self.cfg.baseline, self.few), "baseline")
+        return stage(build_baseline(self.base, self.train_normals, self.cfg.baseline), "baseline")
 
     @cached_property
     def full_baseline(self) -> DataFrame:
         """Fitted on every normal interval, as the reference analysis does."""
-        return stage(build_baseline(self.base, self.normals, self.cfg.baseline, self.few), "baseline-full")
+        return stage(build_baseline(self.base, self.normals, self.cfg.baseline), "baseline-full")
 
     def features_with(self, baseline: DataFrame) -> DataFrame:
         extrema = [c for c in self.base.columns if c.endswith(("_min", "_max"))]
-        rows = feature_frame(self.base, baseline, self.cfg.features, self.cfg.baseline, self.small, extrema)
+        rows = feature_frame(self.base, baseline, self.cfg.features, self.cfg.baseline, extrema)
         return stage(rows, "features")
 
     @cached_property

@@ -22,9 +22,9 @@ class ReferenceAnalysis(Prepared):
 
     @cached_property
     def stats(self) -> DataFrame:
-        rows = interval_stats(self.features, self.intervals, self.cfg.directions, self.few)
+        rows = interval_stats(self.features, self.intervals, self.cfg.directions)
         return stage(rows, "interval-stats")
 
     @property
     def summary(self) -> DataFrame:
-        return label_summary(self.stats, self.cfg.percentiles, self.few)
+        return label_summary(self.stats, self.cfg.percentiles)

@@ -20,9 +20,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-# Up to this many rows in a whole table, a group of them may be buffered by one task.
-SMALL_ROWS = 2_000_000
-
 _local_root: str | None = None
 _shipped: set[str] = set()
 
@@ -64,11 +61,6 @@ def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_one_task(staged: DataFrame) -> bool:
-    """Whether a staged table is so small that any group of its rows fits one task (a footer-only count)."""
-    return staged.count() <= SMALL_ROWS
-
-
 def together(spark: SparkSession, *steps: Callable[[], object]) -> list:
     """Runs independent steps at the same time, so their jobs share the cluster."""
     with ThreadPoolExecutor(len(steps)) as pool:
