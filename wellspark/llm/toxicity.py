@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from wellspark.llm import kernel
 from wellspark.llm.arrow import schema_of, slices
 
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 LANDMARKS = 64
 DEGREE = 2
 _SHORTEST, _LONGEST = 3, 12
@@ -126,30 +126,17 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(np.clip(shift, -slope, slope))
 
 
-def _beginnings(words: Iterable[str]) -> set[str]:
-    """Marked beginnings of the words, and the words themselves between both marks."""
-    found = set()
-    for w in words:
-        found.update(f"^{w[:n]}" for n in range(_SHORTEST, min(len(w), _LONGEST) + 1))
-        if _SHORTEST <= len(w) <= _LONGEST:
-            found.add(f"^{w}$")
-    return found
-
-
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int) -> list[str]:
-    """Beginnings by how surely they tell toxic documents, then the commonest clean words."""
-    up: Counter = Counter()
-    for words in toxic:
-        up.update(_beginnings(words))
-    up = Counter({w: n for w, n in up.items() if n > 1})
-    down: Counter = Counter()
-    for words in clean:
-        down.update(_beginnings(words) & up.keys())
+def choose_landmarks(toxic: list[dict[str, None]], clean: list[dict[str, None]], count: int) -> list[str]:
+    """Marked beginnings of words, or whole words, by how surely they tell toxic documents, then the
+    commonest clean words.
+
+    Lengths are gone through upwards: a beginning is counted only if the one before was in several
+    toxic documents.
+    """
     a, b = len(toxic), len(clean)
 
-    def gain(w: str) -> float:
+    def gain(n: int, m: int) -> float:
         """Log-likelihood ratio of the two shares of documents; 0 if the clean share is not far smaller."""
-        n, m = up[w], down[w]
         if m * a * 10 > n * b:
             return 0.0
         total = 0.0
@@ -158,10 +145,25 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int) -
                 total += part * np.log(part / size / share) if part else 0.0
         return total
 
-    gains = {w: gain(w) for w in up}
+    gains: dict[str, float] = {}
+    open_: set[str] | None = None
+    for n in range(_SHORTEST, _LONGEST + 2):
+
+        def starts(words: dict[str, None], n=n) -> set[str]:
+            found = set()
+            for w in words:
+                if len(w) >= n - 1 and (open_ is None or f"^{w[: n - 1]}" in open_):
+                    found.add(f"^{w[:n]}" if len(w) >= n else f"^{w}$")
+            return found
+
+        up = Counter(w for words in toxic for w in starts(words))
+        up = {w: k for w, k in up.items() if k > 1}
+        down = Counter(w for words in clean for w in starts(words) if w in up)
+        gains |= {w: g for w, k in up.items() if (g := gain(k, down[w])) >= _LEAST_GAIN}
+        open_ = {w for w in up if not w.endswith("$")}
     best: list[str] = []
-    for w in sorted(up, key=lambda w: (-round(gains[w], 6), -len(w), w)):
-        if len(best) >= count - count // 4 or gains[w] < _LEAST_GAIN:
+    for w in sorted(gains, key=lambda w: (-round(gains[w], 6), -len(w), w)):
+        if len(best) >= count - count // 4:
             break
         bare = w.rstrip("$")
         if not any(bare.startswith(x.rstrip("$")) or x.startswith(bare) for x in best):
@@ -180,18 +182,37 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
     y = np.where(np.array(labels, dtype=int) > 0, 1.0, -1.0)
     if not (y > 0).any() or not (y < 0).any():
         return ToxicityModel(None, np.empty(0), 0.0, 0.0, 20.0 if (y > 0).any() else -20.0)
-    forms = [{kernel.normal_form(w) for w in words_of(t)} for t in texts]
-    marks = kernel.Landmarks(
-        choose_landmarks([d for d, v in zip(forms, y) if v > 0], [d for d, v in zip(forms, y) if v < 0], landmarks) or ["^the$"]
-    )
-    docs = [list(dict.fromkeys(p for f in d for p in kernel.pieces(f))) for d in forms]
-    vocabulary = sorted({p for d in docs for p in d})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    near = marks.products(vocabulary) ** DEGREE
+    same: dict[str, str] = {}
+    forms = []
+    for text in texts:
+        found = map(kernel.normal_form, dict.fromkeys(words_of(text)))
+        forms.append(dict.fromkeys(same.setdefault(f, f) for f in found))
+    chosen = choose_landmarks([d for d, v in zip(forms, y) if v > 0], [d for d, v in zip(forms, y) if v < 0], landmarks)
+    marks = kernel.Landmarks(chosen or ["^the$"])
+    number: dict[str, int] = {}
+    members = []
+    for words in forms:
+        own = dict.fromkeys(number.setdefault(p, len(number)) for f in words for p in kernel.pieces(f))
+        members.append(np.array(list(own), dtype=np.int64))
+    del forms, same
+    vocabulary = list(number)
+    del number
+    # Words that hardly share anything with a landmark have one row of zeros together.
+    row_of, kept = np.zeros(len(vocabulary), dtype=np.int64), [np.zeros((1, len(marks.words)))]
+    size = 1
+    for at in range(0, len(vocabulary), 16_384):
+        block = marks.products(vocabulary[at : at + 16_384])
+        some = np.flatnonzero(block.max(axis=1) > 0.1)
+        row_of[at + some] = size + np.arange(len(some))
+        kept.append(block[some] ** DEGREE)
+        size += len(some)
+    near = np.concatenate(kept)
+    names = dict(zip(row_of.tolist(), vocabulary))
+    del kept, vocabulary
+    members = [np.unique(row_of[m]) for m in members]
     values, vectors = np.linalg.eigh(marks.gram() ** DEGREE)
     # K(L, L)^-1/2; directions that the landmarks hardly span are damped.
     root = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
-    members = [np.array([number[w] for w in d], dtype=np.int64) for d in docs]
     toxic_marks = len(marks.words) - min(len(marks.words), landmarks // 4)
     margins = near[:, : max(1, toxic_marks)].max(axis=1)
     w = np.zeros(root.shape[1] + 1)
@@ -199,11 +220,13 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
         x, target = [], []
         for m, v in zip(members, y):
             if len(m) and v > 0:
-                # A document without any likely word is left out: its label says nothing about its words.
-                best = m[np.argmax(margins[m])]
-                if near[best, : max(1, toxic_marks)].max() > 0.5**DEGREE:
-                    x.append(best)
-                    target.append(1.0)
+                # The worst word and all that hold a landmark whole. A document without any likely word
+                # is left out: its label says nothing about its words.
+                best = m[np.argsort(-margins[m], kind="stable")[:6]]
+                share = near[best, : max(1, toxic_marks)].max(axis=1)
+                likely = best[(share > 0.9**DEGREE) | ((np.arange(len(best)) == 0) & (share > 0.5**DEGREE))]
+                x.extend(likely)
+                target.extend([1.0] * len(likely))
             elif len(m):
                 worst = m[np.argsort(-margins[m], kind="stable")[:4]]
                 x.extend(worst)
@@ -211,7 +234,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
         x, target = np.array(x), np.array(target)
         if not (target > 0).any():
             break
-        told = sorted({vocabulary[i] for i in x[target > 0]})
+        told = sorted({names[i] for i in x[target > 0].tolist()})
         fake = marks.products([d for t in told for d in _disguised(t)][:20_000]) ** DEGREE
         rows = np.concatenate((near[x], fake)) @ root
         target = np.concatenate((target, np.ones(len(fake))))
@@ -219,7 +242,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
         up, real = target > 0, np.arange(len(target)) < len(x)
         weight[up & real] = (~up).sum() / 2 / max(1, (up & real).sum())
         weight[~real] = (~up).sum() / 4 / max(1, (~real).sum())
-        w = _svm(rows, target, weight / len(weight), 1e-3)
+        w = _svm(rows, target, weight / len(weight), 1e-4)
         margins = near @ (root @ w[:-1])
     model = ToxicityModel(marks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     worst = np.array([margins[m].max() if len(m) else 0.0 for m in members]) + model.offset
