@@ -200,7 +200,7 @@ def _(spark, d):
 
 @query(
     "A4_lenient_types",
-    """SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 1 THEN date_trunc('minute', ts) WHEN 3 THEN date_trunc('day', ts) ELSE ts END AS ts,
+    """SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 1 THEN date_trunc('minute', ts) WHEN 3 THEN date_trunc('day', ts) WHEN 2 THEN ts - INTERVAL 3 HOUR ELSE ts END AS ts,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value, 6) + 0.0 END AS value FROM events""",
 )
 def _(spark, d):

@@ -34,13 +34,40 @@ def test_wide_csv(spark, tmp_path):
     assert [r.value for r in last] == [6.5]
 
 
+def test_wide_csv_with_own_headers(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("timestamp_Current,Current,timestamp_Intake_Pressure,Intake_Pressure\n2024-02-01 10:00,1,2024-02-01 10:00,100\n")
+    (tmp_path / "B.csv").write_text("timestamp_Intake_Pressure,Intake_Pressure,timestamp_Current,Current\r\n2024-02-01 11:00+03:00,100,2024-02-01 11:00,1\r\n")
+    (tmp_path / "C.csv").write_text(
+        'timestamp_Motor_Temperature,Motor_Temperature,timestamp_Vibration,Vibration,"timestamp_Intake_Pressure",Intake_Pressure\n'
+        '2024-02-01T12:00:00-01:30,70,"2024-02-01 12:00","0.5",2024-02-01 12:00:00Z,100\n'
+    )
+    got = telemetry.unpivot_telemetry(telemetry.read_wide(spark, str(tmp_path)))
+    assert sorted((r.well, r.metric, str(r.ts)[11:16], r.value) for r in got.collect()) == [
+        ("A", "Current", "10:00", 1.0),
+        ("A", "Intake_Pressure", "10:00", 100.0),
+        ("B", "Current", "11:00", 1.0),
+        ("B", "Intake_Pressure", "08:00", 100.0),
+        ("C", "Intake_Pressure", "12:00", 100.0),
+        ("C", "Motor_Temperature", "13:30", 70.0),
+        ("C", "Vibration", "12:00", 0.5),
+    ]
+
+
+def test_annotation_comments_in_any_column(spark, tmp_path):
+    c = annotations.AnnotationColumns()
+    blank = "," * 60
+    (tmp_path / "svod.csv").write_text(f'title\n\n{c.well},{c.cause},{c.start},{c.end}{blank}\n1,"leak, big",01.02.2024,02.02.2024,first{"," * 58},"the ""last"""\n')
+    (row,) = annotations.read_annotations(annotations.read_cells(spark, str(tmp_path))).collect()
+    assert (row.well, row.cause, row.notes) == ("1", "leak, big", ["first", 'the "last"'])
+
+
 def test_annotation_csv(spark, tmp_path):
     c = annotations.AnnotationColumns()
     (tmp_path / "svod.csv").write_text(
         f"title,,,,,\n,,,,,\n{c.well},{c.cause},{c.start},{c.end},,Unnamed: 5\n"
         "495,leak,01.02.2024 10:00,02.02.2024, first ,\n,,bad,03.02.2024 11:30,,second\n7,,,,,\n"
     )
-    got = annotations.read_annotations(annotations.read_cells(spark, str(tmp_path), width=6)).orderBy("row_id").collect()
+    got = annotations.read_annotations(annotations.read_cells(spark, str(tmp_path))).orderBy("row_id").collect()
     assert [(r.well, r.cause, str(r.start_ts), str(r.end_ts), r.notes) for r in got] == [
         ("495", "leak", "2024-02-01 10:00:00", "2024-02-02 00:00:00", ["first"]),
         ("495", "leak", "None", "2024-02-03 11:30:00", ["second"]),

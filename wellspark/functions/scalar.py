@@ -57,10 +57,15 @@ def finite(c) -> Column:
 
 
 def coerce_ts(c) -> Column:
-    """Day-first text to a wall-clock timestamp; unreadable text gives null, a trailing zone is dropped."""
-    text = F.regexp_replace(F.trim(_col(c).cast("string")), r"(?<=:\d\d(\.\d{1,6})?)\s*(Z|[+-]\d\d:?\d\d)$", "")
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    """Day-first text to a UTC wall-clock timestamp; unreadable text gives null, a trailing offset is applied."""
+    raw = F.trim(_col(c).cast("string"))
+    zone = F.regexp_extract(raw, r"(?<=:\d\d(\.\d{1,6})?)\s*(Z|[+-]\d\d:?\d\d)$", 2)
+    text = F.regexp_replace(raw, r"(?<=:\d\d(\.\d{1,6})?)\s*(Z|[+-]\d\d:?\d\d)$", "")
+    digits = F.regexp_replace(zone, r"[^0-9]", "")
+    size = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+    minutes = F.when(F.startswith(zone, F.lit("-")), -size).otherwise(size)
+    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]).cast("timestamp_ntz")
+    return parsed - F.make_dt_interval(mins=F.coalesce(minutes, F.lit(0)))
 
 
 def coerce_num(c) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspark.functions.scalar import coerce_ts
 from wellspark.operators.intervals import ffill_annotations
-from wellspark.operators.ordering import number_rows
+from wellspark.sources.cells import read_cells  # noqa: F401 - part of this module's interface
 from wellspark.staging import stage
 
 
@@ -23,19 +23,6 @@ class AnnotationColumns:
     comment_prefix: str = "Unnamed"
 
 
-def read_cells(spark: SparkSession, path: str, width: int = 32) -> DataFrame:
-    """Headerless CSV sheets as ``(source_id, row_id, cells)``, rows numbered from 0 in file order."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    rows = spark.read.schema(schema).csv(path).select(
-        F.col("_metadata.file_path").alias("source_id"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-        F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
-    )
-    numbered = number_rows(rows, ["source_id"], ["_block", "_line"], F.col("_block"), "_nth")
-    return numbered.select("source_id", (F.col("_nth") - 1).alias("row_id"), "cells")
-
-
 def _cell(name: str) -> Column:
     """The row's cell under the first header cell called ``name``; null where the column is absent."""
     at = F.array_position("header", F.lit(name)).cast("int")

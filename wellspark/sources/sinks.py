@@ -13,10 +13,16 @@ from wellspark.schema import DetectSettings
 _ISO = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
+def write_parquet(df: DataFrame, path: str) -> DataFrame:
+    """Writes the rows once; other formats are made from the scan returned."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_both(df: DataFrame, path: str) -> None:
-    """The same rows as parquet and as CSV with a header."""
-    df.write.mode("overwrite").parquet(f"{path}.parquet")
-    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", _ISO).csv(f"{path}.csv")
+    """The same rows as parquet and as CSV with a header, computed once."""
+    written = write_parquet(df, f"{path}.parquet")
+    written.write.mode("overwrite").option("header", True).option("timestampNTZFormat", _ISO).csv(f"{path}.csv")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -41,9 +47,8 @@ def write_baseline(baseline: DataFrame, folder: str) -> None:
 
 
 def write_detections(records: DataFrame, folder: str) -> None:
-    ordered = records.orderBy("start", "well", "segment_type")
-    ordered.write.mode("overwrite").parquet(f"{folder}/anomaly_analysis.parquet")
-    write_json(ordered, f"{folder}/anomaly_analysis.json")
+    written = write_parquet(records.orderBy("start", "well", "segment_type"), f"{folder}/anomaly_analysis.parquet")
+    write_json(written.orderBy("start", "well", "segment_type"), f"{folder}/anomaly_analysis.json")
 
 
 def settings_table(spark: SparkSession, cfg: DetectSettings) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspark.functions.scalar import canon_well, coerce_num, coerce_ts
+from wellspark.sources.cells import read_records
 
 PREFIX = "timestamp_"
 ANNOTATION_SHEET = "svod"
@@ -19,9 +20,15 @@ def file_order() -> F.Column:
 
 
 def read_wide(spark: SparkSession, path: str, fmt: str = "csv", **options: str) -> DataFrame:
-    """Well sheets as text columns plus ``well`` (the file name without extension) and ``row_id``."""
-    settings = {"header": "true", **options} if fmt == "csv" else options
-    rows = spark.read.format(fmt).options(**settings).load(path)
+    """Well sheets for :func:`unpivot_telemetry`; the file name without extension is the well.
+
+    CSV sheets may each have their own columns in their own order, so their rows come as
+    ``(sheet, row_no, record)``. Other formats, which name their columns themselves, come as columns plus
+    ``well`` and ``row_id``.
+    """
+    if fmt == "csv":
+        return read_records(spark, path)
+    rows = spark.read.format(fmt).options(**options).load(path)
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     return rows.select("*", F.url_decode(name).alias("well"), file_order().alias("row_id"))
 
@@ -34,6 +41,8 @@ def metric_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
 
 def unpivot_telemetry(wide: DataFrame, annotation_sheet: str = ANNOTATION_SHEET) -> DataFrame:
     """Long samples ``(well, metric, ts, value, row_id)``; unreadable cells become null."""
+    if "record" in wide.columns:
+        return telemetry_from_records(wide, annotation_sheet)
     cells = F.array(
         *[
             F.struct(F.lit(m).alias("metric"), F.col(f"`{t}`").cast("string").alias("ts"), F.col(f"`{m}`").cast("string").alias("value"))
@@ -50,7 +59,8 @@ def telemetry_from_records(rows: DataFrame, annotation_sheet: str = ANNOTATION_S
     data = rows.where(F.col("sheet") != annotation_sheet)
     cells = data.select(F.col("sheet").alias("well"), F.col("row_no").alias("row_id"), "record", F.explode("record").alias("key", "text"))
     stamped = cells.where(F.col("key").startswith(PREFIX)).withColumn("metric", F.replace("key", F.lit(PREFIX), F.lit("")))
-    paired = stamped.where(F.map_contains_key("record", F.col("metric")))
+    value = F.element_at("record", F.col("metric"))
+    paired = stamped.where(F.map_contains_key("record", F.col("metric")) & (F.col("text").isNotNull() | value.isNotNull()))
     return paired.select(
         canon_well("well").alias("well"),
         "metric",
