@@ -74,6 +74,12 @@ def test_base_in_short_slices_is_the_same(spark, monkeypatch):
     assert whole.exceptAll(sliced).isEmpty() and sliced.exceptAll(whole).isEmpty()
 
 
+def test_samples_are_exchanged_once(spark):
+    clipped = to_spark(spark, random_samples(seed=4)).withColumns({c: F.col("ts") for c in ("range_start", "range_end")})
+    plan = align.resample(clipped, AlignSettings("15min"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_dedup_range_and_first_partial_bin(spark):
     rows = [
         ("w", "Intake_Pressure", "2024-01-01 00:05:00", 1.0, 1),

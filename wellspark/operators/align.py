@@ -75,22 +75,33 @@ def resample(clipped: DataFrame, cfg: AlignSettings) -> DataFrame:
     """Long bins ``(well, metric, ts, value, min_value, max_value)``, labelled at their left edge.
 
     ``clipped`` carries ``range_start``/``range_end``; a bin is kept when its label lies in that range.
+    Where it has a ``row_id``, of samples at the same time the one latest in row order counts. Samples are
+    exchanged once, by bin: samples of the same time share a bin.
     Bins without samples are absent here; :func:`build_base` restores the ones the grid needs.
     """
     step = frequency_micros(cfg.frequency)
     rows = _with_origin(clipped, step)
     label = floor_div(micros("ts") - F.col("_origin"), step) * F.lit(step) + F.col("_origin")
-    rows = rows.select("well", "metric", "range_start", "range_end", from_micros(label).alias("ts"), "value")
-    keys = ["well", "metric", "range_start", "range_end", "ts"]
+    keys = ["well", "metric", "_label"]
+    spans = [F.any_value(c).alias(c) for c in ("range_start", "range_end")]
+    order = ["row_id"] if "row_id" in clipped.columns else []
+    rows = rows.select("well", "metric", label.alias("_label"), "ts", "value", "range_start", "range_end", *order).repartition(*keys)
+    if order:
+        rows = rows.groupBy(*keys, "ts").agg(F.max_by("value", "row_id").alias("value"), *spans)
+    median = (cfg.aggregation or "").lower() == "median"
+    if median:
+        rows = stage(rows, "bin-samples")
     bins = rows.groupBy(*keys).agg(
         _aggregate(cfg.aggregation, F.col("value")).alias("value"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
+        *spans,
     )
-    if (cfg.aggregation or "").lower() != "median":
-        return bins
-    medians = exact_quantiles(rows, ["well", "metric", "ts"], "value", {"value": 0.5}).drop("n")
-    return bins.drop("value").join(medians, ["well", "metric", "ts"])
+    if median:
+        medians = exact_quantiles(rows, keys, "value", {"value": 0.5}).drop("n")
+        bins = bins.drop("value").join(medians, keys)
+    columns = ["range_start", "range_end", from_micros("_label").alias("ts"), "value", "min_value", "max_value"]
+    return bins.select("well", "metric", *columns)
 
 
 def in_range(bins: DataFrame) -> DataFrame:
@@ -138,14 +149,13 @@ def build_base(telemetry: DataFrame, cfg: AlignSettings = AlignSettings()) -> Da
     rows = valid_samples(telemetry)
     ranges = stage(common_range(metric_bounds(rows)), "ranges")
     clipped = clip_common_range(rows.where(F.col("metric").isin(list(cfg.metrics))), ranges)
-    keys = ("well", "metric", "ts", "range_start", "range_end")
-    samples = clipped.groupBy(*keys).agg(F.max_by("value", "row_id").alias("value"))
     if not cfg.frequency:
+        samples = dedup_last(clipped)
         raw = AlignSettings("", cfg.aggregation, cfg.metrics, ())
         wide = stage(pivot_metrics(samples, raw), "base-raw")
         return positions(wide, ["well"], "ts", DAY)
     step = frequency_micros(cfg.frequency)
-    bins = stage(resample(samples, cfg), "bins")
+    bins = stage(resample(clipped, cfg), "bins")
     skeleton = bins.select("well", "range_start", "range_end", "ts", "metric", "value", "min_value", "max_value")
     for metric in cfg.extrema:
         empty = dense_labels(bins, metric, step)
