@@ -26,7 +26,7 @@ _SIGNS = " \t\n\r\v\f!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
 def _symbol_table() -> np.ndarray:
     """Characters to symbols: a-z, then other letters on 31 symbols, then the two marks; 0 matches nothing."""
-    table = np.zeros(0x3000, dtype=np.int64)
+    table = np.zeros(0x3000, dtype=np.int32)
     for c in range(0x80, len(table)):
         if chr(c).isalpha():
             table[c] = 27 + c % 31
@@ -39,8 +39,8 @@ _TABLE = _symbol_table()
 
 
 def normal_form(word: str) -> str:
-    """Lower case, without signs at either end."""
-    return word.lower().strip(_SIGNS)
+    """A lower-case word without signs at either end."""
+    return word.strip(_SIGNS)
 
 
 def pieces(form: str) -> list[str]:
@@ -54,50 +54,63 @@ def pieces(form: str) -> list[str]:
     return found
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """One row of symbols per word."""
-    raw = np.frombuffer("".join([w.ljust(MAX_CHARS, "\0") for w in words]).encode("utf-32-le"), dtype="<u4")
-    return _TABLE[np.where(raw < len(_TABLE), raw, 0)].reshape(len(words), MAX_CHARS)
-
-
 def occurrences(words: list[str]):
-    """For each kind of span: ``(features, weight)``; features are rows of numbers, 0 where there is none."""
-    codes = _codes(words)
+    """For each kind of span: ``(features, weight)``; features are a row of numbers per word. A number in which one
+    of the three symbols is 0 is no feature."""
+    width = max(map(len, words), default=0)
+    raw = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le"), dtype="<u4")
+    codes = _TABLE[np.where(raw < len(_TABLE), raw, 0)].reshape(len(words), width)
+    first, second = codes * np.int32(_SYMBOLS**2), codes * np.int32(_SYMBOLS)
     for i, j, weight in _OFFSETS:
-        a, b, c = codes[:, : MAX_CHARS - j], codes[:, i : MAX_CHARS - j + i], codes[:, j:]
-        yield np.where((a > 0) & (b > 0) & (c > 0), (a * _SYMBOLS + b) * _SYMBOLS + c, 0), weight
+        if j < width:
+            yield first[:, : width - j] + second[:, i : width - j + i] + codes[:, j:], weight
+
+
+def _whole(features: np.ndarray) -> np.ndarray:
+    """Which numbers have three symbols."""
+    return (features >= _SYMBOLS**2) & (features // _SYMBOLS % _SYMBOLS > 0) & (features % _SYMBOLS > 0)
 
 
 class Landmarks:
     """Words that others are compared with."""
 
     def __init__(self, words: list[str]):
-        found = [(w, f) for rows, weight in occurrences(words) for w, f in [(weight, rows)]]
-        used = np.unique(np.concatenate([f[f > 0] for _, f in found]))
+        found = list(occurrences(words))
+        used = np.unique(np.concatenate([f[_whole(f)] for f, _ in found]))
         self.words = words
         self._number = np.zeros(FEATURES, dtype=np.int32)
         self._number[used] = np.arange(1, len(used) + 1)
-        values = np.zeros((len(used) + 1, len(words)))
-        for weight, rows in found:
-            word, at = np.nonzero(rows)
-            np.add.at(values, (self._number[rows[word, at]], word), weight)
-        self.self_products = (values**2).sum(axis=0)
-        self._values = values
+        dense = np.zeros((len(used) + 1, len(words)))
+        for features, weight in found:
+            number = self._number[features]
+            word, at = np.nonzero(number)
+            np.add.at(dense, (number[word, at], word), weight)
+        self.self_products = (dense**2).sum(axis=0)
+        norm = np.sqrt(self.self_products)
+        self.gram = dense.T @ dense / norm / norm[:, None]
+        # A feature's landmarks and values, as rows of different lengths.
+        feature, self._landmark = np.nonzero(dense)
+        self._value = dense[feature, self._landmark]
+        self._first = np.searchsorted(feature, np.arange(len(used) + 2))
 
     def products(self, words: list[str], block: int = 4096) -> np.ndarray:
-        """Kernel of each word with each landmark, over the landmark's kernel with itself: 1 if it is contained whole."""
+        """Kernel of each word with each landmark, over the landmark's kernel with itself: 1 if it is contained whole.
+
+        Words of like length are handled together.
+        """
         out = np.zeros((len(words), len(self.words)))
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
         for a in range(0, len(words), block):
-            for rows, weight in occurrences(words[a : a + block]):
-                number = self._number[rows]
+            some = order[a : a + block]
+            cells, weights = [], []
+            for features, weight in occurrences([words[k] for k in some]):
+                number = self._number[features]
                 word, at = np.nonzero(number)
-                if len(word):
-                    values = self._values[number[word, at]] * weight
-                    heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                    out[a + word[heads]] += np.add.reduceat(values, heads)
+                first = self._first[number[word, at]]
+                count = self._first[number[word, at] + 1] - first
+                entry = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                cells.append(np.repeat(word * len(self.words), count) + self._landmark[entry])
+                weights.append(self._value[entry] * weight)
+            own = np.bincount(np.concatenate(cells), np.concatenate(weights), len(some) * len(self.words))
+            out[some] = own.reshape(len(some), -1)
         return np.minimum(out / self.self_products, 1.0)
-
-    def gram(self) -> np.ndarray:
-        """Normalised kernel of the landmarks with each other."""
-        norm = np.sqrt(self.self_products)
-        return self._values.T @ self._values / norm / norm[:, None]

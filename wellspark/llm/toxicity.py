@@ -42,9 +42,10 @@ SCORES = "row_id bigint, margin double, score double, word string"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words of a text in order, and runs of single characters as one word each."""
+    """Lower-case words of a text in order, and runs of single characters as one word each."""
     if not text:
         return []
+    text = text.lower()
     words = text.split()
     words.extend("".join(m.split()) for m in _SPACED.findall(text) if len(m) > 4)
     return words
@@ -210,7 +211,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
     names = dict(zip(row_of.tolist(), vocabulary))
     del kept, vocabulary
     members = [np.unique(row_of[m]) for m in members]
-    values, vectors = np.linalg.eigh(marks.gram() ** DEGREE)
+    values, vectors = np.linalg.eigh(marks.gram**DEGREE)
     # K(L, L)^-1/2; directions that the landmarks hardly span are damped.
     root = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
     toxic_marks = len(marks.words) - min(len(marks.words), landmarks // 4)
