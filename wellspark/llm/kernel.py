@@ -102,7 +102,7 @@ class Landmarks:
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         for a in range(0, len(words), block):
             some = order[a : a + block]
-            cells, weights = [], []
+            cells, weights = [np.empty(0, dtype=np.int64)], [np.empty(0)]
             for features, weight in occurrences([words[k] for k in some]):
                 number = self._number[features]
                 word, at = np.nonzero(number)
