@@ -779,7 +779,7 @@ def _(spark, d):
 
 @query(
     "D15_training_summary",
-    "SELECT cause_group, item, name, coalesce(points, 0) AS points FROM train_members LEFT JOIN train_points USING (cause_group)",
+    "SELECT nullif(cause_group, 'normal') AS cause_group, item, name, coalesce(points, 0) AS points FROM train_members LEFT JOIN train_points USING (cause_group)",
     "train_members",
     "train_points",
 )

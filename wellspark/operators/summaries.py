@@ -102,6 +102,9 @@ def label_summary(
     return plain.join(ranks, keys)
 
 
+_NORMAL = "\u0002"  # stands for normal operation among the cause groups, whatever these are called
+
+
 def training_summary(
     features: DataFrame, intervals: DataFrame, rules: CauseRules, holdout: Sequence[str]
 ) -> DataFrame:
@@ -111,7 +114,7 @@ def training_summary(
     """
     anomalies = map_groups(intervals.where(F.col("label") == "anomaly"), rules)
     trained = train_or_all(anomalies, holdout, ["cause_group"])
-    normal = train_or_all(intervals.where(F.col("label") == "normal"), holdout).withColumn("cause_group", F.lit("normal"))
+    normal = train_or_all(intervals.where(F.col("label") == "normal"), holdout).withColumn("cause_group", F.lit(_NORMAL))
     used = trained.unionByName(normal)
     tagged = used.withColumn("well_group", F.struct("cause_group", "well"))
     wells = tagged.select("cause_group", F.lit("well").alias("item"), F.col("well").alias("name")).distinct()
@@ -119,7 +122,7 @@ def training_summary(
     members = wells.unionByName(causes)
     points = group_points(features, used)
     return members.join(points, "cause_group", "left").select(
-        "cause_group", "item", "name", F.coalesce("points", F.lit(0)).alias("points")
+        F.when(F.col("cause_group") != _NORMAL, F.col("cause_group")).alias("cause_group"), "item", "name", F.coalesce("points", F.lit(0)).alias("points")
     )
 
 
