@@ -7,8 +7,9 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows handled at a time inside a task: bounds the memory of one step whatever Spark's batch size is.
+# Rows and bytes handled at a time inside a task: bound the memory of one step whatever Spark's batch size is.
 SLICE_ROWS = 256
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows, fewer where rows are large on average."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 _TYPES = {

@@ -29,6 +29,7 @@ from wellspark.llm.wordhash import hashes_of, joined, runs_of, word_borders
 MAX_TRAIN = 20_000
 PAIRS = 60_000
 STEPS = 12
+_HASHED_ROWS = 64  # texts hashed at a time
 FEATURES = (
     "log_words log_bytes word_length word_length_spread upper digits symbols letters capital_words signed_words "
     "bare_words junk_endings sentence_ends repeated_next distinct_words distinct_runs top_word lines"
@@ -142,7 +143,7 @@ _ROW = "row_id bigint, features array<double>"
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = schema_of(_ROW)
-    for batch in slices(batches):
+    for batch in slices(batches, _HASHED_ROWS):
         rows = text_features(utf8(batch.column(1).to_pylist()))
         values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(FEATURES)).cast(schema.types[1])
         yield pa.RecordBatch.from_arrays([batch.column(0), values], schema=schema)
@@ -163,7 +164,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, learn: Column | None = None, m
 
 def _score(batches: Iterable[pa.RecordBatch], model: QualityModel) -> Iterator[pa.RecordBatch]:
     schema = schema_of("row_id bigint, score double")
-    for batch in slices(batches):
+    for batch in slices(batches, _HASHED_ROWS):
         score = model.score(text_features(utf8(batch.column(1).to_pylist())))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], schema=schema)
 

@@ -40,6 +40,7 @@ from wellspark.staging import stage
 
 MIN_WORDS = 13
 ANCHOR_WORDS = 5
+_HASHED_ROWS = 64  # texts hashed at a time
 _ROW = "key bigint, extent bigint, row_id bigint, place bigint"
 _RANGE = "row_id bigint, start int, n int, open boolean"
 # A place is the number of the first window, shifted, and the count of windows; the sign marks a settled range.
@@ -85,7 +86,7 @@ def _seed(batches: Iterable[pa.RecordBatch], min_words: int, anchor_words: int)
     schema = schema_of(_ROW)
     for batch in batches:
         parts, ids = [], []
-        for part in slices([batch]):
+        for part in slices([batch], _HASHED_ROWS):
             found = _anchors(utf8(part.column(1).to_pylist()), min_words, anchor_words)
             base = sum(map(len, ids))
             ids.append(part.column(0).to_numpy())
@@ -176,7 +177,7 @@ def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _open_windows(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Rows ``(row_id, body, ranges)`` to one row per window of the ranges."""
     schema = schema_of(_ROW)
-    for batch in slices(batches):
+    for batch in slices(batches, _HASHED_ROWS):
         _, first, windows, _ = _windows(utf8(batch.column("body").to_pylist()), min_words)
         keys, docs, places = [], [], []
         for i, (doc, ranges) in enumerate(zip(batch.column("row_id").to_pylist(), batch.column("ranges").to_pylist())):

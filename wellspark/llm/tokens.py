@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-_CACHE_WORDS = 400_000  # in each of two generations
+_CACHE_WORDS = 120_000  # in each of two generations
 _ENCODED_AT_ONCE = 2_000
-ENCODE_ROWS = 1024  # texts handed to the encoder at a time
+ENCODE_ROWS = 512  # texts handed to the encoder at a time
 _WORD_END = "</w>"
 _FRACTIONS = "²³¹¼½¾"
 # The vocabulary's own splitting rule, written for this module's plain texts.

@@ -36,7 +36,7 @@ LANDMARKS = 64
 DEGREE = 2
 _SHORTEST, _LONGEST = 3, 12
 _LEAST_GAIN = 5.0
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 120_000
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S)+(?!\S)")
 SCORES = "row_id bigint, margin double, score double, word string"
 
