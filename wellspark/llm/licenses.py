@@ -18,6 +18,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspark.llm.license_digests import DIGESTS
+
 # Spellings taken as equal.
 EQUIVALENT = {
     "acknowledgement": "acknowledgment",
@@ -86,9 +88,17 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return texts.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=KNOWN) -> DataFrame:
+def digest_table(spark: SparkSession, digests=DIGESTS) -> DataFrame:
+    """``(digest, license)`` of licences that are known by their digests alone."""
+    rows = F.split(F.lit("\n".join(f"{digest} {name}" for name, digest in digests)), "\n")
+    row = F.split(F.col("row"), " ")
+    return spark.range(1).select(F.explode(rows).alias("row")).select(row[0].alias("digest"), row[1].alias("license"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=KNOWN, digests=DIGESTS) -> DataFrame:
     """``(row_id, digest, license, notices)``: the whole text's licence, and those of its lines, sorted."""
-    table = F.broadcast(known_digests(docs.sparkSession, known))
+    every = known_digests(docs.sparkSession, known).union(digest_table(docs.sparkSession, digests))
+    table = F.broadcast(every.groupBy("digest").agg(F.min("license").alias("license")))
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("body"))
     whole = rows.select("row_id", F.sha2(canonical(F.col("body")), 256).alias("digest")).join(table, "digest", "left")
     lines = rows.select("row_id", F.explode(F.split("body", "\n")).alias("line"))
