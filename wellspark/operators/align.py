@@ -7,6 +7,7 @@ every (well, metric), and once for the bins. Everything later works on grid rows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from wellspark.functions.scalar import finite, floor_div, from_micros, micros
 from wellspark.operators.ordering import positions
 from wellspark.operators.quantiles import exact_quantiles
-from wellspark.schema import DAY, AlignSettings, frequency_micros
+from wellspark.schema import DAY, METRICS, AlignSettings, frequency_micros
 from wellspark.staging import stage
 
 _SLICE_STEPS = 4096  # grid steps per slice when positions are numbered
@@ -127,8 +128,19 @@ def dense_labels(bins: DataFrame, metric: str, step: int) -> DataFrame:
     )
 
 
-def metric_columns(cfg: AlignSettings) -> list[str]:
-    return [*cfg.metrics, *[f"{m}_{side}" for m in cfg.extrema for side in ("min", "max")]]
+def all_metrics(bounds: DataFrame) -> tuple[str, ...]:
+    """The named metrics, then all others that report, by name."""
+    found = {r["metric"] for r in bounds.select("metric").distinct().collect()}
+    return (*METRICS, *sorted(found - {*METRICS, None}))
+
+
+def base_metrics(base: DataFrame, cfg: AlignSettings) -> list[str]:
+    """The metrics that a grid frame holds."""
+    return [c for c in base.columns if c not in ("well", "ts", "pos", *extrema_columns(cfg))]
+
+
+def extrema_columns(cfg: AlignSettings) -> list[str]:
+    return [[f"{m}_{side}" for m in cfg.extrema for side in ("min", "max")]]
 
 
 def pivot_metrics(long: DataFrame, cfg: AlignSettings, keys: Sequence[str] = ("well", "ts")) -> DataFrame:
@@ -140,15 +152,24 @@ def pivot_metrics(long: DataFrame, cfg: AlignSettings, keys: Sequence[str] = ("w
     return long.groupBy(*keys).agg(*columns)
 
 
+def chosen(telemetry: DataFrame, cfg: AlignSettings) -> DataFrame:
+    """Samples of the metrics that the settings name; all where they name none."""
+    return telemetry if cfg.metrics is None else telemetry.where(F.col("metric").isin(list(cfg.metrics)))
+
+
 def build_base(telemetry: DataFrame, cfg: AlignSettings = AlignSettings()) -> DataFrame:
     """The grid frame ``(well, ts, <metrics>, <extrema>, pos)`` of every well.
 
     Rows in which every metric is null survive only inside the span of an extrema metric.
     Without a frequency the samples pass through on their own times.
+    Range and grid use the same metrics: those set, or else all that the telemetry has.
     """
-    rows = valid_samples(telemetry)
-    ranges = stage(common_range(metric_bounds(rows)), "ranges")
-    clipped = clip_common_range(rows.where(F.col("metric").isin(list(cfg.metrics))), ranges)
+    rows = valid_samples(chosen(telemetry, cfg)).where(F.col("metric").isNotNull())
+    bounds = stage(metric_bounds(rows), "bounds")
+    if cfg.metrics is None:
+        cfg = replace(cfg, metrics=all_metrics(bounds))
+    ranges = stage(common_range(bounds), "ranges")
+    clipped = clip_common_range(rows, ranges)
     if not cfg.frequency:
         samples = dedup_last(clipped)
         raw = AlignSettings("", cfg.aggregation, cfg.metrics, ())
@@ -166,6 +187,6 @@ def build_base(telemetry: DataFrame, cfg: AlignSettings = AlignSettings()) -> Da
 
 def pressure_fast(telemetry: DataFrame, cfg: AlignSettings = AlignSettings()) -> DataFrame:
     """Raw-rate pressure inside the common range: ``(well, ts, <extrema metrics>)``."""
-    samples = aligned_samples(telemetry).where(F.col("metric").isin(list(cfg.extrema)))
+    samples = aligned_samples(chosen(telemetry, cfg)).where(F.col("metric").isin(list(cfg.extrema)))
     columns = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in cfg.extrema]
     return samples.groupBy("well", "ts").agg(*columns)

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspark.operators.align import build_base, metric_columns, pressure_fast
+from wellspark.operators.align import base_metrics, build_base, extrema_columns, pressure_fast
 from wellspark.operators.baseline import build_baseline
 from wellspark.operators.clean import clean
 from wellspark.operators.features import feature_frame
@@ -29,13 +29,18 @@ class Prepared:
     def raw_base(self) -> DataFrame:
         return stage(build_base(self.telemetry, self.cfg.align), "base")
 
+    @property
+    def metrics(self) -> list[str]:
+        return base_metrics(self.raw_base, self.cfg.align)
+
     @cached_property
     def flagged(self) -> DataFrame:
-        return stage(clean(self.raw_base, self.cfg.clean, self.cfg.align.metrics), "clean")
+        return stage(clean(self.raw_base, self.cfg.clean, self.metrics), "clean")
 
     @cached_property
     def base(self) -> DataFrame:
-        return self.flagged.select("well", "ts", "pos", *[c for c in metric_columns(self.cfg.align) if c in self.flagged.columns])
+        extrema = [c for c in extrema_columns(self.cfg.align) if c in self.flagged.columns]
+        return self.flagged.select("well", "ts", "pos", *self.metrics, *extrema)
 
     @property
     def pressure_fast(self) -> DataFrame:

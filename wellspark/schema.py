@@ -29,7 +29,7 @@ DAY = 24 * 60 * MINUTE
 class AlignSettings:
     frequency: str = "15min"
     aggregation: str = "mean"
-    metrics: tuple[str, ...] = METRICS
+    metrics: tuple[str, ...] | None = None  # None: METRICS and all others of the telemetry
     extrema: tuple[str, ...] = (PRESSURE,)
 
 
