@@ -140,7 +140,7 @@ def base_metrics(base: DataFrame, cfg: AlignSettings) -> list[str]:
 
 
 def extrema_columns(cfg: AlignSettings) -> list[str]:
-    return [[f"{m}_{side}" for m in cfg.extrema for side in ("min", "max")]]
+    return [f"{m}_{side}" for m in cfg.extrema for side in ("min", "max")]
 
 
 def pivot_metrics(long: DataFrame, cfg: AlignSettings, keys: Sequence[str] = ("well", "ts")) -> DataFrame:
