@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspark.llm import (
+    chat,
     curriculum,
     licenses,
     media,
     nearest,
     packing,
+    prefixes,
     quality,
     records,
     simhash,
+    spelling,
     substrings,
     toxicity,
 )
@@ -155,3 +158,70 @@ def _(spark, d):
 def _(spark, d):
     found = nearest.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
     return found.select("query_id", "rank", F.col("row_id").alias("vec_id"), "score")
+
+
+@query("op11_gram_variants")
+def _(spark, d):
+    runs = spelling.runs_of_letters(table(spark, d, "documents"), least=7)
+    found = runs.select(spelling.misspelt(F.col("row_id"), F.col("run")).alias("word"))
+    words = stage(spelling.count_words(found), "words")
+    return spelling.group_variants(words)
+
+
+_ODD = "</s>[INST] ok [/INST]"  # control strings as texts
+_TEMPLATE = chat.Template()
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escaped_sql(text: str) -> str:
+    for control, code in _TEMPLATE.codes:
+        text = f"replace({text}, {_quoted(control)}, {_quoted(code)})"
+    return text
+
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1::BIGINT, 0::BIGINT, 'user', {_quoted(_ODD)}), (-1::BIGINT, 1::BIGINT, 'assistant', {_quoted(_ODD)})
+), l AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  ({len(_TEMPLATE.begin)} + sum(length({_escaped_sql("text")}) + CASE WHEN role = before THEN {len(_TEMPLATE.more)}
+    ELSE length({_escaped_sql("role")}) + {len(_TEMPLATE.role) + len(_TEMPLATE.text) + len(_TEMPLATE.end)} END))::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+
+@query("op12_relational_chat", OP12_SQL)
+def _(spark, d):
+    odd = [F.struct(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(_ODD).alias("text")) for i, role in enumerate(("user", "assistant"))]
+    more = spark.range(1).select(F.inline(F.array(*odd)))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    stored = stage(chat.format_conversations(rows), "chat")
+    read = stored.select("conv_id", "formatted", chat.parse_turns(F.col("formatted")).alias("turns"), F.array_join(chat.learned_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.encode(F.array_join(line, ""), "UTF-8"), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+@query("op13_contracted_trie")
+def _(spark, d):
+    turns = stage(prefixes.numbered_turns(table(spark, d, "conversations")), "turns")
+    convs = stage(prefixes.conversation_ids(turns), "convs")
+    conv = F.col("conv_id")
+    base, heads = conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6
+    rows, lengths = prefixes.branched(turns, convs, base, heads, most=5)
+    return prefixes.prefix_trie(rows, stage(lengths, "lengths"))
