@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.data import WITHOUT_ID, documents, nothing, rows, texts
+from tests.llm.data import WITHOUT_ID, documents, nothing, rows, texts, words
 from wellspark.llm import simhash, substrings
 from wellspark.llm.components import components
 
@@ -49,11 +49,6 @@ def test_near_duplicates(spark):
         else:
             assert r["fp"] % (1 << 64) == fps[r["row_id"]] and r["component_id"] == groups[r["row_id"]]
     assert groups[1] == groups[2] == groups[3] == 1 and groups[4] == 0
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None)
-    assert [i for _, i in ids] == sorted(set(groups.values()))
-    assert kept.where("doc_id IS NULL").count() == 1
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -129,6 +124,15 @@ def test_repeats(spark):
     assert by_id[1]["text"] is None and by_id[3]["text"] == texts()[3]
 
 
+def test_repeats_with_one_id_for_several_texts(spark):
+    shared, own = words(900, 40), words(901, 30)
+    found = [(1, shared), (5, [*own, *shared]), (5, words(902, 3)), (5, own), (6, own), (5, own), (7, None), (7, shared[:20])]
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in found], "doc_id bigint, text string").repartition(3)
+    got = sorted((r["row_id"], r["kept"]) for r in substrings.remove_repeats(docs).collect())
+    want = [(1, shared), (5, own), (5, words(902, 3)), (5, own), (5, own), (6, []), (7, []), (7, [])]
+    assert got == sorted((i, " ".join(w)) for i, w in want)
+
+
 def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(nothing(spark)).count() == 0
 
@@ -150,7 +154,7 @@ def test_extension_across_batches():
 
     rng = np.random.default_rng(1)
     table = sorted((int(k), int(e), int(d)) for k, e, d in rng.integers(0, 4, (300, 3)))
-    columns = list(zip(*[(k, e, d, (n << 30) | 1) for n, (k, e, d) in enumerate(table)]))
+    columns = list(zip(*[(k, e, d, -d, (n << 30) | 1) for n, (k, e, d) in enumerate(table)]))
     whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema_of(substrings._ROW))
 
     def result(step):

@@ -16,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Parts of at most ``rows`` rows, fewer where rows are large on average."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows, fewer where rows are large on average.
+
+    After the last one a task's worker, which later stages use again, gives back the memory it no longer needs.
+    """
     for batch in batches:
-        step = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
 
 
 _TYPES = {

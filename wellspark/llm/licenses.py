@@ -121,11 +121,14 @@ def canonical_sql(text: str) -> str:
     return f"trim(replace({form}, '  ', ' '))"
 
 
-def scan_sql(known: Mapping | tuple = KNOWN) -> str:
+def scan_sql(known: Mapping | tuple = KNOWN, digests=DIGESTS) -> str:
+    more = ", ".join(f"({_quoted(digest)}, {_quoted(name)})" for name, digest in digests)
     values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in known)
     return f"""
 WITH known AS (
-  SELECT sha256({canonical_sql("t")}) AS digest, min(license) AS license FROM (VALUES {values}) v(license, t) GROUP BY 1
+  SELECT digest, min(license) AS license FROM (
+    SELECT sha256({canonical_sql("t")}) AS digest, license FROM (VALUES {values}) v(license, t) UNION ALL VALUES {more}
+  ) GROUP BY 1
 ), lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
 ), notices AS (

@@ -111,7 +111,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k
   FROM documents
 ), t AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rank,
     [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
   FROM d GROUP BY source
 ), c AS (
@@ -121,23 +121,35 @@ WITH d AS (
     / sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM c
 ), g AS (
-  SELECT source, source_size, least(cap, weight * max(level) FILTER (level * weight <= cap) OVER ()) AS target FROM l
+  SELECT source, source_size, CASE WHEN rank % 2 = 0 THEN 1.5 ELSE 0.5 END::DOUBLE AS first, CASE WHEN rank % 2 = 0 THEN 0.5 ELSE 1.5 END::DOUBLE AS last,
+    least(cap, weight * max(level) FILTER (level * weight <= cap) OVER ()) AS target FROM l
 ), p AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, round(g.target)::BIGINT AS goal,
+  SELECT d.doc_id, d.size, g.source_size, g.first, g.last, g.target, round(g.target)::BIGINT AS goal,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), q AS (
+  SELECT *, place / greatest(goal, 1) AS share_1, (place + source_size) / greatest(goal, 1) AS share_2,
+    greatest(0, least(size, goal - place)) AS taken_1, greatest(0, least(size, goal - place - source_size)) AS taken_2
+  FROM p
 )
 SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
-  (greatest(0, least(size, goal - place)) + greatest(0, least(size, goal - place - source_size)))::BIGINT AS taken
-FROM p
+  (taken_1 + taken_2)::BIGINT AS taken,
+  CASE WHEN taken_1 > 0 THEN round(least(1, 2 * share_1 / (first + sqrt(greatest(0, first * first + 2 * (last - first) * share_1)))), 6) END AS position_1,
+  CASE WHEN taken_2 > 0 THEN round(least(1, 2 * share_2 / (first + sqrt(greatest(0, first * first + 2 * (last - first) * share_2)))), 6) END AS position_2
+FROM q
 """
 
 
 @query("op7_curriculum_mix", OP7_SQL)
 def _(spark, d):
     mixed = curriculum.mix(table(spark, d, "documents"))
+
+    def position(number: int):
+        copy = F.get(F.filter("copies", lambda c: c["pass"] == number), 0)
+        return F.round(copy["position"], 6).alias(f"position_{number + 1}")
+
     return mixed.select(
-        F.col("row_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken"
+        F.col("row_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken", position(0), position(1)
     )
 
 

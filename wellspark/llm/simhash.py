@@ -154,16 +154,3 @@ def near_duplicates(
     return marked.join(named, "fp", "left").select(
         "row_id", "fp", F.when(F.col("row_id").isNotNull(), F.col("component")).alias("component_id")
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that name their group: the smallest id of each, once; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    others = found.where(F.col("row_id") != F.col("component_id")).select(F.col("row_id").alias(id_col)).distinct()
-    kept = docs.join(stage(others, "others"), id_col, "left_anti").select(*docs.columns)
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
-    again = stage(again, "repeated")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(again, id_col, "left_anti").unionByName(once).select(*docs.columns)

@@ -15,14 +15,14 @@ extent does, so neighbouring extents make up the maximal repeat. Where an anchor
 extents, at the ends of shared passages, only the first document of each extent is left open;
 its windows are then compared one by one.
 
-A hot passage is settled where it is read: within an Arrow batch only the smallest document of
-each extent goes on to the exchange, the others leave as merged ranges, so a passage that a third
-of all documents share sends one row per batch. Groups are read as sorted streams with constant
+A hot passage is settled where it is read: within a slice of some thousand documents only the smallest
+document of each extent goes on to the exchange, the others leave as merged ranges, so a passage that a
+third of all documents share sends one row per slice. Groups are read as sorted streams with constant
 state; no group is gathered. Equality is by 64-bit hashes of word runs.
 
 Null texts have no words; rows without an id are returned as they are and take no part; rows with
-equal ids must have equal texts and don't remove each other's words; an empty table gives an empty
-result.
+equal ids don't remove each other's words, whether their texts are equal or not; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +41,10 @@ from wellspark.staging import stage
 MIN_WORDS = 13
 ANCHOR_WORDS = 5
 _HASHED_ROWS = 64  # texts hashed at a time
-_ROW = "key bigint, extent bigint, row_id bigint, place bigint"
-_RANGE = "row_id bigint, start int, n int, open boolean"
+_SETTLED_ROWS, _SETTLED_BYTES = 4096, 8 << 20  # texts whose common passages are settled at a time
+# A document is its id and its text's hash, since an id may stand for several texts.
+_ROW = "key bigint, extent bigint, row_id bigint, twin bigint, place bigint"
+_RANGE = "row_id bigint, twin bigint, start int, n int, open boolean"
 # A place is the number of the first window, shifted, and the count of windows; the sign marks a settled range.
 _COUNT_BITS = 30
 
@@ -84,35 +86,40 @@ def _anchors(texts: list[bytes], min_words: int, anchor_words: int):
 
 def _seed(batches: Iterable[pa.RecordBatch], min_words: int, anchor_words: int) -> Iterator[pa.RecordBatch]:
     schema = schema_of(_ROW)
-    for batch in batches:
-        parts, ids = [], []
-        for part in slices([batch], _HASHED_ROWS):
-            found = _anchors(utf8(part.column(1).to_pylist()), min_words, anchor_words)
-            base = sum(map(len, ids))
-            ids.append(part.column(0).to_numpy())
-            parts.append((found[0] + base, *found[1:]))
-        if not parts:
-            continue
-        text, start, count, key, extent = (np.concatenate(x) for x in zip(*parts))
-        doc = np.concatenate(ids)[text]
-        order = np.lexsort((doc, extent))
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = extent[order][1:] != extent[order][:-1]
-        group = np.cumsum(fresh) - 1
-        settled = np.zeros(len(order), dtype=bool)
-        settled[order] = doc[order] > doc[order][fresh][group]
-        place = (start << _COUNT_BITS) | count
-        open_ = ~settled
-        yield _rows(schema, key[open_], extent[open_], doc[open_], place[open_])
-        # Rows of a text stand in order, so neighbours that touch are one range.
-        text, start, count, doc = text[settled], start[settled], count[settled], doc[settled]
-        if len(text):
-            head = np.ones(len(text), dtype=bool)
-            head[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + count[:-1])
-            total = np.add.reduceat(count, np.flatnonzero(head))
-            doc, start = doc[head], start[head]
-            spread = mix(doc.view(np.uint64) + start.view(np.uint64))
-            yield _rows(schema, spread, spread, doc, -((start << _COUNT_BITS) | total))
+    for settled in slices(batches, _SETTLED_ROWS, _SETTLED_BYTES):
+        yield from _seed_slice(settled, schema, min_words, anchor_words)
+
+
+def _seed_slice(rows: pa.RecordBatch, schema: pa.Schema, min_words: int, anchor_words: int) -> Iterator[pa.RecordBatch]:
+    parts, size = [], 0
+    for part in slices([rows], _HASHED_ROWS):
+        found = _anchors(utf8(part.column(1).to_pylist()), min_words, anchor_words)
+        parts.append((found[0] + size, *found[1:]))
+        size += part.num_rows
+    if not parts:
+        return
+    text, start, count, key, extent = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    ids, twins = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+    doc = ids[text]
+    order = np.lexsort((doc, extent))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = extent[order][1:] != extent[order][:-1]
+    group = np.cumsum(fresh) - 1
+    settled = np.zeros(len(order), dtype=bool)
+    settled[order] = doc[order] > doc[order][fresh][group]
+    place = (start << _COUNT_BITS) | count
+    open_ = ~settled
+    yield _rows(schema, key[open_], extent[open_], doc[open_], twins[text[open_]], place[open_])
+    # Rows of a text stand in order, so neighbours that touch are one range.
+    text, start, count, doc = text[settled], start[settled], count[settled], doc[settled]
+    if len(text):
+        head = np.ones(len(text), dtype=bool)
+        head[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + count[:-1])
+        total = np.add.reduceat(count, np.flatnonzero(head))
+        doc, start, twin = doc[head], start[head], twins[text[head]]
+        spread = mix(doc.view(np.uint64) + start.view(np.uint64))
+        yield _rows(schema, spread, spread, doc, twin, -((start << _COUNT_BITS) | total))
 
 
 def _rows(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
@@ -120,9 +127,9 @@ def _rows(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _ranges(doc, place, open_) -> pa.RecordBatch:
+def _ranges(doc, twin, place, open_) -> pa.RecordBatch:
     start, count = place >> _COUNT_BITS, place & ((1 << _COUNT_BITS) - 1)
-    columns = [doc, start.astype(np.int32), count.astype(np.int32), np.full(len(doc), open_)]
+    columns = [doc, twin, start.astype(np.int32), count.astype(np.int32), np.full(len(doc), open_)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema_of(_RANGE))
 
 
@@ -133,60 +140,61 @@ def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Between batches it keeps the last anchor, extent and first document, and the occurrences of an
     anchor's only extent so far in its first document.
     """
-    state = None  # key, extent, first document, several extents, (documents, places) not yet given out
+    state = None  # key, extent, first document, several extents, (documents, twins, places) not yet given out
     for batch in batches:
-        key, extent, doc, place = (batch.column(i).to_numpy() for i in range(4))
+        key, extent, doc, twin, place = (batch.column(i).to_numpy() for i in range(5))
         done = place < 0
         if done.any():
-            yield _ranges(doc[done], -place[done], False)
-            key, extent, doc, place = (x[~done] for x in (key, extent, doc, place))
+            yield _ranges(doc[done], twin[done], -place[done], False)
+            key, extent, doc, twin, place = (x[~done] for x in (key, extent, doc, twin, place))
         if not len(key):
             continue
         if state is not None:
-            key, extent, doc, place = (np.concatenate(([s], x)) for s, x in zip((*state[:3], 0), (key, extent, doc, place)))
+            last_row = (*state[:3], 0, 0)
+            key, extent, doc, twin, place = (np.concatenate(([s], x)) for s, x in zip(last_row, (key, extent, doc, twin, place)))
         new_key = np.ones(len(key), dtype=bool)
         new_key[1:] = key[1:] != key[:-1]
         new_extent = new_key.copy()
         new_extent[1:] |= extent[1:] != extent[:-1]
         anchor = np.cumsum(new_key) - 1
         several = np.bincount(anchor[new_extent]) > 1
-        waiting_doc, waiting_place = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        waiting = (np.empty(0, dtype=np.int64),) * 3
         if state is not None:
             several[0] |= state[3]
-            waiting_doc, waiting_place = state[4]
+            waiting = state[4]
         first = doc[new_extent][np.cumsum(new_extent) - 1]
         real = np.ones(len(key), dtype=bool)
         real[0] = state is None
         gone = real & (doc > first)
         if gone.any():
-            yield _ranges(doc[gone], place[gone], False)
+            yield _ranges(doc[gone], twin[gone], place[gone], False)
         lead = real & (doc == first)
         given = lead & several[anchor]
-        if several[0] and len(waiting_doc):
-            yield _ranges(waiting_doc, waiting_place, True)
+        if several[0] and len(waiting[0]):
+            yield _ranges(*waiting, True)
         if given.any():
-            yield _ranges(doc[given], place[given], True)
+            yield _ranges(doc[given], twin[given], place[given], True)
         last = anchor == anchor[-1]
         held = lead & last & ~several[anchor]
-        keep = (doc[held], place[held])
+        keep = (doc[held], twin[held], place[held])
         if anchor[-1] == 0 and not several[0]:
-            keep = (np.concatenate((waiting_doc, keep[0])), np.concatenate((waiting_place, keep[1])))
+            keep = tuple(np.concatenate(x) for x in zip(waiting, keep))
         state = (key[-1], extent[-1], first[-1], bool(several[-1]), keep)
 
 
 def _open_windows(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``(row_id, body, ranges)`` to one row per window of the ranges."""
+    """Rows ``(row_id, twin, body, ranges)`` to one row per window of the ranges."""
     schema = schema_of(_ROW)
     for batch in slices(batches, _HASHED_ROWS):
         _, first, windows, _ = _windows(utf8(batch.column("body").to_pylist()), min_words)
-        keys, docs, places = [], [], []
-        for i, (doc, ranges) in enumerate(zip(batch.column("row_id").to_pylist(), batch.column("ranges").to_pylist())):
+        keys, places = [], []
+        for i, ranges in enumerate(batch.column("ranges").to_pylist()):
             at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in ranges])
             keys.append(windows[first[i] + at])
-            docs.append(np.full(len(at), doc))
             places.append((at << _COUNT_BITS) | 1)
-        key = np.concatenate(keys)
-        yield _rows(schema, key, key, np.concatenate(docs), np.concatenate(places))
+        key, sizes = np.concatenate(keys), [len(k) for k in keys]
+        docs, twins = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("row_id", "twin"))
+        yield _rows(schema, key, key, docs, twins, np.concatenate(places))
 
 
 KEPT = "n_words bigint, n_removed bigint, kept string"
@@ -212,7 +220,7 @@ def _cut(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.Recor
 
 def _by_document(ranges: DataFrame) -> DataFrame:
     """A document's ranges in one row: as many as the document has windows at most."""
-    return ranges.groupBy("row_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    return ranges.groupBy("row_id", "twin").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
 
 
 def remove_repeats(
@@ -228,17 +236,19 @@ def remove_repeats(
     if not 0 < anchor_words <= min_words:
         raise ValueError("an anchor must fit into a window")
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("body"), row.alias("row"))
-    seeds = rows.where("row_id IS NOT NULL").select("row_id", "body").mapInArrow(lambda b: _seed(b, min_words, anchor_words), _ROW)
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("row_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("body"), row.alias("row")
+    )
+    seeds = rows.where("row_id IS NOT NULL").select("row_id", "body", "twin").mapInArrow(lambda b: _seed(b, min_words, anchor_words), _ROW)
     met = seeds.repartition("key").sortWithinPartitions("key", "extent", "row_id")
     found = stage(met.mapInArrow(_extend, _RANGE), "ranges")
     undecided = _by_document(found.where("open"))
     # Both joins read the same columns of the same rows, so the texts are exchanged once.
-    inputs = ["row_id", "body", "row", "ranges"]
-    single = rows.join(undecided, "row_id").select(*inputs).mapInArrow(lambda b: _open_windows(b, min_words), _ROW)
+    both, inputs = ["row_id", "twin"], ["row_id", "twin", "body", "row", "ranges"]
+    single = rows.join(undecided, both).select(*inputs).mapInArrow(lambda b: _open_windows(b, min_words), _ROW)
     compared = single.repartition("key").sortWithinPartitions("key", "row_id").mapInArrow(_extend, _RANGE)
     removed = found.where("NOT open").unionByName(compared)
-    whole = rows.join(_by_document(removed), "row_id", "left").select(*inputs)
+    whole = rows.join(_by_document(removed), both, "left").select(*inputs)
     kind = rows.schema["row"].dataType.simpleString()
     return whole.mapInArrow(lambda b: _cut(b, min_words), f"row_id bigint, row {kind}, {KEPT}")
 

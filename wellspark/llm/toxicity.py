@@ -7,11 +7,13 @@ common clean words. Nystroem features are K(w, L) K(L, L)^-1/2; a linear support
 them gives each word a margin, and a sentence or document has the margin of its worst word. Labels
 are given for whole documents, so the word that stands for a toxic document is chosen anew after
 each fit (multiple-instance training), clean documents are stood for by their worst words, and
-disguised spellings of the toxic words - a sign between two letters - are trained on too. A logistic
-curve fitted on the training margins turns margins into scores; 0.5 is the decision border.
+disguised spellings of the toxic words - one more character between two letters - are trained on too. A
+logistic curve fitted on the training margins, and on those of the weakest disguises, turns margins into
+scores; 0.5 is the decision border.
 
-Training reads at most ``max_train`` labelled documents (by a hash of their id); scoring reads every
-word of every text. Null and empty texts have the score of a document without any known word; null
+Training reads at most ``max_train`` labelled documents (by a hash of their id), of each one text and at most
+``MAX_WORDS`` distinct words (by their hash), so what it gathers is bounded however long the texts are and however
+often an id is repeated; scoring reads every word of every text. Null and empty texts have the score of a document without any known word; null
 labels are not learned from; repeated rows are each scored; with no usable labels, or only one kind,
 every score is 0 where no toxic document is known. An empty table gives an empty result.
 """
@@ -19,6 +21,7 @@ every score is 0 where no toxic document is known. An empty table gives an empty
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -32,6 +35,7 @@ from wellspark.llm import kernel
 from wellspark.llm.arrow import schema_of, slices
 
 MAX_TRAIN = 4000
+MAX_WORDS = 2000
 LANDMARKS = 64
 DEGREE = 2
 _SHORTEST, _LONGEST = 3, 12
@@ -174,20 +178,27 @@ def choose_landmarks(toxic: list[dict[str, None]], clean: list[dict[str, None]],
 
 
 def _disguised(word: str) -> list[str]:
-    """The word with a sign after one of its inner letters."""
+    """The word with a character after one of its inner letters; to the kernel all that match nothing are one."""
     return [word[:i] + "." + word[i:] for i in range(2, len(word) - 1)]
 
 
 def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> ToxicityModel:
     """Model from labelled documents."""
+    return fit_forms([_forms(t) for t in texts], labels, landmarks, rounds)
+
+
+def _forms(text: str | None) -> list[str]:
+    """The distinct normal forms of a text's words."""
+    return list(dict.fromkeys(map(kernel.normal_form, dict.fromkeys(words_of(text)))))
+
+
+def fit_forms(found: list[list[str]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> ToxicityModel:
+    """Model from the word forms of labelled documents."""
     y = np.where(np.array(labels, dtype=int) > 0, 1.0, -1.0)
     if not (y > 0).any() or not (y < 0).any():
         return ToxicityModel(None, np.empty(0), 0.0, 0.0, 20.0 if (y > 0).any() else -20.0)
     same: dict[str, str] = {}
-    forms = []
-    for text in texts:
-        found = map(kernel.normal_form, dict.fromkeys(words_of(text)))
-        forms.append(dict.fromkeys(same.setdefault(f, f) for f in found))
+    forms = [dict.fromkeys(same.setdefault(f, f) for f in words) for words in found]
     chosen = choose_landmarks([d for d, v in zip(forms, y) if v > 0], [d for d, v in zip(forms, y) if v < 0], landmarks)
     marks = kernel.Landmarks(chosen or ["^the$"])
     number: dict[str, int] = {}
@@ -217,6 +228,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
     toxic_marks = len(marks.words) - min(len(marks.words), landmarks // 4)
     margins = near[:, : max(1, toxic_marks)].max(axis=1)
     w = np.zeros(root.shape[1] + 1)
+    fake, spans = np.zeros((0, len(marks.words))), [0]
     for _ in range(rounds):
         x, target = [], []
         for m, v in zip(members, y):
@@ -236,7 +248,9 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
         if not (target > 0).any():
             break
         told = sorted({names[i] for i in x[target > 0].tolist()})
-        fake = marks.products([d for t in told for d in _disguised(t)][:20_000]) ** DEGREE
+        spellings = [_disguised(t) for t in told]
+        spans = np.concatenate(([0], np.cumsum([len(x) for x in spellings if x]))).astype(int)
+        fake = marks.products([d for x in spellings for d in x]) ** DEGREE
         rows = np.concatenate((near[x], fake)) @ root
         target = np.concatenate((target, np.ones(len(fake))))
         weight = np.ones(len(target))
@@ -247,23 +261,36 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
         margins = near @ (root @ w[:-1])
     model = ToxicityModel(marks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
     worst = np.array([margins[m].max() if len(m) else 0.0 for m in members]) + model.offset
-    model.slope, model.shift = _logistic(worst, y)
+    weakest = np.minimum.reduceat(fake @ model.weights, spans[:-1]) + model.offset if len(fake) else np.empty(0)
+    model.slope, model.shift = _logistic(np.concatenate((worst, weakest)), np.concatenate((y, np.ones(len(weakest)))))
     return model
 
 
+def _training_forms(batches: Iterable[pa.RecordBatch], max_words: int) -> Iterator[pa.RecordBatch]:
+    schema = schema_of("doc_id bigint, label int, forms array<string>")
+    for batch in slices(batches, 64):
+        forms = [_forms(t) for t in batch.column(2).to_pylist()]
+        forms = [f if len(f) <= max_words else sorted(f, key=lambda w: zlib.crc32(w.encode()))[:max_words] for f in forms]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forms, type=schema.types[2])], schema=schema)
+
+
 def training_rows(
-    docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_train: int = MAX_TRAIN, label: str = "toxic"
+    docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_train: int = MAX_TRAIN, label: str = "toxic", max_words: int = MAX_WORDS
 ) -> list:
-    """At most ``max_train`` labelled documents, the same ones in every run."""
+    """``(doc_id, label, forms)`` of at most ``max_train`` labelled documents, the same ones in every run."""
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marks = marks if learn is None else marks.where(learn)
-    chosen = marks.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.md5(F.col("doc_id").cast("string")), "label").limit(max_train)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    marks = marks.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
+    chosen = marks.orderBy(F.md5(F.col("doc_id").cast("string")), "label").limit(max_train)
+    # Of the rows of one id one is taken, so there are no more rows than chosen labels.
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return found.mapInArrow(lambda b: _training_forms(b, max_words), "doc_id bigint, label int, forms array<string>").collect()
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_train: int = MAX_TRAIN) -> ToxicityModel:
-    rows = sorted(training_rows(docs, labels, learn, max_train), key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    rows = sorted(training_rows(docs, labels, learn, max_train), key=lambda r: (r["doc_id"], r["label"]))
+    return fit_forms([r["forms"] for r in rows], [r["label"] for r in rows])
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
