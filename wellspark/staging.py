@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
 _shipped: set[str] = set()
+_BATCH_BYTES = "16m"
 
 
 def root(spark: SparkSession) -> str:
@@ -83,7 +84,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on: wall-clock timestamps are read as UTC; workers have the package."""
+    """Session settings the operators rely on: wall-clock timestamps are read as UTC; workers have the package and get
+    batches of bounded bytes, however long the rows are."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH_BYTES)
     ship(spark)
     return spark
