@@ -42,6 +42,7 @@ _SHORTEST, _LONGEST = 3, 12
 _LEAST_GAIN = 5.0
 _CACHE_WORDS = 120_000
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S)+(?!\S)")
+_TRAINING = "doc_id bigint, label int, forms string"
 SCORES = "row_id bigint, margin double, score double, word string"
 
 
@@ -187,18 +188,21 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
     return fit_forms([_forms(t) for t in texts], labels, landmarks, rounds)
 
 
-def _forms(text: str | None) -> list[str]:
-    """The distinct normal forms of a text's words."""
-    return list(dict.fromkeys(map(kernel.normal_form, dict.fromkeys(words_of(text)))))
+def _forms(text: str | None, most: int | None = None) -> str:
+    """The distinct normal forms of a text's words, at most so many, with spaces between."""
+    forms = list(dict.fromkeys(map(kernel.normal_form, dict.fromkeys(words_of(text)))))
+    if most is not None and len(forms) > most:
+        forms = sorted(forms, key=lambda w: zlib.crc32(w.encode()))[:most]
+    return " ".join(forms)
 
 
-def fit_forms(found: list[list[str]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> ToxicityModel:
+def fit_forms(found: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> ToxicityModel:
     """Model from the word forms of labelled documents."""
     y = np.where(np.array(labels, dtype=int) > 0, 1.0, -1.0)
     if not (y > 0).any() or not (y < 0).any():
         return ToxicityModel(None, np.empty(0), 0.0, 0.0, 20.0 if (y > 0).any() else -20.0)
     same: dict[str, str] = {}
-    forms = [dict.fromkeys(same.setdefault(f, f) for f in words) for words in found]
+    forms = [dict.fromkeys(same.setdefault(f, f) for f in words.split()) for words in found]
     chosen = choose_landmarks([d for d, v in zip(forms, y) if v > 0], [d for d, v in zip(forms, y) if v < 0], landmarks)
     marks = kernel.Landmarks(chosen or ["^the$"])
     number: dict[str, int] = {}
@@ -210,17 +214,18 @@ def fit_forms(found: list[list[str]], labels: list[int], landmarks: int = LANDMA
     vocabulary = list(number)
     del number
     # Words that hardly share anything with a landmark have one row of zeros together.
-    row_of, kept = np.zeros(len(vocabulary), dtype=np.int64), [np.zeros((1, len(marks.words)))]
+    row_of = np.zeros(len(vocabulary), dtype=np.int64)
+    near = np.zeros((len(vocabulary) + 1, len(marks.words)), dtype=np.float32)
     size = 1
     for at in range(0, len(vocabulary), 16_384):
         block = marks.products(vocabulary[at : at + 16_384])
         some = np.flatnonzero(block.max(axis=1) > 0.1)
         row_of[at + some] = size + np.arange(len(some))
-        kept.append(block[some] ** DEGREE)
+        near[size : size + len(some)] = block[some] ** DEGREE
         size += len(some)
-    near = np.concatenate(kept)
+    near = near[:size]
     names = dict(zip(row_of.tolist(), vocabulary))
-    del kept, vocabulary
+    del vocabulary
     members = [np.unique(row_of[m]) for m in members]
     values, vectors = np.linalg.eigh(marks.gram**DEGREE)
     # K(L, L)^-1/2; directions that the landmarks hardly span are damped.
@@ -250,7 +255,7 @@ def fit_forms(found: list[list[str]], labels: list[int], landmarks: int = LANDMA
         told = sorted({names[i] for i in x[target > 0].tolist()})
         spellings = [_disguised(t) for t in told]
         spans = np.concatenate(([0], np.cumsum([len(x) for x in spellings if x]))).astype(int)
-        fake = marks.products([d for x in spellings for d in x]) ** DEGREE
+        fake = marks.products([d for x in spellings for d in x], block=1024) ** DEGREE
         rows = np.concatenate((near[x], fake)) @ root
         target = np.concatenate((target, np.ones(len(fake))))
         weight = np.ones(len(target))
@@ -267,11 +272,10 @@ def fit_forms(found: list[list[str]], labels: list[int], landmarks: int = LANDMA
 
 
 def _training_forms(batches: Iterable[pa.RecordBatch], max_words: int) -> Iterator[pa.RecordBatch]:
-    schema = schema_of("doc_id bigint, label int, forms array<string>")
+    schema = schema_of(_TRAINING)
     for batch in slices(batches, 64):
-        forms = [_forms(t) for t in batch.column(2).to_pylist()]
-        forms = [f if len(f) <= max_words else sorted(f, key=lambda w: zlib.crc32(w.encode()))[:max_words] for f in forms]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forms, type=schema.types[2])], schema=schema)
+        forms = [_forms(t, max_words) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forms)], schema=schema)
 
 
 def training_rows(
@@ -285,7 +289,7 @@ def training_rows(
     # Of the rows of one id one is taken, so there are no more rows than chosen labels.
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     found = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return found.mapInArrow(lambda b: _training_forms(b, max_words), "doc_id bigint, label int, forms array<string>").collect()
+    return found.mapInArrow(lambda b: _training_forms(b, max_words), _TRAINING).collect()
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_train: int = MAX_TRAIN) -> ToxicityModel:
