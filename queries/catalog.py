@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -281,29 +283,56 @@ def _(spark, d):
     return rounded(spark.read.parquet(f"{folder}/frequency_baseline.parquet"))
 
 
-@query("B4_detections_sink")
+@query("B4_detections_sink", S.RECORDS, "records")
 def _(spark, d):
     folder = new_path(spark, "report")
     sinks.write_detections(detection(spark, d).records, folder)
-    return spark.read.parquet(f"{folder}/anomaly_analysis.parquet")
+    return rounded(spark.read.parquet(f"{folder}/anomaly_analysis.parquet"))
 
 
-@query("B5_detections_json")
+@query("B5_detections_json", S.RECORDS, "records")
 def _(spark, d):
-    folder = new_path(spark, "report")
-    sinks.write_detections(detection(spark, d).records, folder)
-    return spark.read.json(f"{folder}/anomaly_analysis.json")
+    folder, records = new_path(spark, "report"), detection(spark, d).records
+    sinks.write_detections(records, folder)
+    return rounded(spark.read.schema(records.schema).json(f"{folder}/anomaly_analysis.json"))
+
+
+_LIMITS = ("thr_delta", "thr_slope", "normal_delta", "normal_slope")
+_ECHO = ", ".join("('" + f"{section}.{name}={value}".replace("'", "''") + "')" for section, name, value in sinks.settings_rows(fx.SETTINGS))
 
 
 @query(
     "B6_run_summary",
-    f"SELECT cause_group, {S.r6('thr_delta', 'thr_slope', 'normal_delta', 'normal_slope')} FROM thresholds",
+    " UNION ALL ".join(
+        [f"SELECT 'thresholds' AS part, cause_group || '.{c}' AS name, {S.rnd(c, 'number')} FROM thresholds" for c in _LIMITS]
+        + [
+            """SELECT 'training', coalesce(nullif(cause_group, 'normal'), '-') || '.' || item || '.' || name, coalesce(points, 0)::DOUBLE
+FROM train_members LEFT JOIN train_points USING (cause_group)""",
+            f"SELECT 'settings', name, NULL FROM (VALUES {_ECHO}) v(name)",
+            f"SELECT 'detections', well || ' ' || strftime(start, '%Y-%m-%d %H:%M:%S') || ' ' || reference_notes, {S.rnd('score', 'number')} FROM records",
+        ]
+    ),
     "thresholds",
+    "train_members",
+    "train_points",
+    "records",
 )
 def _(spark, d):
     folder, run = new_path(spark, "report"), detection(spark, d)
-    sinks.write_run_summary(run.thresholds, run.training, run.records, run.cfg, folder)
-    return rounded(spark.read.json(f"{folder}/summary/thresholds"))
+    training, records = run.training, run.records
+    sinks.write_run_summary(run.thresholds, training, records, run.cfg, folder)
+    part = {n: spark.read.schema(t.schema).json(f"{folder}/summary/{n}") for n, t in (("thresholds", run.thresholds), ("training", training), ("detections", records))}
+    limits = F.inline(F.array(*[F.struct(F.concat("cause_group", F.lit(f".{c}")).alias("name"), F.col(c).alias("number")) for c in _LIMITS]))
+    member = F.concat_ws(".", F.coalesce("cause_group", F.lit("-")), "item", "name")
+    settings = spark.read.json(f"{folder}/summary/settings")
+    found = F.concat_ws(" ", "well", F.date_format("start", "yyyy-MM-dd HH:mm:ss"), "reference_notes")
+    rows = [
+        part["thresholds"].select(F.lit("thresholds").alias("part"), limits),
+        part["training"].select(F.lit("training"), member, F.col("points").cast("double")),
+        settings.select(F.lit("settings"), F.concat("section", F.lit("."), "setting", F.lit("="), "value"), F.lit(None).cast("double")),
+        part["detections"].select(F.lit("detections"), found, "score"),
+    ]
+    return rounded(reduce(DataFrame.union, rows))
 
 
 _SUMMARY_SQL = (
@@ -486,9 +515,16 @@ def _(spark, d):
     return intervals.map_groups(detection(spark, d).anomalies, fx.RULES).select("interval_id", "cause", "cause_group")
 
 
-@query("C18_include_normal", "SELECT cause_group, min(row_id) AS first_row, true AS include_normal FROM grouped GROUP BY cause_group", "grouped")
+@query(
+    "C18_include_normal",
+    """SELECT cause_group, min(row_id) AS first_row, arg_max(include, place) AS include_normal FROM grouped
+JOIN (VALUES ('tubing_leak', 0, false), ('inflow_drop', 1, false), ('inflow_rise', 2, true)) p(cause, place, include) USING (cause) GROUP BY cause_group""",
+    "grouped",
+)
 def _(spark, d):
-    return thresholds.group_includes_normal(detection(spark, d).intervals, fx.RULES)
+    included = {"inflow_rise": True}
+    profiles = tuple(replace(p, include_normal=included.get(p.name, False)) for p in fx.RULES.profiles)
+    return thresholds.group_includes_normal(detection(spark, d).intervals, replace(fx.RULES, profiles=profiles))
 
 
 @query(
@@ -573,7 +609,7 @@ def _(spark, d):
     return found.select("sample", "interval_id")
 
 
-@query("J7_nearest_unassigned")
+@query("J7_nearest_unassigned", "SELECT * FROM matches WHERE NOT supplemental", "matches")
 def _(spark, d):
     return detection(spark, d).matches.where(~F.col("supplemental"))
 
@@ -787,7 +823,7 @@ def _(spark, d):
     return detection(spark, d).training
 
 
-@query("D16_quality")
+@query("D16_quality", f"SELECT reference_count, detections, missed, {S.r6('recall', 'mean_delay_minutes')}, {S.rnd('\"precision\"', '\"precision\"')} FROM quality", "quality")
 def _(spark, d):
     return rounded(detection(spark, d).quality)
 
@@ -812,7 +848,7 @@ def _(spark, d):
 def _(spark, d):
     rows = ordering.with_halo(detection(spark, d).raw_base, back=2)
     order = Window.partitionBy("well", "_block").orderBy("pos")
-    filled = rows.withColumns({f"_{m}": clean.ffill_limit(m, order, [2], 2) for m in S.METRICS})
+    filled = rows.withColumns({f"_{m}": clean.ffill_limit(m, order, 2) for m in S.METRICS})
     return rounded(ordering.own_rows(filled).select("well", "ts", *[F.col(f"_{m}").alias(m) for m in S.METRICS]))
 
 
@@ -853,7 +889,7 @@ def _rolled(spark: SparkSession, sf_dir: str, name: str, column) -> DataFrame:
 def _(spark, d):
     run = detection(spark, d)
     profile = stage(features.well_profile(run.base, run.baseline, run.cfg.features, run.cfg.baseline), "profile")
-    rows = features.rolling_features(features.apply_baseline(run.base, run.baseline, profile, 20.0), profile)
+    rows = features.rolling_features(features.apply_baseline(run.base, run.baseline, profile, 20.0))
     return rounded(rows.select("well", "ts", *[F.col(f"_{n}_before").alias(f"{n}_before") for n in S.NAMES]))
 
 
@@ -961,20 +997,20 @@ def _(spark, d):
     return rounded(rows.select("well", "ts", *_SNAPSHOT, "ewma_flag", "spike_flag", "residual_flag"))
 
 
-@query("G4_reference_matching")
+@query("G4_reference_matching", "SELECT * FROM matches", "matches")
 def _(spark, d):
     run = detection(spark, d)
     return events.match_references(run.events, run.references, run.scored, run.rules, run.cfg)
 
 
-@query("G5_supplemental_events")
+@query("G5_supplemental_events", "SELECT * FROM matches WHERE supplemental", "matches")
 def _(spark, d):
     return detection(spark, d).matches.where("supplemental")
 
 
-@query("G6_detection_records")
+@query("G6_detection_records", S.RECORDS, "records")
 def _(spark, d):
-    return detection(spark, d).records
+    return rounded(detection(spark, d).records)
 
 
 _TRIGGERS = f"well, interval_start, interval_end, detection_start, evaluated_points, {S.r6('delay_minutes', *S.DELTAS)}"
@@ -1008,7 +1044,7 @@ def _(spark, d):
     return rounded(detection(spark, d).calibration)
 
 
-@query("G10_detect")
+@query("G10_detect", S.RECORDS, "records")
 def _(spark, d):
     run = Detection(fx.telemetry(spark, d), fx.annotations(spark, d), fx.SETTINGS)
     return rounded(run.records.orderBy("start", "well", "segment_type"))

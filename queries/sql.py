@@ -164,7 +164,7 @@ cte(
     """SELECT event_id AS row_id, 'w' || (user_id % 10) AS well,
   ['tubing_leak', 'inflow_drop', 'inflow_rise', 'normal_freq', 'normal_freq'][k % 5 + 1] AS cause,
   ts AS start_ts, ts + INTERVAL 24 HOUR AS end_ts, 'k=' || k AS notes
-FROM (SELECT *, CAST(props ->> '$.k' AS INTEGER) AS k FROM events WHERE event_type = 'error') WHERE k < 10""",
+FROM (SELECT *, CAST(props ->> '$.k' AS INTEGER) AS k FROM events WHERE event_type = 'error')""",
 )
 cte(
     "labelled",
@@ -451,14 +451,22 @@ FROM (SELECT *, a*(d*f - e*e) - b*(b*f - c*e) + c*(b*e - c*d) AS det FROM {name}
     )
 
 
-for _i, _model in ((1, "mcd_start"), (2, "mcd_step1")):
-    cte(f"mcd_d{_i}", f"SELECT *, row_number() OVER (ORDER BY d) AS nth, count(*) OVER () AS n FROM ({_distance(_model)})", "z_full", _model)
-    _refit(f"mcd_step{_i}", f"SELECT * FROM mcd_d{_i} WHERE nth <= ceil(0.5 * (n + 4))", f"mcd_d{_i}")
-cte("mcd_d3", _distance("mcd_step2"), "z_full", "mcd_step2")
+MCD_STEPS = 20
+for _i in range(1, MCD_STEPS + 1):
+    _model = f"mcd_step{_i - 1}" if _i > 1 else "mcd_start"
+    cte(f"mcd_d{_i}", _distance(_model), "z_full", _model)
+    # Copies of one point are as far as each other, so all of those on the border are chosen.
+    cte(
+        f"mcd_h{_i}",
+        f"SELECT max(d) AS border FROM (SELECT d, row_number() OVER (ORDER BY d) AS nth, count(*) OVER () AS n FROM mcd_d{_i}) WHERE nth <= ceil(0.5 * (n + 4))",
+        f"mcd_d{_i}",
+    )
+    _refit(f"mcd_step{_i}", f"SELECT * FROM mcd_d{_i}, mcd_h{_i} WHERE d <= border", f"mcd_d{_i}", f"mcd_h{_i}")
+cte(f"mcd_d{MCD_STEPS + 1}", _distance(f"mcd_step{MCD_STEPS}"), "z_full", f"mcd_step{MCD_STEPS}")
 _refit(
     "model",
-    "SELECT * FROM mcd_d3 WHERE d / (SELECT quantile_cont(d, 0.5) / 2.365973884375338 FROM mcd_d3) < 9.348403604496148",
-    "mcd_d3",
+    f"SELECT * FROM mcd_d{MCD_STEPS + 1} WHERE d / (SELECT quantile_cont(d, 0.5) / 2.365973884375338 FROM mcd_d{MCD_STEPS + 1}) < 9.348403604496148",
+    f"mcd_d{MCD_STEPS + 1}",
 )
 cte("model_cut", f"SELECT quantile_cont(d, 0.99) AS threshold FROM ({_distance('model')})", "z_full", "model")
 cte(
@@ -509,6 +517,114 @@ SELECT k.well, (SELECT min(e.ts) FROM edges e WHERE e.well = k.well AND e.ts >=
 FROM kept k WHERE EXISTS (SELECT 1 FROM edges e WHERE e.well = k.well AND e.ts >= k.ts + INTERVAL 1440 MINUTE)""",
     "edges",
 )
+cte(
+    "spots",
+    """SELECT *, residual_flag OR ewma_flag OR spike_flag AS any_flag FROM signals
+WHERE pressure_delta IS NOT NULL AND pressure_slope IS NOT NULL""",
+    "signals",
+)
+cte(
+    "near_refs",
+    """SELECT r.well, r.row_id, r.start_ts, r.end_ts,
+  arg_min(s.ts, abs(epoch_us(s.ts) - epoch_us(r.start_ts)) * 2 - CASE WHEN s.ts >= r.start_ts THEN 1 ELSE 0 END) AS ts
+FROM refs r JOIN signals s USING (well) WHERE r.well NOT IN ('w3', 'w7') GROUP BY ALL""",
+    "refs",
+    "signals",
+)
+cte(
+    "offers",
+    """SELECT well, ts, 1 AS kind, epoch_us(ts) AS ord, NULL::BIGINT AS span_start, NULL::BIGINT AS span_end FROM kept
+UNION ALL SELECT well, ts, 2, row_id, epoch_us(start_ts), epoch_us(end_ts) FROM near_refs""",
+    "kept",
+    "near_refs",
+)
+cte(
+    "insides",
+    """SELECT o.well, o.ts, arg_min(r.interval_id, r.row_id) AS inside FROM (SELECT DISTINCT well, ts FROM offers) o
+JOIN refs r ON r.well = o.well AND o.ts BETWEEN r.start_ts AND r.end_ts GROUP BY o.well, o.ts""",
+    "offers",
+    "refs",
+)
+cte(
+    "offered",
+    """SELECT o.*, epoch_us(o.ts) AS us, row_number() OVER (PARTITION BY o.well ORDER BY kind, ord) AS nth, i.inside,
+  CASE WHEN inflow THEN CASE WHEN any_flag AND abs(pressure_slope) >= 3.0 * thr_slope AND abs(pressure_delta) >= 3.0 * thr_delta THEN 43200000000 ELSE 0 END
+    WHEN leak AND NOT (any_flag AND (abs(pressure_slope) >= 0.6 * thr_slope OR abs(pressure_delta) >= greatest(0.5 * thr_delta, 0.01))) THEN 0
+    ELSE 9000000000000000000 END AS most
+FROM offers o JOIN spots s ON s.well = o.well AND s.ts = o.ts LEFT JOIN insides i ON i.well = o.well AND i.ts = o.ts""",
+    "offers",
+    "spots",
+    "insides",
+)
+cte(
+    "ref_lists",
+    """SELECT well, list({'away': 0::BIGINT, 'ord': row_id, 'id': interval_id, 'a': epoch_us(start_ts), 'b': epoch_us(end_ts)}) AS refs
+FROM refs GROUP BY well""",
+    "refs",
+)
+# One offer of every well a step: the state is what has been taken and when.
+cte(
+    "matching",
+    """SELECT well, 0::BIGINT AS nth, []::VARCHAR[] AS taken, []::BIGINT[] AS times, NULL::TIMESTAMP AS ts, NULL::BIGINT AS interval_id, false AS supplemental FROM ref_lists
+UNION ALL
+SELECT well, nth, CASE WHEN ok THEN list_append(taken, name) ELSE taken END, CASE WHEN ok THEN list_append(times, us) ELSE times END,
+  ts, CASE WHEN ok THEN chosen.id END, kind = 2
+FROM (
+  SELECT *, coalesce(NOT list_contains(taken, name) AND chosen.a - us <= most
+    AND (kind = 1 OR len(list_filter(times, lambda t: t BETWEEN span_start AND span_end)) = 0), false) AS ok
+  FROM (
+    SELECT *, chosen.a || '-' || chosen.b AS name FROM (
+      SELECT m.well, o.nth, m.taken, m.times, o.ts, o.us, o.kind, o.most, o.span_start, o.span_end,
+        CASE WHEN o.inside IS NOT NULL THEN list_filter(l.refs, lambda r: r.id = o.inside)[1]
+        ELSE list_sort(list_transform(list_filter(l.refs, lambda r: NOT list_contains(m.taken, r.a || '-' || r.b)),
+          lambda r: {'away': abs(r.a - o.us), 'ord': r.ord, 'id': r.id, 'a': r.a, 'b': r.b}))[1] END AS chosen
+      FROM matching m JOIN offered o ON o.well = m.well AND o.nth = m.nth + 1 JOIN ref_lists l ON l.well = m.well)))""",
+    "offered",
+    "ref_lists",
+)
+cte("matches", "SELECT well, ts, interval_id, supplemental FROM matching WHERE interval_id IS NOT NULL", "matching")
+_LEAD = "(epoch_us(m.ts) - epoch_us(r.start_ts)) / 6e7"
+RECORD_DOUBLES = (
+    "duration_minutes", "pressure_delta_median", "pressure_slope_median", "current_delta_median", "temperature_delta_median",
+    "pressure_mean", "pressure_min_15m", "pressure_max_15m", "t2_max", "current_mean", "temperature_mean", "frequency_mean", "score",
+    "reference_delta_minutes", "reference_raw_delta_minutes", "reference_aligned_delta_minutes", "threshold_pressure_delta",
+    "threshold_pressure_slope", "threshold_normal_pressure_delta", "threshold_normal_pressure_slope",
+)
+RECORD_REST = (
+    "well", "cause", "start", "raw_start", "aligned_start", '"end"', "segment_type", "pressure_direction", "current_direction",
+    "temperature_direction", "ewma_triggered", "spike_triggered", "residual_triggered", "reference_match", "reference_notes", "reference_start",
+)
+cte(
+    "records",
+    f"""SELECT m.well, s.cause, m.ts AS start, m.ts AS raw_start, m.ts AS aligned_start, m.ts AS "end", 0.0::DOUBLE AS duration_minutes,
+  'anomaly' AS segment_type, s.pressure_delta AS pressure_delta_median, s.pressure_slope AS pressure_slope_median,
+  s.current_delta AS current_delta_median, s.temperature_delta AS temperature_delta_median, DIRECTIONS,
+  c.Intake_Pressure AS pressure_mean, c.Intake_Pressure_min AS pressure_min_15m, c.Intake_Pressure_max AS pressure_max_15m,
+  s.ewma_flag AS ewma_triggered, s.spike_flag AS spike_triggered, s.t2_stat AS t2_max, s.residual_flag AS residual_triggered,
+  c.Current AS current_mean, c.Motor_Temperature AS temperature_mean, c.Frequency AS frequency_mean, s.pressure_delta * s.pressure_slope AS score,
+  'anomaly' AS reference_match, r.notes AS reference_notes, r.start_ts AS reference_start,
+  {_LEAD} AS reference_delta_minutes, {_LEAD} AS reference_raw_delta_minutes, {_LEAD} AS reference_aligned_delta_minutes,
+  s.thr_delta AS threshold_pressure_delta, s.thr_slope AS threshold_pressure_slope, u.normal_delta AS threshold_normal_pressure_delta,
+  u.normal_slope AS threshold_normal_pressure_slope
+FROM matches m JOIN signals s ON s.well = m.well AND s.ts = m.ts JOIN clean c ON c.well = m.well AND c.ts = m.ts
+JOIN refs r ON r.interval_id = m.interval_id JOIN rules u ON u.well = m.well""",
+    "matches",
+    "signals",
+    "clean",
+    "refs",
+    "rules",
+)
+cte(
+    "quality",
+    """SELECT count(*) AS reference_count, coalesce(sum(hits), 0)::BIGINT AS detections, count(*) - count(hits) AS missed,
+  count(hits) / count(*) AS recall, sum(inside) / sum(hits) AS "precision", sum(delay) / sum(hits) AS mean_delay_minutes
+FROM (SELECT DISTINCT well, start_ts, end_ts FROM refs) p LEFT JOIN (
+  SELECT d.well, reference_start, count(*) AS hits, count(*) FILTER (start BETWEEN start_ts AND end_ts) AS inside, sum(reference_delta_minutes) AS delay
+  FROM records d LEFT JOIN (SELECT DISTINCT well, start_ts, end_ts FROM refs) q ON q.well = d.well AND q.start_ts = d.reference_start GROUP BY ALL
+) h ON h.well = p.well AND h.reference_start = p.start_ts""",
+    "refs",
+    "records",
+)
 cte(
     "first_triggers",
     """SELECT a.well, a.interval_id, a.start_ts AS interval_start, a.end_ts AS interval_end, count(f.ts) AS evaluated_points,
@@ -561,3 +677,6 @@ SUMMARY_COLUMNS = (
     "current_mean", "current_delta_median", "temperature_mean", "temperature_delta_median",
 )
 cte("stats_long", _long("interval_stats", "label", SUMMARY_COLUMNS, '"column"'), "interval_stats")
+_deps, _records = CTE["records"]
+CTE["records"] = (_deps, _records.replace("DIRECTIONS", ", ".join(direction(f"s.{n}_delta", f"{n}_direction") for n in NAMES)))
+RECORDS = f"SELECT {', '.join(RECORD_REST)}, {r6(*RECORD_DOUBLES)} FROM records"

@@ -39,7 +39,7 @@ SETTINGS = DetectSettings(
     clean=CleanSettings(hampel_minutes=1080, n_sigma=3.0, fill_minutes=720),
     features=FeatureSettings(window_minutes=720, shift_minutes=360, min_samples=720),
     baseline=BaselineSettings(bin_width=20.0, min_points=10),
-    residual=ResidualSettings(min_points=30, max_steps=2),
+    residual=ResidualSettings(min_points=30),
     causes=RULES,
     gap_minutes=1440,
     holdout=("w3", "w7"),
@@ -86,11 +86,11 @@ def lineitem_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str, wells: int = WELLS) -> DataFrame:
-    """One labelled day per rare error event."""
+    """One labelled day per error event."""
     causes = F.array(*[F.lit(c) for c in CAUSES])
     return (
         table(spark, sf_dir, "events")
-        .where((F.col("event_type") == "error") & (_k() < 10))
+        .where(F.col("event_type") == "error")
         .select(
             F.col("event_id").alias("row_id"),
             _well(wells=wells).alias("well"),

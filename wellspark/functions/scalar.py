@@ -125,15 +125,19 @@ def base_signal(delta, slope, thr_delta, thr_slope) -> Column:
     return F.coalesce(both, F.lit(False))
 
 
-def early_gate(lead_us, delta, slope, any_flag, thr_delta, thr_slope, inflow, leak, guard_hours: float = 12) -> Column:
-    """Whether an event ``lead_us`` before its reference may stand (thresholds already softened)."""
+def most_lead(delta, slope, any_flag, thr_delta, thr_slope, inflow, leak, guard_hours: float = 12) -> Column:
+    """Microseconds by which an event may be before its reference (thresholds already softened); 0 where it may not."""
     d, s, flag = F.abs(_col(delta)), F.abs(_col(slope)), _col(any_flag)
     thr_d, thr_s = _col(thr_delta), _col(thr_slope)
-    inflow_ok = (
-        (_col(lead_us) <= F.lit(int(guard_hours * 60 * MINUTE))) & flag & (s >= 3.0 * thr_s) & (d >= 3.0 * thr_d)
-    )
+    inflow_ok = flag & (s >= 3.0 * thr_s) & (d >= 3.0 * thr_d)
     leak_ok = flag & ((s >= 0.6 * thr_s) | (d >= F.greatest(0.5 * thr_d, F.lit(0.01))))
-    return F.when(_col(lead_us) <= 0, True).when(_col(inflow), inflow_ok).when(_col(leak), leak_ok).otherwise(True)
+    guard, never, always = (F.lit(int(x)).cast("bigint") for x in (guard_hours * 60 * MINUTE, 0, (1 << 63) - 1))
+    return F.when(_col(inflow), F.when(inflow_ok, guard).otherwise(never)).when(_col(leak) & ~leak_ok, never).otherwise(always)
+
+
+def early_gate(lead_us, delta, slope, any_flag, thr_delta, thr_slope, inflow, leak, guard_hours: float = 12) -> Column:
+    """Whether an event ``lead_us`` before its reference may stand."""
+    return _col(lead_us) <= most_lead(delta, slope, any_flag, thr_delta, thr_slope, inflow, leak, guard_hours)
 
 
 def score(delta, slope) -> Column:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import WindowSpec
 
-from wellspark.operators.ordering import own_rows, sampling_gaps, with_halo
+from wellspark.operators.ordering import on_blocks, sampling_gaps, with_halo
 from wellspark.operators.quantiles import exact_quantiles
 from wellspark.schema import DAY, METRICS, PRESSURE, CleanSettings
 from wellspark.staging import stage
 
-MAX_FRAMES = 4  # distinct frame sizes up to which literal frames are used
 _SIGMA = 1.4826  # scales a median absolute deviation to a standard deviation
 
 
@@ -41,40 +41,24 @@ def clean_params(base: DataFrame, cfg: CleanSettings) -> DataFrame:
     return steps.select("well", half.alias("half"), F.greatest(whole_points(cfg.fill_minutes, "step"), F.lit(0)).alias("fill"))
 
 
-def frame_choices(params: DataFrame, columns: Sequence[str]) -> list[tuple] | None:
-    """The few distinct frame sizes in use, or None when there are too many for literal frames."""
-    rows = params.select(*columns).distinct().limit(MAX_FRAMES + 1).collect()
-    return None if len(rows) > MAX_FRAMES else [tuple(r) for r in rows]
+def _flag_and_fill(metrics: Sequence[str], extrema: Sequence[str], n_sigma: float) -> Callable[[pd.DataFrame], None]:
+    def run(rows: pd.DataFrame) -> None:
+        frame, fill = 2 * int(rows["half"].iloc[0]) + 1, int(rows["fill"].iloc[0])
+        for m in metrics:
+            rolling = {"window": frame, "center": True, "min_periods": 1}
+            away = (rows[m] - rows[m].rolling(**rolling).median()).abs()
+            outlier = away > n_sigma * _SIGMA * away.rolling(**rolling).median()
+            rows[f"{m}_outlier"] = outlier
+            rows[m] = rows[m].mask(outlier)
+            if m == PRESSURE:
+                for c in extrema:
+                    rows[c] = rows[c].mask(outlier)
+            empty = rows[m].isna()
+            if fill:
+                rows[m] = rows[m].ffill(limit=fill)
+            rows[f"{m}_filled"] = empty & rows[m].notna()
 
-
-def _pick(column: str, by_size: dict[int, Column]) -> Column:
-    sizes = sorted(by_size)
-    if len(sizes) == 1:
-        return by_size[sizes[0]]
-    chosen = F.when(F.col(column) == sizes[0], by_size[sizes[0]])
-    for size in sizes[1:]:
-        chosen = chosen.when(F.col(column) == size, by_size[size])
-    return chosen
-
-
-def array_median(values: Column) -> Column:
-    ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    n = F.size(ordered)
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, low + (high - low) * 0.5)
-
-
-def _centred_median(x: str, order: WindowSpec, halves: list[int] | None, widest: int) -> Column:
-    if halves is not None:
-        return _pick(
-            "half", {h: F.percentile(F.col(x), F.lit(0.5)).over(order.rowsBetween(-h, h)) for h in halves}
-        )
-    around = F.collect_list(F.struct(F.col(x).alias("x"))).over(order.rowsBetween(-widest, widest))
-    centre = F.least(F.col("pos") - 1, F.lit(widest)).cast("int") + 1
-    first = F.greatest(centre - F.col("half"), F.lit(1))
-    own = F.slice(around, first, centre + F.col("half") - first + 1)
-    return array_median(F.transform(own, lambda s: s["x"]))
+    return run
 
 
 def clean(
@@ -84,53 +68,23 @@ def clean(
 
     A point is an outlier when it is further from the median of its centred frame than
     ``n_sigma`` scaled medians of such distances. A pressure outlier also clears the bin's extrema.
+    Each well has its own frame size and fill limit; the rolling medians run on blocks of its rows.
     """
     if not cfg.active:
         flags = [F.lit(False).alias(f"{m}_{kind}") for m in metrics for kind in ("outlier", "filled")]
         return base.select("*", *flags)
     params = stage(clean_params(base, cfg), "clean-params")
-    sizes = frame_choices(params, ["half", "fill"])
-    if sizes is None:
-        widest, longest = params.agg(F.max("half"), F.max("fill")).first()
-    else:
-        widest, longest = (max((s[i] for s in sizes), default=1) for i in (0, 1))
-    columns = base.columns
-    order = Window.partitionBy("well", "_block").orderBy("pos")
-    alike = sizes is not None and len(sizes) == 1
-    sized = base if alike else base.join(params, "well")
-    rows = with_halo(sized, back=2 * widest + longest, ahead=2 * widest)
-    half_sizes, fill_sizes = (None if sizes is None else sorted({s[i] for s in sizes} or {1}) for i in (0, 1))
-
-    for m in metrics:
-        rows = rows.withColumn(f"_{m}_dev", F.abs(F.col(m) - _centred_median(m, order, half_sizes, widest)))
-    for m in metrics:
-        spread = _centred_median(f"_{m}_dev", order, half_sizes, widest)
-        flagged = F.col(f"_{m}_dev") > F.lit(cfg.n_sigma * _SIGMA) * spread
-        rows = rows.withColumn(f"{m}_outlier", F.coalesce(flagged, F.lit(False)))
-    kept = {m: F.when(~F.col(f"{m}_outlier"), F.col(m)) for m in metrics}
-    if PRESSURE in metrics:
-        for side in ("min", "max"):
-            if f"{PRESSURE}_{side}" in columns:
-                kept[f"{PRESSURE}_{side}"] = F.when(~F.col(f"{PRESSURE}_outlier"), F.col(f"{PRESSURE}_{side}"))
-    rows = rows.withColumns(kept)
-    filled = {m: ffill_limit(m, order, fill_sizes, longest) for m in metrics}
-    rows = rows.withColumns({f"_{m}_fill": c for m, c in filled.items()})
-    return own_rows(rows).select(
-        *[F.col(f"_{c}_fill").alias(c) if c in metrics else F.col(c) for c in columns],
-        *[F.col(f"{m}_outlier") for m in metrics],
-        *[(F.col(m).isNull() & F.col(f"_{m}_fill").isNotNull()).alias(f"{m}_filled") for m in metrics],
-    )
+    half, fill = F.col("half"), F.col("fill")
+    rows = with_halo(base.join(params, "well"), back=2 * half + fill, ahead=2 * half)
+    extrema = [c for c in (f"{PRESSURE}_min", f"{PRESSURE}_max") if c in base.columns]
+    flags = [f"{m}_{kind}" for m in metrics for kind in ("outlier", "filled")]
+    done = on_blocks(rows, _flag_and_fill(metrics, extrema, cfg.n_sigma), ", ".join(f"{c} boolean" for c in flags))
+    return done.select(*base.columns, *[f"{m}_outlier" for m in metrics], *[f"{m}_filled" for m in metrics])
 
 
-def ffill_limit(x: str, order: WindowSpec, limits: list[int] | None, longest: int) -> Column:
-    """The last valid value at most ``fill`` rows back (the column ``fill`` picks among ``limits``)."""
-    if limits is not None:
-        return _pick(
-            "fill", {n: F.last(x, ignorenulls=True).over(order.rowsBetween(-n, 0)) if n else F.col(x) for n in limits}
-        )
-    seen = F.last(F.when(F.col(x).isNotNull(), F.struct("pos", F.col(x).alias("x"))), ignorenulls=True)
-    recent = seen.over(order.rowsBetween(-longest, 0))
-    return F.when(F.col("pos") - recent["pos"] <= F.col("fill"), recent["x"])
+def ffill_limit(x: str, order: WindowSpec, limit: int) -> Column:
+    """The last valid value at most ``limit`` rows back."""
+    return F.last(x, ignorenulls=True).over(order.rowsBetween(-limit, 0)) if limit else F.col(x)
 
 
 def cleaning_summary(cleaned: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspark.functions.scalar import base_signal, minutes_between
-from wellspark.operators.intervals import points_in_intervals
-from wellspark.schema import FeatureSettings
+from wellspark.operators.ordering import neighbours, time_slice
+from wellspark.schema import DAY, FeatureSettings
 
 _DELTAS = ("pressure_delta", "pressure_slope", "current_delta", "temperature_delta")
 
@@ -17,18 +17,29 @@ def first_triggers(
 ) -> DataFrame:
     """One row per interval: grid points looked at and the first point inside it with a base signal.
 
-    The look-back before the interval start is the longer of window and shift.
+    The look-back before the interval start is the longer of window and shift. Points and three places of every
+    interval - look-back, start and end - are swept together: the next signal from the start on is the only one
+    that can be the first inside, and the number of points follows from the positions next to the other two.
     """
     warm = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(max(cfg.window_minutes, cfg.shift_minutes) * 60)))
-    marked = features.select("well", "ts", *_DELTAS).join(rules.select("well", "thr_delta", "thr_slope"), "well", "left")
-    marked = marked.withColumn("_signal", base_signal("pressure_delta", "pressure_slope", "thr_delta", "thr_slope"))
+    marked = features.select("well", "ts", "pos", *_DELTAS).join(rules.select("well", "thr_delta", "thr_slope"), "well", "left")
+    signal = base_signal("pressure_delta", "pressure_slope", "thr_delta", "thr_slope")
+    points = marked.select("well", "ts", F.lit(1).alias("_kind"), "pos", F.when(signal, F.struct("ts", *_DELTAS)).alias("signal"))
     spans = intervals.select("interval_id", "well", "start_ts", "end_ts")
-    pairs = points_in_intervals(marked, spans, start=F.col("start_ts") - warm)
-    hit = F.col("_signal") & (F.col("ts") >= F.col("start_ts"))
-    seen = pairs.groupBy("interval_id").agg(
-        F.count("*").alias("evaluated_points"),
-        F.min_by(F.struct("ts", *_DELTAS), F.when(hit, F.col("ts"))).alias("_hit"),
+    # Kinds order rows of one time: a look-back or start sees its own time ahead, an end sees it behind.
+    places = [(F.col("start_ts") - warm, 0, "warm"), (F.col("start_ts"), 0, "start"), (F.col("end_ts"), 2, "end")]
+    place = F.inline(F.array(*[F.struct(ts.alias("ts"), F.lit(kind).alias("_kind"), F.lit(name).alias("_place")) for ts, kind, name in places]))
+    both = points.unionByName(spans.select("interval_id", "well", place), allowMissingColumns=True)
+    both = both.withColumn("_slice", time_slice("ts", 64 * DAY))
+    around = neighbours(both, ["well"], "_slice", ["ts", "_kind"], ["pos", "signal"]).where("_place IS NOT NULL")
+
+    def at(name: str, column: str):
+        return F.max(F.when(F.col("_place") == name, F.col(column)))
+
+    seen = around.groupBy("interval_id").agg(
+        at("start", "signal_next").alias("_next"), F.greatest(F.lit(0).cast("bigint"), at("end", "pos_prev") - at("warm", "pos_next") + 1).alias("evaluated_points")
     )
+    spans = spans.join(seen, "interval_id", "left").withColumn("_hit", F.when(F.col("_next.ts") <= F.col("end_ts"), F.col("_next")))
     found = F.col("_hit.ts")
     trigger = F.struct(
         F.col("_hit.pressure_delta").alias("pressure_delta"),
@@ -41,7 +52,7 @@ def first_triggers(
         F.lit(0.0).alias("notification_lag_minutes"),
     )
     delay = minutes_between(found, F.col("start_ts"))
-    return spans.join(seen, "interval_id", "left").select(
+    return spans.select(
         "well",
         F.col("start_ts").alias("interval_start"),
         F.col("end_ts").alias("interval_end"),

@@ -17,6 +17,7 @@ from wellspark.functions.scalar import (
     from_micros,
     micros,
     minutes_between,
+    most_lead,
     notes_text,
     score,
 )
@@ -69,29 +70,12 @@ def rising_edges(signals: DataFrame) -> DataFrame:
     return own_rows(rows).where(F.col("_before").isNull() | (F.col("_before") < F.col("pos") - 1)).drop("_block", "_before")
 
 
-def _kept_edges(gap_us: int):
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, last = None, 0
-        for batch in batches:
-            kept = []
-            for well, start, us in zip(batch["well"], batch["_run"], batch["_us"]):
-                if run != (well, start):
-                    run, last = (well, start), us
-                    kept.append(True)
-                else:
-                    kept.append(us - last >= gap_us)
-                    last = us if kept[-1] else last
-            yield batch.loc[kept, ["well", "_us"]]
-
-    return keep
-
-
 def suppress_gap(edges: DataFrame, gap_minutes: float) -> DataFrame:
     """Edges at least ``gap_minutes`` after the last kept one of their well: ``(well, ts)``.
 
-    An edge that far after the edge before it is always kept, so each run of closer
-    edges is decided on its own; a run streams through one task in time order with the
-    last kept time as the only state.
+    Every edge points to the one that would be kept next if it were kept itself: the first at least the gap later.
+    An edge that far after the edge before it is kept in any case, so chains of pointers begin there and end before
+    the next such edge. Kept edges are marked along the chains by pointer jumping: each round doubles what is marked.
     """
     gap = int(gap_minutes * MINUTE)
     width = max(gap, 8 * DAY)
@@ -100,18 +84,29 @@ def suppress_gap(edges: DataFrame, gap_minutes: float) -> DataFrame:
     order = Window.partitionBy("well", "_slice").orderBy("_us")
     near = edges.select("well", us.alias("_us"), slices.alias("_slice")).withColumn("_before", F.lag("_us").over(order))
     own = near.where(F.col("_slice") == floor_div("_us", width))
-    starts = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= gap)
-    marked = own.withColumn("_start", F.when(starts, F.col("_us")))
-    runs = neighbours(marked, ["well"], "_slice", ["_us"], ["_start"]).select("well", "_us", F.col("_start_prev").alias("_run"))
-    kept = runs.repartition("well", "_run").sortWithinPartitions("well", "_run", "_us")
-    return kept.mapInPandas(_kept_edges(gap), "well string, _us bigint").select("well", from_micros("_us").alias("ts"))
+    head = F.coalesce(F.col("_us") - F.col("_before") >= gap, F.lit(True))
+    marked = own.select("well", "_us", head.alias("head"))
+    found = marked.select("well", "_us", F.lit(1).alias("_kind"), F.struct("_us", "head").alias("_at"))
+    seekers = marked.select("well", (F.col("_us") + gap).alias("_us"), F.lit(0).alias("_kind"), F.col("_us").alias("us"), F.col("head").alias("kept"))
+    both = found.unionByName(seekers, allowMissingColumns=True).withColumn("_slice", floor_div("_us", width))
+    ahead = neighbours(both, ["well"], "_slice", ["_us", "_kind"], ["_at"]).where("_kind = 0")
+    chain = stage(ahead.select("well", "us", "kept", F.when(~F.col("_at_next.head"), F.col("_at_next._us")).alias("to")), "edges")
+    while not (pointing := chain.where("kept AND to IS NOT NULL")).isEmpty():
+        reached = pointing.select("well", F.col("to").alias("us"), F.lit(True).alias("again"))
+        jumps = chain.where("to IS NOT NULL").select("well", F.col("us").alias("to"), F.col("to").alias("far"))
+        met = chain.join(reached, ["well", "us"], "left").join(jumps, ["well", "to"], "left")
+        chain = stage(met.select("well", "us", F.coalesce("again", "kept").alias("kept"), F.col("far").alias("to")), "edges")
+    return chain.where("kept").select("well", from_micros("us").alias("ts"))
+
+
+_NO_TIME = -(1 << 62)  # stands for the time of a supplement that is not there
 
 
 class _Matcher:
     """Assigns the events of one well to its references, in time order."""
 
-    def __init__(self, well: str, guard_us: int):
-        self.well, self.guard = well, guard_us
+    def __init__(self, well: str):
+        self.well = well
         self.refs: dict[int, object] = {}
         self.free: list[tuple[int, int, int]] = []  # (start, annotation order, id), not yet assigned
         self.taken: set[tuple[int, int]] = set()
@@ -132,15 +127,6 @@ class _Matcher:
             around.append(self.free[bisect_left(self.free, (self.free[at - 1][0],))])
         return min(around, key=lambda f: (abs(us - f[0]), f[1]))[2] if around else None
 
-    def allowed(self, row, lead: int) -> bool:
-        if lead <= 0 or not (row.inflow or row.leak):
-            return True
-        delta, slope = abs(row.pressure_delta), abs(row.pressure_slope)
-        if row.inflow:
-            strong = slope >= row.thr_slope * 3.0 and delta >= row.thr_delta * 3.0
-            return lead <= self.guard and row.any_flag and strong
-        return row.any_flag and (slope >= row.thr_slope * 0.6 or delta >= max(row.thr_delta * 0.5, 0.01))
-
     def offer(self, row, us: int, supplemental: bool) -> None:
         inside = row.contain_id
         chosen = inside if inside >= 0 else self.nearest(us)
@@ -148,7 +134,7 @@ class _Matcher:
             return
         ref = self.refs[chosen]
         key = (ref.start_us, ref.end_us)
-        if key in self.taken or not self.allowed(row, ref.start_us - us):
+        if key in self.taken or ref.start_us - us > row.most_lead:
             return
         self.taken.add(key)
         same = bisect_left(self.free, (ref.start_us,))
@@ -163,7 +149,7 @@ class _Matcher:
     def close(self) -> list[tuple]:
         """Offers references that no recorded event falls into, then returns the records."""
         for ref in sorted(self.refs.values(), key=lambda r: r.ord):
-            if ref.holdout or pd.isna(ref.near_us) or pd.isna(ref.pressure_delta) or pd.isna(ref.pressure_slope):
+            if ref.near_us == _NO_TIME:
                 continue
             at = bisect_left(self.times, ref.start_us)
             if at == len(self.times) or self.times[at] > ref.end_us:
@@ -171,27 +157,23 @@ class _Matcher:
         return self.found
 
 
-def _match_wells(guard_us: int):
+def _match_wells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["well", "us", "interval_id", "supplemental"]
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = None
-        for batch in batches:
-            done: list[tuple] = []
-            for row in batch.itertuples(index=False):
-                if matcher is None or matcher.well != row.well:
-                    done += matcher.close() if matcher else []
-                    matcher = _Matcher(row.well, guard_us)
-                if row.kind == 0:
-                    matcher.add_reference(row)
-                elif matcher.free or row.contain_id >= 0:
-                    matcher.offer(row, row.ord, False)
-            if done:
-                yield pd.DataFrame(done, columns=columns)
-        if matcher is not None:
-            yield pd.DataFrame(matcher.close(), columns=columns)
-
-    return match
+    matcher = None
+    for batch in batches:
+        done: list[tuple] = []
+        for row in batch.itertuples(index=False):
+            if matcher is None or matcher.well != row.well:
+                done += matcher.close() if matcher else []
+                matcher = _Matcher(row.well)
+            if row.kind == 0:
+                matcher.add_reference(row)
+            elif matcher.free or row.contain_id >= 0:
+                matcher.offer(row, row.ord, False)
+        if done:
+            yield pd.DataFrame(done, columns=columns)
+    if matcher is not None:
+        yield pd.DataFrame(matcher.close(), columns=columns)
 
 
 def match_references(
@@ -228,7 +210,8 @@ def match_references(
     )
     offers = known.where(F.col("contain_id") < 0).unionByName(firsts)
     offers = offers.withColumns({"kind": F.lit(1), "ord": micros("ts")}).drop("ts")
-    supplements = nearest.join(spots, ["well", "ts"], "left").withColumn("near_us", micros("ts")).drop("ts")
+    # A supplement without a delta or slope is none.
+    supplements = nearest.join(spots.where(usable), ["well", "ts"]).withColumn("near_us", micros("ts")).drop("ts")
     starts = (
         refs.select(
             "well", "interval_id", F.col("row_id").alias("ord"), micros("start_ts").alias("start_us"), micros("end_ts").alias("end_us")
@@ -236,11 +219,13 @@ def match_references(
         .join(supplements, ["well", "interval_id"], "left")
         .withColumns({"kind": F.lit(0), "contain_id": F.coalesce("contain_id", F.lit(-1))})
     )
-    limits = rules.select("well", "holdout", "inflow", "leak", "thr_delta", "thr_slope")
+    limits = rules.select("well", "inflow", "leak", "thr_delta", "thr_slope")
     rows = starts.unionByName(offers, allowMissingColumns=True).join(limits, "well")
+    lead = most_lead(*values, "thr_delta", "thr_slope", "inflow", "leak", cfg.early_guard_hours)
+    numbers = {"most_lead": lead, "near_us": F.coalesce("near_us", F.lit(_NO_TIME)), **{c: F.coalesce(c, F.lit(0)) for c in ("interval_id", "start_us", "end_us")}}
+    rows = rows.withColumns(numbers).select("well", "kind", "ord", "contain_id", "interval_id", "start_us", "end_us", "near_us", "most_lead")
     ordered = rows.repartition("well").sortWithinPartitions("well", "kind", "ord")
-    guard = int(cfg.early_guard_hours * 60 * MINUTE)
-    matched = ordered.mapInPandas(_match_wells(guard), "well string, us bigint, interval_id bigint, supplemental boolean")
+    matched = ordered.mapInPandas(_match_wells, "well string, us bigint, interval_id bigint, supplemental boolean")
     return matched.select("well", from_micros("us").alias("ts"), "interval_id", "supplemental")
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import WindowSpec
 
 from wellspark.functions.scalar import freq_bin, micros, safe_divide
 from wellspark.operators.baseline import baseline_by_bin, scale_profile, unpivot
-from wellspark.operators.clean import MAX_FRAMES, sampling_step, whole_points
-from wellspark.operators.ordering import neighbours, own_rows, with_halo
+from wellspark.operators.clean import sampling_step, whole_points
+from wellspark.operators.ordering import neighbours, on_blocks, with_halo
 from wellspark.schema import FREQUENCY, MODELLED, BaselineSettings, FeatureSettings
 from wellspark.staging import stage
 
@@ -98,31 +99,19 @@ def lag_difference(x: str, order: WindowSpec, shift: int) -> Column:
     return F.col(x) - F.lag(x, shift).over(order)
 
 
-def _frames(x: str, name: str, order: WindowSpec, sizes: list[tuple] | None, reach: int) -> tuple[Column, Column, Column]:
+def _roll(names: Sequence[str]) -> Callable[[pd.DataFrame], None]:
     """Trailing mean, lagged trailing mean and lag difference with the well's own sizes."""
-    own = [F.col(f"{name}_{c}") for c in ("w", "s", "mp")]
-    if sizes is not None:
-        made = []
-        for w, s, mp in sorted(sizes):
-            made.append((rolling_mean(x, order, w, mp), rolling_mean(x, order, w, mp, s), lag_difference(x, order, s)))
-        if len(made) == 1:
-            return made[0]
-        picked = []
-        for i in range(3):
-            c = F.lit(None).cast("double")
-            for (w, s, mp), columns in zip(sorted(sizes), made):
-                c = F.when((own[0] == w) & (own[1] == s) & (own[2] == mp), columns[i]).otherwise(c)
-            picked.append(c)
-        return tuple(picked)
-    w, s, mp = own
-    seen = F.reverse(F.collect_list(F.struct(F.col(x).alias("x"))).over(order.rowsBetween(-reach, 0)))
-
-    def mean_of(part: Column) -> Column:
-        valid = F.filter(F.transform(part, lambda r: r["x"]), lambda v: v.isNotNull())
-        total = F.aggregate(F.reverse(valid), F.lit(0.0), lambda a, v: a + v)
-        return F.when(F.size(valid) >= mp, total / F.size(valid))
-
-    return mean_of(F.slice(seen, F.lit(1), w)), mean_of(F.slice(seen, s + 1, w)), F.col(x) - F.get(seen, s)["x"]
+
+    def run(rows: pd.DataFrame) -> None:
+        for n in names:
+            x = rows[f"{n}_residual"]
+            w, s, mp = (int(rows[f"{n}_{c}"].iloc[0]) for c in ("w", "s", "mp"))
+            rows[f"_{n}_now"] = x.rolling(w, min_periods=mp).mean()
+            rows[f"_{n}_before"] = rows[f"_{n}_now"].shift(s)
+            if n == "pressure":
+                rows["pressure_slope"] = x - x.shift(s)
+
+    return run
 
 
 def interpolate_time(us: str, v: str) -> Column:
@@ -136,34 +125,11 @@ def interpolate_time(us: str, v: str) -> Column:
     return F.coalesce(v, F.when(n.isNotNull(), between).otherwise(p))
 
 
-def window_choices(profile: DataFrame, names: Sequence[str]) -> tuple[dict[str, list[tuple]], int]:
-    """Literal frame sizes per metric where they are few, and the rows the longest frame reaches back."""
-    used = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("n"), *[F.col(f"{n}_{c}").alias(c) for c in ("w", "s", "mp")]) for n in names])
-    )
-    limit = MAX_FRAMES * len(names)
-    rows = profile.select(used.alias("u")).select("u.*").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        return {}, profile.agg(F.max(F.greatest(*[F.col(f"{n}_w") + F.col(f"{n}_s") for n in names]))).first()[0]
-    sizes = {n: [(r.w, r.s, r.mp) for r in rows if r.n == n] for n in names}
-    few = {n: s for n, s in sizes.items() if 0 < len(s) <= MAX_FRAMES}
-    return few, max((r.w + r.s for r in rows), default=2)
-
-
-def rolling_features(
-    rows: DataFrame, profile: DataFrame, names: Sequence[str] = tuple(MODELLED.values())
-) -> DataFrame:
-    """Adds ``<n>_delta`` per metric and the pressure slope to rows with residuals and window sizes."""
-    sizes, reach = window_choices(profile, names)
-    order = Window.partitionBy("well", "_block").orderBy("pos")
-    blocks = with_halo(rows, back=reach)
-    added = {}
-    for n in names:
-        now, before, slope = _frames(f"{n}_residual", n, order, sizes.get(n), reach)
-        added.update({f"_{n}_now": now, f"_{n}_before": before})
-        if n == "pressure":
-            added["pressure_slope"] = slope
-    blocks = own_rows(blocks.withColumns(added))
+def rolling_features(rows: DataFrame, names: Sequence[str] = tuple(MODELLED.values())) -> DataFrame:
+    """Adds ``<n>_delta`` per metric and the pressure slope to rows with residuals and the well's window sizes."""
+    reach = F.greatest(F.lit(1), *[F.col(f"{n}_w") + F.col(f"{n}_s") for n in names])
+    added = [f"_{n}_{c}" for n in names for c in ("now", "before")] + ["pressure_slope"] * ("pressure" in names)
+    blocks = on_blocks(with_halo(rows, back=reach), _roll(names), ", ".join(f"{c} double" for c in added))
     points = {f"_{n}_us": F.when(F.col(f"_{n}_before").isNotNull(), micros("ts")) for n in names}
     payloads = [f"_{n}_{c}" for n in names for c in ("us", "before")]
     around = neighbours(blocks.withColumns(points), ["well"], "_block", ["pos"], payloads)
@@ -185,5 +151,5 @@ def feature_frame(
     """
     profile = stage(well_profile(base, baseline, cfg, bcfg), "profile")
     residuals = apply_baseline(base, baseline, profile, bcfg.bin_width)
-    rows = rolling_features(residuals, profile)
+    rows = rolling_features(residuals)
     return rows.select("well", "ts", "pos", *FEATURES, *keep)

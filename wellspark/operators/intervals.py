@@ -2,25 +2,29 @@
 
 Range joins get an equality key first: intervals are cut along fixed-width time
 buckets, so a busy well spreads over its buckets. Pooling joins use
-:func:`coverage`, whose segments never overlap, so a point meets at most one row
-however many intervals cover it.
+:func:`coverage` and :func:`first_open`, whose segments never overlap, so a point meets
+at most one row however many intervals cover it. Lookups at the ends of intervals
+(:func:`uncovered`, :func:`asof_nearest`) are sweeps over points and ends together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wellspark.functions.scalar import canon_well, classify_label, floor_div, micros
+from wellspark.functions.scalar import canon_well, classify_label, floor_div, label_set, micros
 from wellspark.operators.ordering import BLOCK_ROWS, forward_fill, neighbours, number_rows, time_slice
 from wellspark.schema import DAY, CauseRules
 from wellspark.staging import stage
 
 BUCKET_US = DAY
 _SWEEP_US = 64 * DAY  # slice width when interval endpoints are swept
+_NODES = 40  # levels of the tree over slices: more than any time span needs
 
 
 def ffill_annotations(rows: DataFrame, source: str = "source_id") -> DataFrame:
@@ -49,7 +53,7 @@ def reference_intervals(ann: DataFrame, base: DataFrame, rules: CauseRules) -> D
     known = (
         ann.withColumn("well", canon_well("well"))
         .withColumn("cause", F.trim("cause"))
-        .withColumn("label", classify_label("cause", rules.anomaly, rules.normal))
+        .withColumn("label", classify_label("cause", label_set(rules.anomaly), label_set(rules.normal)))
         .where(F.col("label").isNotNull() & F.col("well").isNotNull())
     )
     return clip_intervals(known, well_bounds(base)).select(
@@ -176,19 +180,115 @@ def points_in_intervals(
     )
 
 
+_OPEN = "well string, seg_start bigint, seg_end bigint, row_id bigint, interval_id bigint"
+
+
+def _sweep_open(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces ``(well, slice, seg_start, seg_end, row_id, interval_id)`` sorted by slice and start to segments with the
+    smallest open row. Open pieces wait in a heap; one that has ended leaves it when it gets to the top."""
+    names = [c.split(" ")[0] for c in _OPEN.split(", ")]
+    group, waiting, at = None, [], 0
+    out: list[tuple] = []
+
+    def advance(until: int | None) -> None:
+        """Segments from ``at`` to just before ``until``."""
+        nonlocal at
+        while waiting and (until is None or at < until):
+            row, end, interval = waiting[0]
+            if end < at:
+                heapq.heappop(waiting)
+                continue
+            stop = end if until is None else min(end, until - 1)
+            if out and out[-1][0] == group[0] and out[-1][3] == row and out[-1][2] == at - 1:
+                out[-1] = (*out[-1][:2], stop, row, interval)
+            else:
+                out.append((group[0], at, stop, row, interval))
+            at = stop + 1
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+
+    for batch in batches:
+        for well, number, start, end, row, interval in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            if (well, number) != group:
+                if group is not None:
+                    advance(None)
+                group, at = (well, number), start
+                waiting.clear()
+            advance(start)
+            at = max(at, start)
+            heapq.heappush(waiting, (row, end, interval))
+        if len(out) > 1:
+            yield batch_of(out[:-1])
+            del out[:-1]
+    if group is not None:
+        advance(None)
+    if out:
+        yield batch_of(out)
+
+
+def first_open(intervals: DataFrame, width: int = _SWEEP_US) -> DataFrame:
+    """Disjoint segments with the smallest ``row_id`` of the intervals over each: ``(well, seg_start, seg_end, row_id,
+    interval_id)`` in microseconds.
+
+    Time is cut into slices, each swept on its own. An interval takes part in the two slices that hold its ends. The
+    slices in between are covered whole: they get the smallest such row by way of a binary tree over slices, to which
+    an interval gives a few nodes and from which a slice asks its ancestors, so a long interval costs no row per slice.
+    """
+    spans = intervals.select("well", "row_id", "interval_id", micros("start_ts").alias("a"), micros("end_ts").alias("b"))
+    spans = spans.withColumns({"_from": floor_div("a", width), "_to": floor_div("b", width)})
+    ends = spans.withColumn("_slice", F.explode(F.array_distinct(F.array("_from", "_to"))))
+    first, last = F.col("_slice") * width, (F.col("_slice") + 1) * width - 1
+    piece = [F.greatest("a", first).alias("seg_start"), F.least("b", last).alias("seg_end")]
+    pieces = ends.select("well", "_slice", *piece, "row_id", "interval_id")
+    whole = spans.where(F.col("_to") - F.col("_from") > 1)
+    whole = stage(whole.select("well", "row_id", "interval_id", (F.col("_from") + 1).alias("lo"), F.col("_to").alias("hi")), "whole-slices")
+    if not whole.isEmpty():
+        pieces = pieces.unionByName(_whole_slices(whole, spans, width))
+    swept = pieces.repartition("well", "_slice").sortWithinPartitions("well", "_slice", "seg_start")
+    return swept.select("well", "_slice", "seg_start", "seg_end", "row_id", "interval_id").mapInArrow(_sweep_open, _OPEN)
+
+
+def _whole_slices(whole: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """Slices ``lo <= s < hi`` of the intervals in ``whole`` with the smallest row over each."""
+    # Nodes of the tree that make up [lo, hi): at level k those that start where lo or end where hi has to be rounded.
+    level = lambda k: F.pow(F.lit(2.0), k)
+    levels = F.sequence(F.lit(0), F.lit(_NODES))
+    up = F.transform(levels, lambda k: F.struct(k.alias("k"), F.ceil(F.col("lo") / level(k)).alias("l"), F.floor(F.col("hi") / level(k)).alias("h")))
+    odd = lambda x: F.pmod(x, F.lit(2)) == 1
+    left = F.transform(F.filter(up, lambda n: (n["l"] < n["h"]) & odd(n["l"])), lambda n: F.struct(n["k"].alias("k"), n["l"].alias("node")))
+    right = F.transform(F.filter(up, lambda n: (n["l"] < n["h"]) & odd(n["h"])), lambda n: F.struct(n["k"].alias("k"), (n["h"] - 1).alias("node")))
+    least = F.min(F.struct("row_id", "interval_id")).alias("least")
+    nodes = whole.select("well", "row_id", "interval_id", F.inline(F.concat(left, right))).groupBy("well", "k", "node").agg(least)
+    reach = whole.groupBy("well").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    slices = reach.select("well", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("_slice"))
+    above = F.transform(levels, lambda k: F.struct(k.alias("k"), F.floor(F.col("_slice") / level(k)).alias("node")))
+    asked = slices.select("well", "_slice", F.inline(above)).join(nodes, ["well", "k", "node"])
+    found = asked.groupBy("well", "_slice").agg(F.min("least").alias("least"))
+    return found.select(
+        "well", "_slice", (F.col("_slice") * width).alias("seg_start"), ((F.col("_slice") + 1) * width - 1).alias("seg_end"), "least.row_id", "least.interval_id"
+    )
+
+
 def containing(
-    points: DataFrame, refs: DataFrame, id_columns: Sequence[str] = ("well", "ts")
+    points: DataFrame, refs: DataFrame, id_columns: Sequence[str] = ("well", "ts"), width: int = BUCKET_US
 ) -> DataFrame:
     """Per point the first reference (annotation order) that contains it: ``(ids, interval_id)``."""
-    spans = refs.select("well", "interval_id", "row_id", "start_ts", "end_ts")
-    pairs = points_in_intervals(points.select(*id_columns), spans)
-    return pairs.groupBy(*id_columns).agg(F.min_by("interval_id", "row_id").alias("interval_id"))
+    segments = first_open(refs)
+    cut = segments.select("*", _buckets(F.col("seg_start"), F.col("seg_end"), width).alias("_bucket"))
+    found = weigh_points(points.select(*id_columns), stage(cut, "open-segments"), width=width)
+    return found.select(*id_columns, "interval_id")
 
 
-def uncovered(refs: DataFrame, points: DataFrame, width: int = BUCKET_US) -> DataFrame:
-    """References that contain none of the points."""
-    hit = points_in_intervals(points.select("well", "ts"), refs.select("well", "interval_id", "start_ts", "end_ts"), width=width)
-    return refs.join(hit.select("interval_id").distinct(), "interval_id", "left_anti")
+def uncovered(refs: DataFrame, points: DataFrame) -> DataFrame:
+    """References that contain none of the points: the first point from their start on is after their end."""
+    seekers = refs.select("well", F.col("start_ts").alias("ts"), F.lit(0).alias("_kind"), "interval_id", F.col("end_ts"))
+    seen = points.select("well", "ts", F.lit(1).alias("_kind"), F.col("ts").alias("_at"))
+    both = seekers.unionByName(seen, allowMissingColumns=True).withColumn("_slice", time_slice("ts", _SWEEP_US))
+    around = neighbours(both, ["well"], "_slice", ["ts", "_kind"], ["_at"]).where("_kind = 0")
+    hit = around.where(F.col("_at_next") <= F.col("end_ts"))
+    return refs.join(hit.select("interval_id"), "interval_id", "left_anti")
 
 
 def asof_nearest(
@@ -221,12 +321,6 @@ def map_groups(df: DataFrame, rules: CauseRules, cause: str = "cause", out: str
     return df.withColumn(out, mapped)
 
 
-def group_order(intervals: DataFrame, rules: CauseRules) -> DataFrame:
-    """Groups with anomalies and the row that introduced each: ``(cause_group, first_row)``."""
-    anomalies = intervals.where((F.col("label") == "anomaly") & (F.col("cause") != ""))
-    return map_groups(anomalies, rules).groupBy("cause_group").agg(F.min("row_id").alias("first_row"))
-
-
 def cause_references(intervals: DataFrame, causes: DataFrame) -> DataFrame:
     """Anomaly intervals whose cause is their well's cause."""
     return intervals.where(F.col("label") == "anomaly").join(causes, ["well", "cause"], "left_semi")

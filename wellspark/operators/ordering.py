@@ -9,10 +9,12 @@ what has to cross a chunk border travels either as copied border rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from wellspark.functions.scalar import floor_div, micros
@@ -55,16 +57,19 @@ def block_of(pos, rows: int = BLOCK_ROWS) -> Column:
     return floor_div(F.col(pos) - 1, rows)
 
 
-def with_halo(df: DataFrame, back: int, ahead: int = 0, pos: str = "pos", rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``_block`` and copies the ``back``/``ahead`` rows around each block into it.
+def with_halo(
+    df: DataFrame, back: int | Column, ahead: int | Column = 0, pos: str = "pos", rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Adds ``_block`` and copies the ``back``/``ahead`` rows around each block into it; they may be columns.
 
     Frames of at most ``back`` preceding and ``ahead`` following rows, partitioned by
     (key, ``_block``) and ordered by ``pos``, are then exact on the block's own rows;
     :func:`own_rows` removes the copies afterwards.
     """
     p = F.col(pos) - 1
-    first = F.greatest(floor_div(p - F.lit(ahead), rows), F.lit(0).cast("bigint"))
-    last = floor_div(p + F.lit(back), rows)
+    back, ahead = (c if isinstance(c, Column) else F.lit(c) for c in (back, ahead))
+    first = F.greatest(floor_div(p - ahead, rows), F.lit(0).cast("bigint"))
+    last = floor_div(p + back, rows)
     return df.withColumn("_block", F.explode(F.sequence(first, last)))
 
 
@@ -72,6 +77,21 @@ def own_rows(df: DataFrame, pos: str = "pos", rows: int = BLOCK_ROWS) -> DataFra
     return df.where(F.col("_block") == block_of(pos, rows))
 
 
+def on_blocks(df: DataFrame, fun: Callable[[pd.DataFrame], None], added: str) -> DataFrame:
+    """Runs ``fun`` on each block of :func:`with_halo`, in row order; it adds the columns of ``added`` (DDL) in place.
+
+    A block is ``BLOCK_ROWS`` rows and its halo, so each call's memory is bounded however long a series is.
+    """
+    new = StructType.fromDDL(added)
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos", ignore_index=True)
+        fun(rows)
+        return rows[(rows["pos"] - 1) // BLOCK_ROWS == rows["_block"]]
+
+    return df.groupBy("well", "_block").applyInPandas(block, StructType([*df.schema.fields, *new.fields]))
+
+
 def neighbours(
     df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], payloads: Sequence[str]
 ) -> DataFrame:

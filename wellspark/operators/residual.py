@@ -41,12 +41,16 @@ def squared_distance(columns: list[str], location, precision) -> Column:
     return total
 
 
-def _moments(points: DataFrame, columns: list[str], chosen: Column) -> tuple[int, np.ndarray, np.ndarray]:
-    """Weighted count, mean and population covariance of the chosen points: one aggregate of a few sums."""
+def _moments(points: DataFrame, columns: list[str], chosen: Column, about) -> tuple[int, np.ndarray, np.ndarray]:
+    """Weighted count, mean and population covariance of the chosen points: one aggregate of a few sums.
+
+    Values are taken relative to ``about``, a point among them, so that no digits are lost where they lie far from zero.
+    """
     w = F.when(chosen, F.col("weight")).otherwise(0)
-    sums = [F.sum(w)] + [F.sum(w * F.col(c)) for c in columns]
+    away = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, about)]
+    sums = [F.sum(w)] + [F.sum(w * x) for x in away]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums += [F.sum(w * F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]
+    sums += [F.sum(w * away[i] * away[j]) for i, j in pairs]
     row = points.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
     n = row[0] or 0
     if not n:
@@ -55,7 +59,7 @@ def _moments(points: DataFrame, columns: list[str], chosen: Column) -> tuple[int
     cov = np.zeros((len(columns),) * 2)
     for k, (i, j) in enumerate(pairs):
         cov[i, j] = cov[j, i] = row[1 + len(columns) + k] / n - mean[i] * mean[j]
-    return n, mean, cov
+    return n, mean + np.array(about, dtype=float), cov
 
 
 def _cut(points: DataFrame, distance: Column, prob: float) -> float:
@@ -117,7 +121,7 @@ def fit_residual_model(
         distance = squared_distance(columns, location, precision)
         # half-way between the h-th and the next distance, so exactly h points are closer
         chosen = distance <= F.lit(_cut(points, distance, (h - 0.5) / (n - 1))) if h < n else F.lit(True)
-        _, location, cov = _moments(points, columns, chosen)
+        _, location, cov = _moments(points, columns, chosen, location)
         if not _usable(cov):
             return None
         precision = np.linalg.inv(cov)
@@ -126,7 +130,7 @@ def fit_residual_model(
             break
     distance = squared_distance(columns, location, precision)
     correction = _cut(points, distance, 0.5) / CHI2_MEDIAN[p - 1]
-    kept, location, cov = _moments(points, columns, distance / F.lit(correction) < F.lit(CHI2_975[p - 1]))
+    kept, location, cov = _moments(points, columns, distance / F.lit(correction) < F.lit(CHI2_975[p - 1]), location)
     if not kept or not _usable(cov):
         return None
     precision = np.linalg.inv(cov)

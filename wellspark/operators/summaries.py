@@ -13,6 +13,7 @@ from wellspark.operators.intervals import map_groups, points_in_intervals, train
 from wellspark.operators.quantiles import exact_quantiles
 from wellspark.operators.thresholds import pool_features
 from wellspark.schema import CauseRules, Directions
+from wellspark.staging import stage
 
 _DELTAS = ("pressure_delta", "current_delta", "temperature_delta")
 SUMMARY_COLUMNS = (
@@ -33,6 +34,7 @@ def interval_stats(
     missing = {x: F.lit(None).cast("double") for x in extrema if x not in features.columns}
     points = features.withColumns(missing).select("well", "ts", p, c, t, "frequency", *_DELTAS, *extrema)
     pairs = points_in_intervals(points, intervals.select("interval_id", "well", "start_ts", "end_ts"))
+    pairs = stage(pairs.select("interval_id", p, c, t, "frequency", *_DELTAS, *extrema), "interval-points")
     stats = pairs.groupBy("interval_id").agg(
         F.avg(p).alias("pressure_mean"),
         F.stddev_pop(p).alias("pressure_std"),

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from wellspark.functions.scalar import is_inflow, is_leak, soften
 from wellspark.operators.baseline import unpivot
-from wellspark.operators.intervals import bucketed_coverage, group_order, map_groups, weigh_points, well_causes
+from wellspark.operators.intervals import bucketed_coverage, map_groups, weigh_points, well_causes
 from wellspark.operators.quantiles import cumulative_counts, exact_quantiles, value_counts
 from wellspark.schema import CauseRules, DetectSettings
 from wellspark.staging import stage
@@ -146,7 +146,6 @@ def well_rules(intervals: DataFrame, thresholds: DataFrame, cfg: DetectSettings)
 __all__ = [
     "FEATURE_LIMITS",
     "group_includes_normal",
-    "group_order",
     "group_thresholds",
     "outlier_scores",
     "pool_features",

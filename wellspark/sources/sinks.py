@@ -51,13 +51,17 @@ def write_detections(records: DataFrame, folder: str) -> None:
     write_json(written.orderBy("start", "well", "segment_type"), f"{folder}/anomaly_analysis.json")
 
 
-def settings_table(spark: SparkSession, cfg: DetectSettings) -> DataFrame:
-    """The settings of a run as ``(section, setting, value)`` rows."""
+def settings_rows(cfg: DetectSettings) -> list[tuple[str, str, str]]:
     rows = []
     for section, value in asdict(cfg).items():
         items = value.items() if isinstance(value, dict) else [("", value)]
         rows += [(section, str(name), str(v)) for name, v in items]
-    return spark.createDataFrame(rows, "section string, setting string, value string")
+    return rows
+
+
+def settings_table(spark: SparkSession, cfg: DetectSettings) -> DataFrame:
+    """The settings of a run as ``(section, setting, value)`` rows."""
+    return spark.createDataFrame(settings_rows(cfg), "section string, setting string, value string")
 
 
 def write_run_summary(thresholds: DataFrame, training: DataFrame, records: DataFrame, cfg: DetectSettings, folder: str) -> None:
