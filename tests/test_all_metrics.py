@@ -24,6 +24,14 @@ def test_fifth_metric(spark):
     run = Prepared(to_spark(spark, all_five), spark.createDataFrame([], NOTES), DetectSettings(align=AlignSettings("1h")))
     assert run.raw_base.columns[2:7] == [*METRICS, "Vibration"]
     assert "Vibration" in run.base.columns and "Vibration_outlier" in run.flagged.columns
+    extrema = {"Intake_Pressure_min", "Intake_Pressure_max"}
+    assert not extrema & set(run.metrics) and extrema < set(run.base.columns)
+    assert not {f"{c}_outlier" for c in extrema} & set(run.flagged.columns)
+    # Extrema are cleared with their metric's outliers and are neither filtered nor filled of their own.
+    joined = run.flagged.alias("a").join(run.raw_base.alias("b"), ["well", "ts"])
+    for c in extrema:
+        kept = F.when(~F.col("a.Intake_Pressure_outlier"), F.col(f"b.{c}"))
+        assert joined.where(~F.col(f"a.{c}").eqNullSafe(kept)).isEmpty()
     same = run.raw_base.where(~F.col("Vibration").eqNullSafe(F.col("Current")) & F.col("Current").isNotNull())
     assert run.raw_base.where("Vibration IS NOT NULL").count() > 0 and same.where("ts < '2024-03-05'").count() == 0
     named = align.build_base(to_spark(spark, all_five), AlignSettings("1h", metrics=METRICS))

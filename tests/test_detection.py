@@ -162,6 +162,40 @@ def test_residual_model_ignores_outliers(spark, active):
     assert residual.fit_residual_model(flat, spans, ResidualSettings()) is None
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_first_open_equals_brute_force(spark, seed):
+    """Slices of two hours, so that most intervals cover many of them; ends that touch; copies."""
+    rng = random.Random(seed)
+    rows = random_intervals(seed, 40, span=1500, longest=40) + [(i + 40, i + 40, *r[2:]) for i, r in enumerate(random_intervals(seed + 9, 12, span=1500, longest=1500))]
+    rng.shuffle(rows)
+    rows = [(i, i, *r[2:]) for i, r in enumerate(rows)]
+    rows += [(60, 60, *rows[0][2:]), (61, 61, "w0", "2023-12-31", "2023-12-31", "anomaly", "c"), (62, 62, "w1", "2023-12-20", "2024-02-01", "anomaly", "c")]
+    segments = intervals.first_open(intervals_frame(spark, rows), width=120 * 60 * 10**6).collect()
+    micros = lambda t: int(pd.Timestamp(t).value // 1000)
+    spans = [(i, w, micros(a), micros(b)) for i, _, w, a, b, _, _ in rows]
+    for well in ("w0", "w1"):
+        own = sorted((s.seg_start, s.seg_end, s.row_id) for s in segments if s.well == well)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:]))
+        ends = sorted({x + d for _, w, a, b in spans if w == well for x in (a, b) for d in (-1, 0, 1)})
+        for t in ends:
+            want = min((i for i, w, a, b in spans if w == well and a <= t <= b), default=None)
+            assert next((i for a, b, i in own if a <= t <= b), None) == want
+    assert intervals.first_open(intervals_frame(spark, rows[:1]).where("row_id < 0")).count() == 0
+
+
+def test_long_chains_of_edges(spark):
+    """A chain of pointers over many slices, and a run without an end."""
+    times = [*range(0, 200_000, 50), *range(300_000, 300_500, 7)]
+    want, last = [], None
+    for t in times:
+        if last is None or t - last >= 120:
+            last = t
+            want.append(t)
+    edges = points_frame(spark, pd.DataFrame({"well": "w", "ts": at(np.array(times)), "pos": np.arange(len(times)) * 3}))
+    got = sorted(int((pd.Timestamp(r.ts) - T0).total_seconds() // 60) for r in events.suppress_gap(edges, 120).collect())
+    assert got == want
+
+
 def test_edges_and_gap(spark):
     rng = np.random.default_rng(3)
     rows, want_edges, want_kept = [], [], []
@@ -275,7 +309,7 @@ def test_scalar_rules(spark):
 
 
 def test_first_trigger_edges(spark):
-    pdf = pd.DataFrame({"well": "w", "ts": at(np.arange(10) * 15), "pressure_delta": [0.5, 0.5, 0.0, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0], "current_delta": 0.1, "temperature_delta": 0.2})
+    pdf = pd.DataFrame({"well": "w", "ts": at(np.arange(10) * 15), "pos": np.arange(1, 11), "pressure_delta": [0.5, 0.5, 0.0, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0], "current_delta": 0.1, "temperature_delta": 0.2})
     pdf["pressure_slope"] = 1.0
     rules = spark.createDataFrame([("w", 0.1, 0.1)], "well string, thr_delta double, thr_slope double")
     spans = [(1, "w", 30, 135), (2, "w", 90, 135), (3, "other", 0, 60), (4, "w", 60, 60)]

@@ -1,5 +1,7 @@
 """Alignment, cleaning and features against pandas primitives."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -151,17 +153,27 @@ def pandas_clean(pdf, points, limit, n_sigma=3.0):
     return out
 
 
-@pytest.mark.parametrize("path", ["one block", "blocks", "arrays"])
+def short_blocks(monkeypatch):
+    for f in (ordering.with_halo, ordering.own_rows, ordering.on_blocks):
+        monkeypatch.setattr(f, "__defaults__", tuple(32 if v == 8192 else v for v in f.__defaults__))
+
+
+def frame_points(minutes, step):
+    points = max(round(minutes / step), 3)
+    return points + 1 - points % 2
+
+
+STEPS = {"one block": (15, 5, 30), "blocks": (15, 5, 30), "ten steps": (1, 2, 3, 4, 5, 6, 10, 15, 20, 30)}
+
+
+@pytest.mark.parametrize("path", STEPS)
 def test_clean_equals_pandas(spark, monkeypatch, path):
-    minutes = (15, 5, 30)
-    pdf = gappy(minutes=minutes)
-    sizes = {15: (5, 2), 5: (13, 6), 30: (3, 1)}  # 60 and 30 minutes as odd points and rows
+    minutes = STEPS[path]
+    pdf = gappy(minutes=minutes, wells=len(minutes), n=250 if path != "ten steps" else 90)
+    sizes = {m: (frame_points(60, m), round(30 / m)) for m in minutes}
+    assert path == "ten steps" or sizes == {15: (5, 2), 5: (13, 6), 30: (3, 1)}  # 60 and 30 minutes as odd points and rows
     if path != "one block":
-        monkeypatch.setattr(ordering, "BLOCK_ROWS", 32)
-        for f in (ordering.with_halo, ordering.own_rows):
-            monkeypatch.setattr(f, "__defaults__", tuple(32 if v == 8192 else v for v in f.__defaults__))
-    if path == "arrays":
-        monkeypatch.setattr(clean, "MAX_FRAMES", 1)
+        short_blocks(monkeypatch)
     got = clean.clean(base_frame(spark, pdf), CleanSettings(60, 3.0, 30)).orderBy("well", "ts").toPandas()
     for i, (well, own) in enumerate(got.groupby("well")):
         want = pandas_clean(pdf[pdf.well == well].reset_index(drop=True), *sizes[minutes[i]])
@@ -191,24 +203,27 @@ def pandas_delta(x, ts, w, s, mp):
     return ((now - before) / before.replace(0, np.nan)).replace([np.inf, -np.inf], np.nan).to_numpy()
 
 
-@pytest.mark.parametrize("path", ["one block", "blocks", "arrays"])
+@pytest.mark.parametrize("path", STEPS)
 def test_features_equal_pandas(spark, monkeypatch, path):
-    minutes = (15, 5, 30)
-    pdf = gappy(seed=8, minutes=minutes)
-    sizes = {15: (4, 2, 2), 5: (12, 6, 6), 30: (2, 1, 1)}
+    minutes = STEPS[path]
+    pdf = gappy(seed=8, minutes=minutes, wells=len(minutes), n=250 if path != "ten steps" else 90)
     if path != "one block":
-        for f in (ordering.with_halo, ordering.own_rows):
-            monkeypatch.setattr(f, "__defaults__", tuple(32 if v == 8192 else v for v in f.__defaults__))
-    if path == "arrays":
-        monkeypatch.setattr(features, "MAX_FRAMES", 0)
+        short_blocks(monkeypatch)
     cfg = FeatureSettings(60, 30, 30)
     got = features.feature_frame(base_frame(spark, pdf), None, cfg).orderBy("well", "ts").toPandas()
     names = {"pressure": "Intake_Pressure", "current": "Current", "temperature": "Motor_Temperature"}
-    for i, (well, own) in enumerate(got.groupby("well")):
+    for well, own in got.groupby("well"):
         src = pdf[pdf.well == well].reset_index(drop=True)
-        w, s, mp = sizes[minutes[i]]
+
+        def sizes(m):
+            step = src["ts"][src[m].notna()].diff().median().total_seconds() / 60
+            w = max(1, round(60 / step))
+            return w, max(1, round(30 / step)), max(1, math.ceil(w * 0.5))
+
         for n, m in names.items():
+            w, s, mp = sizes(m)
             np.testing.assert_allclose(own[f"{n}_delta"].astype(float), pandas_delta(src[m], src["ts"], w, s, mp), rtol=1e-9, atol=1e-9, err_msg=f"{well} {n}")
+        s = sizes("Intake_Pressure")[1]
         np.testing.assert_allclose(own["pressure_slope"].astype(float), src["Intake_Pressure"] - src["Intake_Pressure"].shift(s))
         assert own[["pressure_expected", "pressure_scale", "pressure_z"]].isna().all().all()
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wellspark.operators import ordering
-from wellspark.operators.clean import array_median
 from wellspark.operators.quantiles import exact_quantiles, value_bin
 from wellspark.operators.residual import ewma
 from wellspark.schema import DAY, MINUTE
@@ -118,11 +117,5 @@ def test_ewma(spark, lam):
         ewma(df, 0.0)
 
 
-def test_array_median(spark):
-    df = spark.createDataFrame([([3.0, None, 1.0],), ([],), ([None],), ([4.0, 1.0, 2.0, 9.0],)], "a array<double>")
-    got = [r.m for r in df.select(array_median(F.col("a")).alias("m")).collect()]
-    assert got == [2.0, None, None, 3.0]
-
-
 def test_minute_constant():
     assert DAY == 24 * 60 * MINUTE and math.isclose(DAY, 86_400e6)

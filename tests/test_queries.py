@@ -7,6 +7,8 @@ from tests.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 ORACLE = contract.oracle_sql()
+# On the smallest tables no model is fitted and no holdout well has a reference of its cause.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, con, name):
     problem = compare(contract.queries()[name](spark, SF_DIR), con, ORACLE[name])
-    assert problem in ("", "no rows")
+    assert problem == "" or problem == "no rows" and name in EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(ORACLE)))

@@ -77,17 +77,17 @@ def own_rows(df: DataFrame, pos: str = "pos", rows: int = BLOCK_ROWS) -> DataFra
     return df.where(F.col("_block") == block_of(pos, rows))
 
 
-def on_blocks(df: DataFrame, fun: Callable[[pd.DataFrame], None], added: str) -> DataFrame:
+def on_blocks(df: DataFrame, fun: Callable[[pd.DataFrame], None], added: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """Runs ``fun`` on each block of :func:`with_halo`, in row order; it adds the columns of ``added`` (DDL) in place.
 
-    A block is ``BLOCK_ROWS`` rows and its halo, so each call's memory is bounded however long a series is.
+    A block is ``rows`` rows and its halo, so each call's memory is bounded however long a series is.
     """
     new = StructType.fromDDL(added)
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", ignore_index=True)
-        fun(rows)
-        return rows[(rows["pos"] - 1) // BLOCK_ROWS == rows["_block"]]
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pos", ignore_index=True)
+        fun(part)
+        return part[(part["pos"] - 1) // rows == part["_block"]]
 
     return df.groupBy("well", "_block").applyInPandas(block, StructType([*df.schema.fields, *new.fields]))
 
