@@ -93,7 +93,7 @@ class Landmarks:
         self._value = dense[feature, self._landmark]
         self._first = np.searchsorted(feature, np.arange(len(used) + 2))
 
-    def products(self, words: list[str], block: int = 4096) -> np.ndarray:
+    def products(self, words: list[str], block: int = 1024) -> np.ndarray:
         """Kernel of each word with each landmark, over the landmark's kernel with itself: 1 if it is contained whole.
 
         Words of like length are handled together.

@@ -72,6 +72,10 @@ class ToxicityModel:
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
 
+    def forget(self) -> None:
+        """Drops the margins of words seen so far: a worker is used again by later stages."""
+        self._known.clear()
+
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
@@ -255,7 +259,7 @@ def fit_forms(found: list[str], labels: list[int], landmarks: int = LANDMARKS, r
         told = sorted({names[i] for i in x[target > 0].tolist()})
         spellings = [_disguised(t) for t in told]
         spans = np.concatenate(([0], np.cumsum([len(x) for x in spellings if x]))).astype(int)
-        fake = marks.products([d for x in spellings for d in x], block=1024) ** DEGREE
+        fake = marks.products([d for x in spellings for d in x]) ** DEGREE
         rows = np.concatenate((near[x], fake)) @ root
         target = np.concatenate((target, np.ones(len(fake))))
         weight = np.ones(len(target))
@@ -303,6 +307,7 @@ def _score(batches: Iterable[pa.RecordBatch], model: ToxicityModel) -> Iterator[
         margin, word = model.worst([words_of(t) for t in batch.column(1).to_pylist()])
         columns = [batch.column(0), pa.array(margin), pa.array(model.score(margin)), pa.array(word, type=pa.string())]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    model.forget()
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,6 +321,7 @@ def _keep(batches: Iterable[pa.RecordBatch], model: ToxicityModel, text_col: str
     for batch in slices(batches):
         margin, _ = model.worst([words_of(t) for t in batch.column(text_col).to_pylist()])
         yield batch.filter(pa.array(model.score(margin) < border))
+    model.forget()
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", border: float = 0.5) -> DataFrame:
