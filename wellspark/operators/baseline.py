@@ -12,7 +12,7 @@ from wellspark.functions.scalar import bin_center, freq_bin
 from wellspark.operators.intervals import bucketed_coverage, weigh_points
 from wellspark.operators.quantiles import exact_quantiles
 from wellspark.schema import FREQUENCY, MODELLED, BaselineSettings
-from wellspark.staging import stage
+from wellspark.staging import stage, together
 
 _SIGMA = 1.4826
 _TINY = 1e-6
@@ -83,14 +83,16 @@ def scale_profile(
     metric, and the metric has at least one bin.
     """
     values = unpivot(base, ["well"], metrics)
-    spread = median_and_spread(values, ["well", "metric"], "value").select("well", "metric", "spread")
     deviation = values.groupBy("well", "metric").agg(F.stddev_pop("value").alias("deviation"))
-    raw = F.when(F.col("spread") > 0, F.col("spread")).when(F.col("deviation") > 0, F.col("deviation")).otherwise(1.0)
-    fallback = spread.join(deviation, ["well", "metric"]).select("well", "metric", (raw * _SIGMA).alias("fallback"))
-
     at_bin = base.where(F.col(FREQUENCY).isNotNull()).groupBy("well", freq_bin(FREQUENCY, width).alias("bin_index"))
     scales = at_bin.agg(F.count("*").alias("_rows")).join(baseline.select("metric", "bin_index", "mad"), "bin_index")
-    found = exact_quantiles(scales, ["well", "metric"], "mad", {"found": 0.5}, "_rows").select("well", "metric", "found")
+    spread, found = together(
+        base.sparkSession,
+        lambda: median_and_spread(values, ["well", "metric"], "value").select("well", "metric", "spread"),
+        lambda: exact_quantiles(scales, ["well", "metric"], "mad", {"found": 0.5}, "_rows").select("well", "metric", "found"),
+    )
+    raw = F.when(F.col("spread") > 0, F.col("spread")).when(F.col("deviation") > 0, F.col("deviation")).otherwise(1.0)
+    fallback = spread.join(deviation, ["well", "metric"]).select("well", "metric", (raw * _SIGMA).alias("fallback"))
 
     with_frequency = base.where(F.col(FREQUENCY).isNotNull()).select("well").distinct()
     known = baseline.select("metric").distinct()

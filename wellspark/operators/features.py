@@ -14,7 +14,7 @@ from wellspark.operators.baseline import baseline_by_bin, scale_profile, unpivot
 from wellspark.operators.clean import sampling_step, whole_points
 from wellspark.operators.ordering import neighbours, on_blocks, with_halo
 from wellspark.schema import FREQUENCY, MODELLED, BaselineSettings, FeatureSettings
-from wellspark.staging import stage
+from wellspark.staging import stage, together
 
 FEATURES = (
     "pressure_delta", "pressure_slope", "current_delta", "temperature_delta",
@@ -47,11 +47,16 @@ def well_profile(
 ) -> DataFrame:
     """One row per well with every per-(well, metric) constant the features need, prefixed by feature name."""
     keys = ["well", "metric"]
-    rows = window_params(base, cfg)
     if baseline is None:
+        rows = window_params(base, cfg)
         rows = rows.withColumns({"fallback": F.lit(None).cast("double"), "fill": F.lit(None).cast("double")})
     else:
-        rows = rows.join(scale_profile(base, baseline, bcfg.bin_width), keys, "full")
+        sizes, scales = together(
+            base.sparkSession,
+            lambda: stage(window_params(base, cfg), "window-params"),
+            lambda: stage(scale_profile(base, baseline, bcfg.bin_width), "scales"),
+        )
+        rows = sizes.join(scales, keys, "full")
     columns = []
     for metric, name in MODELLED.items():
         own = F.col("metric") == metric

@@ -128,8 +128,11 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
 def bucketed_coverage(intervals: DataFrame, width: int = BUCKET_US) -> DataFrame:
     """Coverage cut along time buckets, the right side of :func:`weigh_points`.
 
-    Staged, so that its written size decides whether it is broadcast.
+    Staged, so that its written size decides whether it is broadcast. Given a result of its own it returns that, so
+    whatever pools points over intervals takes either.
     """
+    if {"seg_start", "_bucket"} <= set(intervals.columns):
+        return intervals
     segments = coverage(intervals)
     cut = segments.select("*", _buckets(F.col("seg_start"), F.col("seg_end"), width).alias("_bucket"))
     return stage(cut, "segments")

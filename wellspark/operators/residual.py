@@ -14,7 +14,7 @@ from wellspark.functions.scalar import floor_div
 from wellspark.operators.baseline import median_and_spread, unpivot
 from wellspark.operators.intervals import bucketed_coverage, weigh_points
 from wellspark.operators.ordering import BLOCK_ROWS, number_rows
-from wellspark.operators.quantiles import exact_quantiles
+from wellspark.operators.quantiles import exact_quantiles, value_bin
 from wellspark.schema import MODELLED, ResidualSettings
 from wellspark.staging import stage
 
@@ -41,25 +41,73 @@ def squared_distance(columns: list[str], location, precision) -> Column:
     return total
 
 
-def _moments(points: DataFrame, columns: list[str], chosen: Column, about) -> tuple[int, np.ndarray, np.ndarray]:
-    """Weighted count, mean and population covariance of the chosen points: one aggregate of a few sums.
+_COARSE = 16  # bins of the quantile scale taken together: steps of 0.8 % of a distance
+_PARTS, _FEW = 4096, 4096
 
-    Values are taken relative to ``about``, a point among them, so that no digits are lost where they lie far from zero.
+
+class _Sums:
+    """Weighted count, sums and sums of products of points relative to ``about``, a point among them, so that no
+    digits are lost where they lie far from zero. Sums of parts add up."""
+
+    def __init__(self, columns: list[str], about):
+        self.columns, self.about = columns, np.array(about, dtype=float)
+        self.pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+
+    def aggregates(self, chosen: Column | None = None) -> list[Column]:
+        w = F.col("weight") if chosen is None else F.when(chosen, F.col("weight")).otherwise(0)
+        away = [F.col(c) - F.lit(float(m)) for c, m in zip(self.columns, self.about)]
+        found = [w, *[w * x for x in away], *[w * away[i] * away[j] for i, j in self.pairs]]
+        return [F.sum(c).cast("double").alias(f"s{k}") for k, c in enumerate(found)]
+
+    def of_row(self, row) -> np.ndarray:
+        return np.array([row[f"s{k}"] or 0.0 for k in range(1 + len(self.columns) + len(self.pairs))])
+
+    def of_points(self, weight: np.ndarray, points: np.ndarray) -> np.ndarray:
+        away = points - self.about
+        return np.array([weight.sum(), *(weight[:, None] * away).sum(axis=0), *[(weight * away[:, i] * away[:, j]).sum() for i, j in self.pairs]])
+
+    def moments(self, sums: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Count, mean and population covariance."""
+        p, n = len(self.columns), sums[0]
+        if not n:
+            return 0, np.zeros(p), np.zeros((p, p))
+        mean, cov = sums[1 : 1 + p] / n, np.zeros((p, p))
+        for k, (i, j) in enumerate(self.pairs):
+            cov[i, j] = cov[j, i] = sums[1 + p + k] / n - mean[i] * mean[j]
+        return n, mean + self.about, cov
+
+
+def _closest(points: DataFrame, columns: list[str], location, precision, h: float):
+    """Moments of the ``h`` closest points, with all that are as far as the last of them.
+
+    Distances are counted in bins of a fixed scale, with each bin's sums, in one aggregate; the bins below the one that
+    holds the border are in for sure. That bin is looked into in ever smaller parts, until few points are left.
     """
-    w = F.when(chosen, F.col("weight")).otherwise(0)
-    away = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, about)]
-    sums = [F.sum(w)] + [F.sum(w * x) for x in away]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums += [F.sum(w * away[i] * away[j]) for i, j in pairs]
-    row = points.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
-    n = row[0] or 0
-    if not n:
-        return 0, np.zeros(len(columns)), np.zeros((len(columns),) * 2)
-    mean = np.array([row[1 + i] / n for i in range(len(columns))])
-    cov = np.zeros((len(columns),) * 2)
-    for k, (i, j) in enumerate(pairs):
-        cov[i, j] = cov[j, i] = row[1 + len(columns) + k] / n - mean[i] * mean[j]
-    return n, mean + np.array(about, dtype=float), cov
+    sums = _Sums(columns, location)
+    rows = points.withColumn("_d", squared_distance(columns, location, precision))
+    part, inside, missing = floor_div(value_bin(F.col("_d")), _COARSE), 0.0, h
+    ends = [F.min("_d").alias("low"), F.max("_d").alias("high"), F.count("*").alias("n")]
+    while True:
+        # At most as many rows as the scale has bins, or a bin parts.
+        found = sorted(rows.groupBy(part.alias("part")).agg(*sums.aggregates(), *ends).collect(), key=lambda r: r["part"])
+        for r in found:
+            own = sums.of_row(r)
+            if own[0] > missing:
+                break
+            inside, missing = inside + own, missing - own[0]
+        if missing <= 0:
+            return sums.moments(inside)
+        if r["low"] == r["high"]:
+            return sums.moments(inside + own)
+        rows = rows.where(F.col("_d").between(r["low"], r["high"]))
+        if r["n"] <= _FEW:
+            break
+        part = F.floor((F.col("_d") - F.lit(r["low"])) / F.lit((r["high"] - r["low"]) / _PARTS))
+    few = np.array([tuple(x) for x in rows.select("_d", "weight", *columns).collect()], dtype=float)
+    few = few[np.argsort(few[:, 0], kind="stable")]
+    border = few[min(np.searchsorted(np.cumsum(few[:, 1]), missing), len(few) - 1), 0]
+    few = few[few[:, 0] <= border]
+    return sums.moments(inside + sums.of_points(few[:, 1], few[:, 2:]))
 
 
 def _cut(points: DataFrame, distance: Column, prob: float) -> float:
@@ -84,7 +132,7 @@ def fit_residual_model(
 
     Concentration steps keep the ``h`` closest points and refit, until the determinant
     settles; then one consistency correction and one reweighting. The driver sees only
-    sums and one quantile per step.
+    sums by bins of distance and a few points at the border.
     """
     if not cfg.enabled:
         return None
@@ -118,10 +166,7 @@ def fit_residual_model(
     precision = np.diag([1.0 / s**2 for s in scales])
     determinant = None
     for _ in range(max(1, cfg.max_steps)):
-        distance = squared_distance(columns, location, precision)
-        # half-way between the h-th and the next distance, so exactly h points are closer
-        chosen = distance <= F.lit(_cut(points, distance, (h - 0.5) / (n - 1))) if h < n else F.lit(True)
-        _, location, cov = _moments(points, columns, chosen, location)
+        _, location, cov = _closest(points, columns, location, precision, h)
         if not _usable(cov):
             return None
         precision = np.linalg.inv(cov)
@@ -130,7 +175,9 @@ def fit_residual_model(
             break
     distance = squared_distance(columns, location, precision)
     correction = _cut(points, distance, 0.5) / CHI2_MEDIAN[p - 1]
-    kept, location, cov = _moments(points, columns, distance / F.lit(correction) < F.lit(CHI2_975[p - 1]), location)
+    sums = _Sums(columns, location)
+    near = points.agg(*sums.aggregates(distance / F.lit(correction) < F.lit(CHI2_975[p - 1]))).first()
+    kept, location, cov = sums.moments(sums.of_row(near))
     if not kept or not _usable(cov):
         return None
     precision = np.linalg.inv(cov)

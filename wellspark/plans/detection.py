@@ -22,11 +22,11 @@ from wellspark.staging import stage, together
 class Detection(Prepared):
     @cached_property
     def model(self) -> ResidualModel | None:
-        return fit_residual_model(self.features, self.train_normals, self.cfg.residual)
+        return fit_residual_model(self.features, self.train_segments, self.cfg.residual)
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        pool = train_or_all(self.normals, self.cfg.holdout)
+        pool = self.normal_segments if self.train_normals.isEmpty() else self.train_segments
         return stage(group_thresholds(self.features, self.intervals, pool, self.cfg), "thresholds")
 
     @cached_property
@@ -40,8 +40,8 @@ class Detection(Prepared):
     @cached_property
     def scored(self) -> DataFrame:
         spark = self.features.sparkSession
-        together(spark, lambda: self.model, lambda: self.rules, lambda: self.references)
-        return stage(score_points(self.features, self.rules, self.model, self.normals, self.cfg), "scored")
+        together(spark, lambda: self.model, lambda: self.rules, lambda: self.references, lambda: self.normal_segments)
+        return stage(score_points(self.features, self.rules, self.model, self.normal_segments, self.cfg), "scored")
 
     @cached_property
     def events(self) -> DataFrame:

@@ -12,7 +12,7 @@ from wellspark.operators.align import base_metrics, build_base, extrema_columns,
 from wellspark.operators.baseline import build_baseline
 from wellspark.operators.clean import clean
 from wellspark.operators.features import feature_frame
-from wellspark.operators.intervals import reference_intervals, split_holdout
+from wellspark.operators.intervals import bucketed_coverage, reference_intervals, split_holdout
 from wellspark.schema import DetectSettings
 from wellspark.staging import stage
 
@@ -62,15 +62,24 @@ class Prepared:
     def train_normals(self) -> DataFrame:
         return split_holdout(self.normals, self.cfg.holdout)
 
+    @cached_property
+    def normal_segments(self) -> DataFrame:
+        """Where normal intervals lie, and how many: what all pooling over them joins with."""
+        return bucketed_coverage(self.normals)
+
+    @cached_property
+    def train_segments(self) -> DataFrame:
+        return bucketed_coverage(self.train_normals)
+
     @cached_property
     def baseline(self) -> DataFrame:
         """Fitted on the training wells only."""
-        return stage(build_baseline(self.base, self.train_normals, self.cfg.baseline), "baseline")
+        return stage(build_baseline(self.base, self.train_segments, self.cfg.baseline), "baseline")
 
     @cached_property
     def full_baseline(self) -> DataFrame:
         """Fitted on every normal interval, as the reference analysis does."""
-        return stage(build_baseline(self.base, self.normals, self.cfg.baseline), "baseline-full")
+        return stage(build_baseline(self.base, self.normal_segments, self.cfg.baseline), "baseline-full")
 
     def features_with(self, baseline: DataFrame) -> DataFrame:
         extrema = [c for c in self.base.columns if c.endswith(("_min", "_max"))]
