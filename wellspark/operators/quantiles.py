@@ -27,7 +27,7 @@ def value_bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
 
 
-def _weighed(df: DataFrame, keys: Sequence[str], value: str, weight: str | None) -> DataFrame:
+def weighed(df: DataFrame, keys: Sequence[str], value: str, weight: str | None) -> DataFrame:
     """Usable values with their bin: ``(keys, _bin, _v, _c)``, one row per input row."""
     v = F.col(value).cast("double")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
@@ -35,11 +35,6 @@ def _weighed(df: DataFrame, keys: Sequence[str], value: str, weight: str | None)
     return rows.select(*keys, value_bin(v).alias("_bin"), v.alias("_v"), count.alias("_c"))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """Weighted count of each distinct non-null value, with its bin: ``(keys, _bin, _v, _c)``."""
-    return _weighed(df, keys, value, weight).groupBy(*keys, "_bin", "_v").agg(F.sum("_c").alias("_c"))
-
-
 def bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per bin: rows in it, rows in lower bins, rows of the key: ``(keys, _bin, _in, _below, _n)``."""
     order = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -56,13 +51,6 @@ def bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def cumulative_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds to each distinct value ``_upto`` (rows at or below it) and ``_n`` (rows of the key)."""
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    joined = counts.join(bin_offsets(counts, keys), [*keys, "_bin"])
-    return joined.withColumn("_upto", F.sum("_c").over(inside) + F.col("_below")).drop("_in", "_below")
-
-
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,7 +65,7 @@ def exact_quantiles(
     if not keys:
         tagged = df.withColumn("_all", F.lit(1))
         return exact_quantiles(tagged, ["_all"], value, probs, weight).drop("_all")
-    values = _weighed(df, keys, value, weight)
+    values = weighed(df, keys, value, weight)
 
     def rank(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_n") - 1)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wellspark.functions.scalar import is_inflow, is_leak, soften
 from wellspark.operators.baseline import unpivot
 from wellspark.operators.intervals import bucketed_coverage, map_groups, weigh_points, well_causes
-from wellspark.operators.quantiles import cumulative_counts, exact_quantiles, value_counts
+from wellspark.operators.quantiles import weighed
 from wellspark.schema import CauseRules, DetectSettings
 from wellspark.staging import stage
 
@@ -31,43 +32,81 @@ def pool_features(features: DataFrame, intervals: DataFrame) -> DataFrame:
     return rows.where(F.abs("value") <= limit)
 
 
-def outlier_scores(pool: DataFrame) -> DataFrame:
-    """Tail score of each distinct value of a feature: ``(feature, value, count, score)``.
-
-    The score is the negative log of the empirical tail probability, on the side the
-    distribution is skewed to or the rarer side, whichever is larger.
-    """
-    counts = value_counts(pool, ["feature"], "value", "weight")
-    mean = F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")
-    away = F.col("_v") - F.col("_mean")
-    lean = F.sum(F.col("_c") * away * away * away)
-    counts = stage(counts, "value-counts")
-    means = counts.groupBy("feature").agg(mean.alias("_mean"))
-    skew = counts.join(means, "feature").groupBy("feature").agg(F.signum(lean).alias("_skew"))
-    ranked = cumulative_counts(counts, ["feature"]).join(skew, "feature")
-    n = F.col("_n")
-    left = -F.log(F.col("_upto") / n)
-    right = -F.log((n - F.col("_upto") + F.col("_c")) / n)
+def _score(upto: Column, atleast: Column) -> Column:
+    """Tail score of values from the numbers of rows at or below and at or above them: the negative log of the
+    empirical tail probability, on the side the distribution is skewed to or the rarer side, whichever is larger."""
+    left, right = -F.log(upto / F.col("_n")), -F.log(atleast / F.col("_n"))
     sided = F.when(F.col("_skew") < 0, left).when(F.col("_skew") > 0, right).otherwise(left + right)
-    return ranked.select(
-        "feature", F.col("_v").alias("value"), F.col("_c").alias("count"), F.greatest(left, right, sided).alias("score")
+    return F.greatest(left, right, sided)
+
+
+def _tail_bins(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The values with their bins, and per bin between which scores those of its values lie:
+    ``(feature, _bin, _in, _below, _n, _skew, least, most, low, high)``."""
+    values = weighed(pool, ["feature"], "value", "weight")
+    away = F.abs("_v")
+    counted = values.groupBy("feature", "_bin").agg(
+        F.sum("_c").alias("_in"),
+        F.sum(F.col("_c") * F.col("_v")).alias("_sum"),
+        F.min(away).alias("least"),
+        F.max(away).alias("most"),
+        (F.min("_v") == F.max("_v")).alias("_single"),
     )
+    counted = stage(counted, "tail-bins")
+    means = counted.groupBy("feature").agg((F.sum("_sum") / F.sum("_in")).alias("_mean"))
+    off = F.col("_v") - F.col("_mean")
+    skew = values.join(means, "feature").groupBy("feature").agg(F.signum(F.sum(F.col("_c") * off * off * off)).alias("_skew"))
+    order = Window.partitionBy("feature").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    below, whole = F.sum("_in").over(order) - F.col("_in"), F.sum("_in").over(Window.partitionBy("feature"))
+    placed = counted.withColumns({"_below": below, "_n": whole}).join(skew, "feature")
+    # The fewest and the most rows that a value of the bin has on either side.
+    inside, above = F.col("_below") + F.col("_in"), F.col("_n") - F.col("_below")
+    low = _score(inside, above)
+    high = F.when(F.col("_single"), low).otherwise(_score(F.col("_below") + 1, above - F.col("_in") + 1))
+    return values, stage(placed.withColumns({"low": low, "high": high}).drop("_sum", "_single"), "tail-bounds")
 
 
 def tail_thresholds(pool: DataFrame, contamination: Mapping[str, float]) -> DataFrame:
     """Per feature the smallest magnitude scored as an outlier: ``(feature, <name>…)``.
 
+    A value is an outlier if its tail score is above a quantile of all scores. Scores of whole bins of values are bounded
+    by counts. The order statistics of all lower and of all upper bounds enclose that quantile's ranks, so only values
+    of bins that reach in between are exchanged and scored; all other bins are outliers, or are not, as a whole.
     Where nothing is an outlier the threshold is the largest magnitude. Features without values are absent.
     """
-    scores = stage(outlier_scores(pool), "scores")
-    probs = {f"_{name}": 1.0 - c for name, c in contamination.items()}
-    cuts = exact_quantiles(scores, ["feature"], "score", probs, "count")
-    size = F.abs("value")
-    found = []
-    for name in contamination:
-        outlier = F.min(F.when(F.col("score") > F.col(f"_{name}"), size))
-        found.append(F.coalesce(outlier, F.max(size)).alias(name))
-    return scores.join(cuts.drop("n"), "feature").groupBy("feature").agg(*found)
+    values, bins = _tail_bins(pool)
+    ranks = {f"{name}_{side}": f((F.lit(1.0 - c)) * (F.col("_n") - 1)) for name, c in contamination.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    upto = {b: F.sum("_in").over(Window.partitionBy("feature").orderBy(b)) for b in ("low", "high")}
+    summed = bins.withColumns({f"_upto_{b}": c for b, c in upto.items()})
+    bounds = [F.min(F.when(F.col(f"_upto_{b}") > k, F.col(b))).alias(f"{r}_{b}") for r, k in ranks.items() for b in ("low", "high")]
+    marked = bins.join(summed.groupBy("feature").agg(*bounds), "feature")
+    open_ = reduce(lambda a, b: a | b, [(F.col("high") >= F.col(f"{r}_low")) & (F.col("low") <= F.col(f"{r}_high")) for r in ranks])
+    marked = stage(marked.withColumn("_open", open_), "tail-marks")
+
+    near = values.join(marked.where("_open").select("feature", "_bin", "_below", "_n", "_skew"), ["feature", "_bin"])
+    near = near.groupBy("feature", "_bin", "_v", "_below", "_n", "_skew").agg(F.sum("_c").alias("_c"))
+    inside = Window.partitionBy("feature", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.sum("_c").over(inside) + F.col("_below")
+    scored = near.withColumn("_upto", reach).withColumn("score", _score(F.col("_upto"), F.col("_n") - F.col("_upto") + F.col("_c")))
+    scored = scored.withColumn("_order", F.sum("_c").over(Window.partitionBy("feature").orderBy("score")))
+    scored = stage(scored.select("feature", F.abs("_v").alias("size"), "score", "_order"), "tail-scores")
+
+    closed = ~F.col("_open")
+    under = [F.coalesce(F.sum(F.when(closed & (F.col("high") < F.col(f"{r}_low")), F.col("_in"))), F.lit(0)).alias(f"{r}_under") for r in ranks]
+    sure = [F.min(F.when(closed & (F.col("low") > F.col(f"{n}_hi_high")), F.col("least"))).alias(f"{n}_sure") for n in contamination]
+    totals = marked.groupBy("feature").agg(F.first("_n").alias("_n"), F.max("most").alias("most"), *under, *sure)
+    met = scored.join(totals, "feature")
+    picks = [F.min(F.when(F.col("_order") > k - F.col(f"{r}_under"), F.col("score"))).alias(r) for r, k in ranks.items()]
+    cuts = totals.join(met.groupBy("feature").agg(*picks), "feature")
+    for name, c in contamination.items():
+        rank = F.lit(1.0 - c) * (F.col("_n") - 1)
+        cuts = cuts.withColumn(f"{name}_cut", F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (rank - F.floor(rank)))
+    cuts = cuts.select("feature", "most", *[f"{n}_{c}" for n in contamination for c in ("cut", "sure")])
+    found = scored.join(cuts, "feature").groupBy("feature").agg(
+        *[F.least(F.min(F.when(F.col("score") > F.col(f"{n}_cut"), F.col("size"))), F.first(f"{n}_sure")).alias(n) for n in contamination],
+        F.first("most").alias("most"),
+    )
+    return found.select("feature", *[F.coalesce(n, "most").alias(n) for n in contamination])
 
 
 def group_includes_normal(intervals: DataFrame, rules: CauseRules) -> DataFrame:
@@ -147,7 +186,6 @@ __all__ = [
     "FEATURE_LIMITS",
     "group_includes_normal",
     "group_thresholds",
-    "outlier_scores",
     "pool_features",
     "resolve_thresholds",
     "tail_thresholds",
