@@ -1118,7 +1118,7 @@ def _(spark, d):
     return rounded(_drain(resample_stream(stream, "6 hours", "1 hour"), spark, "stream-bins"))
 
 
-@query("T2_stream_detector")
+@query("T2_stream_detector", f"SELECT well, ts, 'event' AS kind, {S.r6('pressure_delta', 'pressure_slope')} FROM live_kept JOIN live USING (well, ts)", "live_kept", "live")
 def _(spark, d):
     run = detection(spark, d)
     path = new_path(spark, "live-grid")
@@ -1126,7 +1126,7 @@ def _(spark, d):
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     sizes = features.window_params(run.base, run.cfg.features, ("Intake_Pressure",)).drop("metric")
     limits = stage(run.rules.join(sizes, "well"), "live-rules")
-    found = detect_stream(stream, run.baseline, limits, run.cfg.baseline.bin_width, run.cfg.gap_minutes)
+    found = detect_stream(stream, run.baseline, limits, run.cfg.baseline.bin_width, run.cfg.gap_minutes, delay_minutes=720)
     return rounded(_drain(found, spark, "stream-events"))
 
 

@@ -625,6 +625,30 @@ FROM (SELECT DISTINCT well, start_ts, end_ts FROM refs) p LEFT JOIN (
     "refs",
     "records",
 )
+cte(
+    "live",
+    """SELECT *, coalesce(abs(pressure_delta) >= thr_delta AND abs(pressure_slope) >= thr_slope, false) AS fires FROM (
+  SELECT well, ts, newest, pressure_slope, thr_delta, thr_slope, (pressure_now - before) / nullif(before, 0) AS pressure_delta FROM (
+    SELECT r.*, u.thr_delta, u.thr_slope, max(ts) OVER (PARTITION BY well) AS newest,
+      last_value(pressure_lagged IGNORE NULLS) OVER (PARTITION BY well ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before
+    FROM rolled r JOIN rules u USING (well)))
+WHERE ts <= newest - INTERVAL 720 MINUTE""",
+    "rolled",
+    "rules",
+)
+cte(
+    "live_edges",
+    "SELECT well, ts FROM (SELECT *, coalesce(lag(fires) OVER (PARTITION BY well ORDER BY ts), false) AS was FROM live) WHERE fires AND NOT was",
+    "live",
+)
+cte(
+    "live_kept",
+    """SELECT well, min(ts) AS ts FROM live_edges GROUP BY well
+UNION ALL
+SELECT k.well, (SELECT min(e.ts) FROM live_edges e WHERE e.well = k.well AND e.ts >= k.ts + INTERVAL 1440 MINUTE) AS ts
+FROM live_kept k WHERE EXISTS (SELECT 1 FROM live_edges e WHERE e.well = k.well AND e.ts >= k.ts + INTERVAL 1440 MINUTE)""",
+    "live_edges",
+)
 cte(
     "first_triggers",
     """SELECT a.well, a.interval_id, a.start_ts AS interval_start, a.end_ts AS interval_end, count(f.ts) AS evaluated_points,
