@@ -11,7 +11,7 @@ from tests.test_grid import random_samples, to_spark
 from wellspark.operators import align
 from wellspark.plans.detection import Detection
 from wellspark.schema import AlignSettings, DetectSettings
-from wellspark.sources import annotations, payload, sinks, telemetry
+from wellspark.sources import annotations, cells, payload, sinks, telemetry
 from wellspark.streaming.detector import detect_stream
 from wellspark.streaming.resample import resample_stream
 
@@ -179,3 +179,28 @@ def test_alignment_settings_reach_the_grid(spark):
     assert run.raw_base.where(F.minute("ts") != 0).isEmpty()
     assert run.intervals.isEmpty() and run.baseline.isEmpty() and run.model is None and run.thresholds.isEmpty()
     assert run.records.isEmpty()
+
+
+def test_cells_with_line_breaks(spark, tmp_path, monkeypatch):
+    """Records are those of Python's reader, whole and in blocks of a few bytes."""
+    import csv
+    import random
+
+    rng = random.Random(4)
+    pool = ["", "a", "b c", 'say "so"', "1,2", "line\nbreak", '"', "\n\n", "x" * 30, ",", "é"]
+    tables = [[[rng.choice(pool) for _ in range(rng.randint(2, 5))] for _ in range(40)] for _ in range(3)]
+    for i, rows in enumerate(tables):
+        with open(tmp_path / f"sheet{i}.csv", "w", newline="") as f:
+            csv.writer(f, lineterminator="\n").writerows(rows)
+    for size in ("128m", "97b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            found = cells.read_cells(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        for i, rows in enumerate(tables):
+            own = sorted((r["row_id"], r["cells"]) for r in found if r["source_id"].endswith(f"sheet{i}.csv"))
+            assert [n for n, _ in own] == list(range(len(rows)))
+            assert [[c or "" for c in r] for _, r in own] == rows
