@@ -53,7 +53,9 @@ class Detector(StatefulProcessor):
         order = np.argsort(us, kind="stable")
         us, x = us[order], x[order]
         due = us <= newest - self.delay
-        self.waiting.put([(int(a), float(b)) for a, b in zip(us[~due], x[~due])])
+        self.waiting.clear()
+        if not due.all():
+            self.waiting.put([(int(a), float(b)) for a, b in zip(us[~due], x[~due])])
         if due.any():
             us, x, past = us[due], x[due], len(history)
             w, s, mp = (int(limits[c]) for c in ("w", "s", "mp"))
