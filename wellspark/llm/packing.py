@@ -66,7 +66,7 @@ def cut_pieces(
     """Tokenised pieces, written once: ids in the vocabulary's width, and the piece's number ``nth``
     among those of its length in its ``slice`` of the table."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("body"))
-    return stage(rows.mapInArrow(lambda b: _cut(b, vocabulary, end_id, capacity), PIECES), "pieces")
+    return stage(rows.mapInArrow(lambda b: _cut(b, vocabulary, end_id, capacity), PIECES), "pieces", compression="zstd")
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
