@@ -42,8 +42,8 @@ def build(final: str, *deps: str) -> str:
 
 
 def digits(column: str) -> int:
-    """Decimals a column is compared at; products of two-decimal inputs would tie at six."""
-    return 8 if column.endswith(("_scale", "mad", "fallback", "fill")) else 6
+    """Decimals a column is compared at; products and means of two-decimal inputs would tie at six."""
+    return 8 if column.endswith(("_scale", "mad", "fallback", "fill", "_before")) else 6
 
 
 def r6(*columns: str) -> str:

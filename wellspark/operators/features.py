@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +105,17 @@ def lag_difference(x: str, order: WindowSpec, shift: int) -> Column:
     return F.col(x) - F.lag(x, shift).over(order)
 
 
+def _trailing_mean(x: pd.Series, w: int, mp: int) -> np.ndarray:
+    """Mean of the last ``w`` values, summed in their order; null with fewer than ``mp`` valid ones."""
+    valid = x.notna().to_numpy()
+    filled, n = np.where(valid, x.to_numpy(dtype=float, na_value=np.nan), 0.0), len(x)
+    total, count = np.zeros(n), np.zeros(n, dtype=np.int64)
+    for back in range(min(w, n) - 1, -1, -1):
+        total[back:] += filled[: n - back]
+        count[back:] += valid[: n - back]
+    return np.where(count >= mp, total / np.maximum(count, 1), np.nan)
+
+
 def _roll(names: Sequence[str]) -> Callable[[pd.DataFrame], None]:
     """Trailing mean, lagged trailing mean and lag difference with the well's own sizes."""
 
@@ -111,7 +123,7 @@ def _roll(names: Sequence[str]) -> Callable[[pd.DataFrame], None]:
         for n in names:
             x = rows[f"{n}_residual"]
             w, s, mp = (int(rows[f"{n}_{c}"].iloc[0]) for c in ("w", "s", "mp"))
-            rows[f"_{n}_now"] = x.rolling(w, min_periods=mp).mean()
+            rows[f"_{n}_now"] = _trailing_mean(x, w, mp)
             rows[f"_{n}_before"] = rows[f"_{n}_now"].shift(s)
             if n == "pressure":
                 rows["pressure_slope"] = x - x.shift(s)
