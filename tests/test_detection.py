@@ -59,6 +59,28 @@ def test_pairs_containment_and_uncovered(spark):
     assert left == {r[0] for r in rows} - {i for _, _, i in want}
 
 
+def test_pairs_of_a_busy_bucket_come_from_short_lists(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "_LISTED", 4)
+    rows = random_intervals(5, 80, span=300)
+    spans = intervals_frame(spark, rows).select("interval_id", "well", "start_ts", "end_ts")
+    pdf = pd.DataFrame({"well": ["w0", "w1"] * 30, "ts": at(np.arange(60) * 10)})
+    got = intervals.points_in_intervals(points_frame(spark, pdf), spans).collect()
+    want = sorted((r.well, r.ts, i) for r in pdf.itertuples() for i, _, w, a, b, _, _ in rows if w == r.well and pd.Timestamp(a) <= r.ts <= pd.Timestamp(b))
+    assert sorted((r.well, pd.Timestamp(r.ts), r.interval_id) for r in got) == want
+
+
+def test_spans_hold_the_same_points(spark):
+    rows = random_intervals(6, 200)
+    times = [t for t in range(0, 3000, 60) if not 600 <= t < 2400]  # a day without any point
+    pdf = pd.DataFrame({"well": "w0", "ts": at(np.array(times))})
+    spans = intervals.point_spans(intervals_frame(spark, rows), points_frame(spark, pdf)).collect()
+    held = {}
+    for r in spans:
+        inside = [t for t in pdf.ts if r.well == "w0" and pd.Timestamp(r.start_ts) <= t <= pd.Timestamp(r.end_ts)]
+        assert held.setdefault(r.span, (r.well, inside)) == (r.well, inside)
+    assert len(spans) == 200 and len(held) < 200
+
+
 def test_clip_rules(spark):
     base = points_frame(spark, pd.DataFrame({"well": "w", "ts": at(np.arange(0, 600, 60))}))
     rules = CauseRules(anomaly=("leak", "both"), normal=("ok", "both"))
