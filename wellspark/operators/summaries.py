@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wellspark.functions.scalar import direction, minutes_between, notes_text
 from wellspark.operators.baseline import unpivot
-from wellspark.operators.intervals import map_groups, points_in_intervals, train_or_all
+from wellspark.operators.intervals import map_groups, point_spans, points_in_intervals, train_or_all
 from wellspark.operators.quantiles import exact_quantiles
 from wellspark.operators.thresholds import pool_features
 from wellspark.schema import CauseRules, Directions
@@ -27,15 +27,18 @@ def interval_stats(
 ) -> DataFrame:
     """Statistics of each interval that holds grid points (24 columns).
 
-    ``features`` carries the pressure extrema of the grid besides the feature columns, where there are any.
+    ``features`` carries the pressure extrema of the grid besides the feature columns, where there are any. Intervals
+    that hold the same points share their statistics (:func:`point_spans`), which are computed once.
     """
     p, c, t = "pressure", "current", "temperature"
     extrema = [f"Intake_Pressure_{side}" for side in ("min", "max")]
     missing = {x: F.lit(None).cast("double") for x in extrema if x not in features.columns}
     points = features.withColumns(missing).select("well", "ts", p, c, t, "frequency", *_DELTAS, *extrema)
-    pairs = points_in_intervals(points, intervals.select("interval_id", "well", "start_ts", "end_ts"))
-    pairs = stage(pairs.select("interval_id", p, c, t, "frequency", *_DELTAS, *extrema), "interval-points")
-    stats = pairs.groupBy("interval_id").agg(
+    spanned = stage(point_spans(intervals, points), "interval-spans")
+    spans = spanned.groupBy("span").agg(F.first("well").alias("well"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    pairs = points_in_intervals(points, spans)
+    pairs = stage(pairs.select("span", p, c, t, "frequency", *_DELTAS, *extrema), "interval-points")
+    stats = pairs.groupBy("span").agg(
         F.avg(p).alias("pressure_mean"),
         F.stddev_pop(p).alias("pressure_std"),
         F.min(p).alias("pressure_min"),
@@ -49,12 +52,12 @@ def interval_stats(
         F.stddev_pop(t).alias("temperature_std"),
         F.avg("frequency").alias("frequency_mean"),
     )
-    deltas = unpivot(pairs, ["interval_id"], _DELTAS)
-    middle = exact_quantiles(deltas, ["interval_id", "metric"], "value", {"median": 0.5})
-    medians = middle.groupBy("interval_id").agg(
+    deltas = unpivot(pairs, ["span"], _DELTAS)
+    middle = exact_quantiles(deltas, ["span", "metric"], "value", {"median": 0.5})
+    medians = middle.groupBy("span").agg(
         *[F.max(F.when(F.col("metric") == d, F.col("median"))).alias(f"{d}_median") for d in _DELTAS]
     )
-    rows = intervals.join(stats, "interval_id").join(medians, "interval_id", "left")
+    rows = spanned.join(stage(stats.join(medians, "span", "left"), "span-stats"), "span")
     return rows.select(
         "well",
         "label",
