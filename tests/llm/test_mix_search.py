@@ -59,6 +59,17 @@ def test_mix(spark):
     assert sorted(map(key, found)) == sorted(map(key, again))
 
 
+def test_schedule_is_in_training_order(spark):
+    docs = documents(spark)
+    mixed = sorted((r["row_id"] or 0, r["size"], r["place"], r["taken"], len(r["copies"])) for r in curriculum.mix(docs).collect())
+    planned = curriculum.schedule(curriculum.mix(docs))
+    places = [(r["position"] is None, r["position"] or 0.0, r["pass"] or 0) for r in planned.collect()]
+    assert places == sorted(places) and sum(1 for p in places if not p[0]) == sum(m[-1] for m in mixed)
+    found = curriculum.scheduled_documents(planned).collect()
+    assert sorted((r["row_id"] or 0, r["size"], r["taken"]) for r in found) == sorted((m[0], m[1], m[3]) for m in mixed)
+    assert curriculum.scheduled_documents(curriculum.schedule(curriculum.mix(nothing(spark)))).count() == 0
+
+
 def test_training_order(spark):
     docs = documents(spark)
     mixed = {r["row_id"]: r for r in curriculum.mix(docs).collect()}

@@ -93,8 +93,9 @@ def mix(
     drift: Sequence[float] = (1.5, 0.5),
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: ``(row_id, source, size, source_size, target, taken, copies, row)``.
+    """One row per document: ``(row_id, source, size, source_size, target, place, taken, copies, row)``.
 
+    ``place`` is the number of words before the document in its source's fixed order.
     ``copies`` lists what the mix takes: pass number, words (the first ones of the document where a
     target ends inside it) and training position. ``row`` is a struct of the ``carry`` columns.
     The weights of even-ranked sources (by name, from 1, null last) go from ``drift[0]`` to ``drift[1]`` of their mean over
@@ -142,12 +143,34 @@ def mix(
         "size",
         "source_size",
         "target",
+        (F.col("_base") + F.col("_in")).alias("place"),
         F.aggregate("_all", F.lit(0).cast("bigint"), lambda n, c: n + c["words"]).alias("taken"),
         F.filter("_all", lambda c: c["words"] > 0).alias("copies"),
         "row",
     )
 
 
+def schedule(mixed: DataFrame) -> DataFrame:
+    """The mix as a written table in training order: one row per copy, range-sorted by position, then one without a
+    position for each document of which nothing is taken: ``(row_id, source, size, source_size, target, place, pass,
+    words, position)``."""
+    kept = mixed.select("row_id", "source", "size", "source_size", "target", "place", F.explode_outer("copies").alias("copy"))
+    rows = stage(kept.select(*[c for c in kept.columns if c != "copy"], "copy.*"), "copies")
+    order = [F.col("position").asc_nulls_last(), F.col("pass")]
+    return stage(rows.repartitionByRange(*order).sortWithinPartitions(*order), "schedule")
+
+
+def scheduled_documents(planned: DataFrame, passes: int = 2) -> DataFrame:
+    """What a :func:`schedule` takes of each document: ``(row_id, size, source_size, target, taken, position_1, …)``."""
+    keys = ["row_id", "source", "size", "source_size", "target", "place"]
+    at = [F.max(F.when(F.col("pass") == p, F.col("position"))).alias(f"position_{p + 1}") for p in range(passes)]
+    # Only empty documents share a place; each of them is a row of the result.
+    rows = F.count_if(F.coalesce("pass", F.lit(0)) == 0).cast("int").alias("_rows")
+    found = planned.groupBy(*keys).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), *at, rows)
+    again = F.explode(F.array_repeat(F.lit(0), F.col("_rows"))).alias("_row")
+    return found.select("*", again).drop("_rows", "_row", "place", "source")
+
+
 def training_order(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The mixed documents themselves, in the columns of ``docs``, range-sorted by training position.
 
