@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.data import SYLLABLES, WITHOUT_ID, documents, rows, texts, words
 from tests.llm.test_duplicates import brute_groups
@@ -69,3 +71,28 @@ def test_one_id_for_several_texts(spark):
     docs = spark.createDataFrame([(2, a), (5, a), (5, b), (5, b), (6, b), (None, a)], "doc_id bigint, text string").repartition(3)
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in similar.keep_one(docs).collect())
     assert kept == sorted([(2, a), (5, b), (0, a)])
+
+
+def test_ball_hashing_finds_all_fingerprints_within_the_radius(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 63), 1 << 63, 60)
+    fps = [int(f) for f in base] + [int(f) ^ (1 << int(b)) for f in base for b in rng.integers(0, 63, 2)] + [int(base[0])]
+    named = spark.createDataFrame(list(enumerate(fps)), "node bigint, fp bigint")
+    near = {(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & ((1 << 64) - 1)).bit_count() <= 3}
+    group = {n: n for n in range(len(fps))}
+
+    def top(n):
+        return n if group[n] == n else top(group[n])
+
+    for r in similar.ball_pairs(named).collect():
+        assert (r["b"], r["a"]) in near
+        group[top(r["b"])] = top(r["a"])
+    assert all(top(a) == top(b) for a, b in near)
+
+
+def test_fingerprint_of_a_set():
+    text = " ".join(f"word{i}" for i in range(40_000))
+    one, two, other = similar.shingle_sets([text, text + " more", " ".join(f"other{i}" for i in range(90))])
+    assert similar.fingerprint(one[:0]) == 0
+    distance = ((similar.fingerprint(one) ^ similar.fingerprint(two)) & ((1 << 64) - 1)).bit_count()
+    assert distance <= 3 < ((similar.fingerprint(one) ^ similar.fingerprint(other)) & ((1 << 64) - 1)).bit_count()

@@ -2,8 +2,11 @@
 
 Two texts are near copies when the sets of their five-word shingles (ASCII lower case) have a Jaccard
 similarity of at least 0.8. Every link is verified on the whole sets; only its candidates are found by
-hashing: rows that agree on all five minima of one of 32 bands. A pair at similarity s has no common
-band with a chance of ``(1 - s^5)^32``: 3e-6 at 0.8, less above.
+hashing, in two steps. SimHash fingerprints of the sets meet by ball hashing first (``simhash``): those within
+3 of 64 bits are candidates, and what verifies makes the first groups. Fingerprints at a similarity of 0.8
+differ in about 10 bits, so most links there are beyond any ball that halves can guarantee. Candidates for
+these are rows that agree on all five minima of one of 32 bands and are still in different groups. A pair at
+similarity s has no common band with a chance of ``(1 - s^5)^32``: 3e-6 at 0.8, less above.
 
 Rows of one band meet. Two rounds verify the rows of each band against one of them, so a band with
 very many members costs one pair a member. What those rounds left in different groups is compared
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspark.llm import simhash
 from wellspark.llm.arrow import schema_of, slices, utf8
 from wellspark.llm.components import components
 from wellspark.llm.wordhash import mix, runs_of, word_hashes
@@ -38,10 +42,11 @@ ALIKE = 0.6
 HUB_ROUNDS = 2
 _BLOCK = 64
 _COLUMNS = 512
+_PRINTED = 16_384
 _random = np.random.default_rng(42)
 _FLIP = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
 _TIMES = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
-_SKETCH = "row_id bigint, twin bigint, node bigint, bands array<bigint>, minima binary"
+_SKETCH = "row_id bigint, twin bigint, node bigint, fp bigint, bands array<bigint>, minima binary"
 _NUMBER = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C13)
 
 
@@ -65,6 +70,15 @@ def digest(hashes: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of the set: the bits that more than half of its hashes have."""
+    up = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _PRINTED):
+        some = mix(hashes[at : at + _PRINTED]).view(np.uint8).reshape(-1, 8)
+        up += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * up > len(hashes)).view(np.int64)[0])
+
+
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least value of the set under each of the hash functions."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -90,6 +104,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0),
                 batch.column(1),
                 pa.array([digest(s) for s in sets], type=pa.int64()),
+                pa.array([fingerprint(s) for s in sets], type=pa.int64()),
                 pa.array([bands(v) for v in least], type=pa.list_(pa.int64())),
                 pa.array([(v >> np.uint64(48)).astype(np.uint8).tobytes() for v in least], type=pa.binary()),
             ],
@@ -164,6 +179,14 @@ def _left_apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(rest)
 
 
+def ball_pairs(named: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)`` among ``(node, fp)``: sets of one fingerprint, and a spanning forest of fingerprints within a ball."""
+    prints = stage(named.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    same = named.select("fp", F.col("node").alias("b")).join(prints, "fp").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
+    met = simhash.fingerprint_links(prints).union(same)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` with the group that the links put each into."""
     found = stage(components(links), "groups")
@@ -177,19 +200,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.xxhash64(text).alias("twin"), text.alias("body"))
     rows = rows.where("row_id IS NOT NULL")
     sketches = stage(rows.mapInArrow(_sketch, _SKETCH), "sketches")
-    named = sketches.groupBy("node").agg(F.min(F.struct("row_id", "twin")).alias("own"))
-    named = stage(named.select("node", "own", "own.row_id"), "nodes")
+    named = sketches.groupBy("node").agg(F.min(F.struct("row_id", "twin")).alias("own"), F.min("fp").alias("fp"))
+    named = stage(named.select("node", "own", "own.row_id", "fp"), "nodes")
     first = sketches.join(named, ["node", "row_id"], "left_semi").select("node", F.explode("bands").alias("band"))
     met = first.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = stage(first.join(met.select("band"), "band").select("band", "node").distinct(), "members")
-    links, groups = None, members.withColumn("group", F.col("node"))
+    links = _verify(stage(ball_pairs(named), "pairs"), named, rows)
+    groups = stage(_grouped(members, links), "grouped")
     for turn in range(HUB_ROUNDS):
         rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "group")
         hubs = groups.groupBy("band").agg(F.min(rank).alias("hub"))
         apart = groups.join(hubs, "band").where(F.col("hub.group") != F.col("group"))
         pairs = apart.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        found = _verify(stage(pairs, "pairs"), named, rows)
-        links = found if links is None else links.union(found)
+        links = links.union(_verify(stage(pairs, "pairs"), named, rows))
         groups = stage(_grouped(members, links), "grouped")
     ends = groups.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
     least = sketches.select("node", "minima").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
