@@ -36,6 +36,7 @@ from wellspark.llm.arrow import schema_of, slices
 
 MAX_TRAIN = 4000
 MAX_WORDS = 2000
+_BLOCK = 2048  # words compared with the landmarks at a time in training
 LANDMARKS = 64
 DEGREE = 2
 _SHORTEST, _LONGEST = 3, 12
@@ -110,8 +111,10 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps
     ridge[-1] *= 1e-3
     for _ in range(steps):
         active = y * (x1 @ w) < 1
-        xa = x1[active] * weight[active, None]
-        new = np.linalg.solve(x1[active].T @ xa + np.diag(ridge), xa.T @ y[active])
+        inside = x1[active]
+        xa = inside * weight[active, None]
+        new = np.linalg.solve(inside.T @ xa + np.diag(ridge), xa.T @ y[active])
+        del inside, xa
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -206,7 +209,7 @@ def fit_forms(found: list[str], labels: list[int], landmarks: int = LANDMARKS, r
     if not (y > 0).any() or not (y < 0).any():
         return ToxicityModel(None, np.empty(0), 0.0, 0.0, 20.0 if (y > 0).any() else -20.0)
     same: dict[str, str] = {}
-    forms = [dict.fromkeys(same.setdefault(f, f) for f in words.split()) for words in found]
+    forms = [tuple(dict.fromkeys(same.setdefault(f, f) for f in words.split())) for words in found]
     chosen = choose_landmarks([d for d, v in zip(forms, y) if v > 0], [d for d, v in zip(forms, y) if v < 0], landmarks)
     marks = kernel.Landmarks(chosen or ["^the$"])
     number: dict[str, int] = {}
@@ -221,8 +224,8 @@ def fit_forms(found: list[str], labels: list[int], landmarks: int = LANDMARKS, r
     row_of = np.zeros(len(vocabulary), dtype=np.int64)
     near = np.zeros((len(vocabulary) + 1, len(marks.words)), dtype=np.float32)
     size = 1
-    for at in range(0, len(vocabulary), 16_384):
-        block = marks.products(vocabulary[at : at + 16_384])
+    for at in range(0, len(vocabulary), _BLOCK):
+        block = marks.products(vocabulary[at : at + _BLOCK])
         some = np.flatnonzero(block.max(axis=1) > 0.1)
         row_of[at + some] = size + np.arange(len(some))
         near[size : size + len(some)] = block[some] ** DEGREE
@@ -259,7 +262,10 @@ def fit_forms(found: list[str], labels: list[int], landmarks: int = LANDMARKS, r
         told = sorted({names[i] for i in x[target > 0].tolist()})
         spellings = [_disguised(t) for t in told]
         spans = np.concatenate(([0], np.cumsum([len(x) for x in spellings if x]))).astype(int)
-        fake = marks.products([d for x in spellings for d in x]) ** DEGREE
+        plain = [d for x in spellings for d in x]
+        fake = np.zeros((len(plain), len(marks.words)))
+        for at in range(0, len(plain), _BLOCK):
+            fake[at : at + _BLOCK] = marks.products(plain[at : at + _BLOCK]) ** DEGREE
         rows = np.concatenate((near[x], fake)) @ root
         target = np.concatenate((target, np.ones(len(fake))))
         weight = np.ones(len(target))
