@@ -66,6 +66,42 @@ def test_chain_of_a_band(spark, monkeypatch):
     assert {r["row_id"]: r["component_id"] for r in found.collect()} == groups
 
 
+def alike_texts(n):
+    """Texts of one origin; two of them have a similarity of about 0.7, every tenth has a near copy."""
+    base = words(901, 150)
+    found = {i: changed(base, 5, 2000 + i) for i in range(n)}
+    return found | {n + i: found[i] + " more" for i in range(0, n, 10)}
+
+
+def test_texts_that_are_alike_are_not_written_as_pairs(spark, monkeypatch):
+    """No step makes more rows than the members of all bands, and those grow with the texts only."""
+    found, made = alike_texts(300), {}
+
+    def counted(df, name, *more):
+        out = staged(df, name, *more)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    staged = similar.stage
+    monkeypatch.setattr(similar, "stage", counted)
+    sets = {i: brute_set(t) for i, t in found.items()}
+    groups = brute_groups(sorted(sets), lambda a, b: brute_near(sets[a], sets[b]))
+    assert 100 < len(set(groups.values())) <= 300
+    result = similar.near_copies(spark.createDataFrame(list(found.items()), "doc_id bigint, text string"))
+    assert {r["row_id"]: r["component_id"] for r in result.collect()} == groups
+    assert 1000 < made["members"] and max(made.values()) == made["members"], made
+
+
+def test_chunks_of_a_band_meet(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(similar, "CHUNK_BYTES", 10 * similar._ROW_BYTES)
+    found = alike_texts(60)
+    sets = {i: brute_set(t) for i, t in found.items()}
+    groups = brute_groups(sorted(sets), lambda a, b: brute_near(sets[a], sets[b]))
+    result = similar.near_copies(spark.createDataFrame(list(found.items()), "doc_id bigint, text string"))
+    assert {r["row_id"]: r["component_id"] for r in result.collect()} == groups
+
+
 def test_one_id_for_several_texts(spark):
     a, b = " ".join(words(1, 50)), " ".join(words(2, 50))
     docs = spark.createDataFrame([(2, a), (5, a), (5, b), (5, b), (6, b), (None, a)], "doc_id bigint, text string").repartition(3)

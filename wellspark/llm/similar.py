@@ -11,8 +11,12 @@ similarity s has no common band with a chance of ``(1 - s^5)^32``: 3e-6 at 0.8,
 Rows of one band meet. Two rounds verify the rows of each band against one of them, so a band with
 very many members costs one pair a member. What those rounds left in different groups is compared
 inside each band by all 160 minima, and every pair that agrees on at least 0.6 of them (a pair at 0.8
-agrees on fewer with a chance of about 1e-9) is verified too. Verified pairs do not depend on the
-order of rounds, since only pairs inside one group, which cannot change the groups, are left out.
+agrees on fewer with a chance of about 1e-9) is verified too. That happens where the rows meet, with their
+whole sets at hand: texts that are alike but under 0.8 are compared, never written as pairs, and a meeting
+gives at most one link less than it has rows. A band's rows are dealt into chunks of about 4 MB of sets and
+every two chunks meet in a cell of their own, so large bands spread over tasks of bounded memory. Verified
+pairs do not depend on the order of rounds, since only pairs inside one group, which cannot change the
+groups, are left out.
 
 Equal sets are one node from the start, so a group of exact copies of any size costs one row. Fewer
 words than a shingle count as one shingle; null and empty texts have the empty set and are copies of
@@ -40,7 +44,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 ALIKE = 0.6
 HUB_ROUNDS = 2
-_BLOCK = 64
+# Bytes of sets in a chunk of a band; no row counts for less than the least, so a chunk has about 512 rows at most.
+CHUNK_BYTES = 4 << 20
+_ROW_BYTES = 8 << 10
 _COLUMNS = 512
 _PRINTED = 16_384
 _random = np.random.default_rng(42)
@@ -128,55 +134,81 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], schema=schema)
 
 
+def _whole_sets(used: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, hashes)`` of the nodes in ``used``."""
+    wanted = stage(named.join(used, "node").select("row_id"), "wanted")
+    found = docs.join(wanted, "row_id", "left_semi").select("body").mapInArrow(_sets, "node bigint, hashes binary")
+    return stage(found.dropDuplicates(["node"]).join(used, "node", "left_semi"), "sets")
+
+
 def _verify(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose whole sets are similar."""
     used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stage(named.join(used, "node").select("row_id"), "wanted")
-    found = docs.join(wanted, "row_id", "left_semi").select("body").mapInArrow(_sets, "node bigint, hashes binary")
-    sets = stage(found.dropDuplicates(["node"]), "sets")
+    sets = _whole_sets(used, named, docs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b"
     )
     return stage(both.select("a", "b", "left", "right").mapInArrow(_verified, "a bigint, b bigint"), "verified")
 
 
-def _alike(group: np.ndarray, node: np.ndarray, least: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of one band's members in different groups that agree on enough minima."""
-    for at in range(0, len(node), _BLOCK):
-        end = min(at + _BLOCK, len(node))
-        for other in range(at, len(node), _BLOCK):
-            to = min(other + _BLOCK, len(node))
-            same = (least[at:end, None, :] == least[None, other:to, :]).mean(axis=2)
-            near = (same >= ALIKE) & (group[at:end, None] != group[None, other:to])
-            x, y = np.nonzero(near)
-            x, y = node[at + x], node[other + y]
-            yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+def _links(low: np.ndarray, node: np.ndarray, group: np.ndarray, least: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of similar sets in different groups that connect all such rows of one cell.
+
+    Rows of the low chunk meet those of the high one; in a cell of one chunk all rows meet each other.
+    """
+    links, group = [], group.copy()
+    left, right = np.flatnonzero(low), np.flatnonzero(~low)
+    size = np.array([len(x) for x in sets])
+    start = np.concatenate(([0], np.cumsum(size)))
+    named = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.zeros(start[-1] + 1, dtype=np.uint8)
+    for x in left.tolist():
+        others = right if len(right) else left[left > x]
+        others = others[(group[others] != group[x]) & (size[others] > 0)]
+        alike = (least[others] == least[x]).sum(axis=1, dtype=np.int64) >= ALIKE * BANDS * ROWS
+        others = others[alike]
+        if not len(others):
+            continue
+        own = named[start[x] : start[x + 1]]
+        held[own] = 1
+        met = held[np.concatenate([named[start[y] : start[y + 1]] for y in others.tolist()])]
+        held[own] = 0
+        common = np.add.reduceat(met, np.cumsum(size[others]) - size[others], dtype=np.int64)
+        near = others[common / (size[x] + size[others] - common) >= SIMILARITY]
+        joined, at = np.unique(group[near], return_index=True)
+        links += [(int(node[x]), int(node[y])) for y in near[at]]
+        group[np.isin(group, joined)] = group[x]
+    return links
 
 
 def _left_apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(band, node, group, minima)`` sorted by band to pairs; the open band is carried over."""
+    """Rows ``(band, first, second, low, node, group, minima, hashes)`` sorted by their cell, the first three, to links; the open cell is carried over."""
     schema = schema_of("a bigint, b bigint")
 
-    def pairs(rows):
-        for found in _alike(rows[2], rows[1], rows[3]):
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+    def linked(table):
+        low, node, group = (table.column(i).to_numpy() for i in (3, 4, 5))
+        least = np.frombuffer(b"".join(table.column(6).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+        links = _links(low.astype(bool), node, group, least, [np.frombuffer(x, dtype=np.uint64) for x in table.column(7).to_pylist()])
+        columns = [pa.array([pair[i] for pair in links], type=pa.int64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    rest = None
+    rest: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        least = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
-        now = [*plain, least]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        borders = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist()]
-        for a, b in zip(borders, borders[1:]):
-            yield from pairs([x[a:b] for x in now])
-        rest = [x[borders[-1] :] for x in now]
-    if rest is not None:
-        yield from pairs(rest)
+        cell = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        borders = (np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist()
+        if last is not None and (cell[:, 0] != last).any():
+            yield linked(pa.Table.from_batches(rest))
+            rest = []
+        for a, b in zip([0, *borders], borders):
+            yield linked(pa.Table.from_batches([*rest, batch.slice(a, b - a)]))
+            rest = []
+        rest.append(batch.slice(borders[-1] if borders else 0))
+        last = cell[:, -1]
+    if rest:
+        yield linked(pa.Table.from_batches(rest))
 
 
 def ball_pairs(named: DataFrame) -> DataFrame:
@@ -193,6 +225,25 @@ def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
 
 
+def _compared(groups: DataFrame, sketches: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the rows of a band that are still in different groups: every two of them are compared."""
+    ends = groups.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    apart = stage(groups.join(ends.select("band"), "band").select("band", "node", "group"), "apart")
+    used = apart.select("node").distinct()
+    least = sketches.select("node", "minima").join(used, "node", "left_semi").dropDuplicates(["node"])
+    weight = F.greatest(F.octet_length("hashes").cast("bigint"), F.lit(_ROW_BYTES))
+    sets = stage(_whole_sets(used, named, docs).join(least, "node").withColumn("weight", weight), "compared")
+    sums = apart.join(sets.select("node", "weight"), "node").groupBy("band").agg(F.ceil(F.sum("weight") / CHUNK_BYTES).alias("chunks"))
+    dealt = apart.join(sums, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    chunks = [F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second")]
+    cells = cells.select("band", *chunks, (F.col("chunk") <= F.col("other")).cast("int").alias("low"), "node", "group")
+    met = cells.join(sets.select("node", "minima", "hashes"), "node")
+    met = met.select("band", "first", "second", "low", "node", "group", "minima", "hashes")
+    met = met.repartition("band", "first", "second").sortWithinPartitions("band", "first", "second")
+    return stage(met.mapInArrow(_left_apart, "a bigint, b bigint"), "verified")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row_id, twin, component_id, component_twin)`` for every row with an id: the smallest row that links lead to.
     A row is named by its id and ``twin``, a hash of its text."""
@@ -214,12 +265,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = apart.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         links = links.union(_verify(stage(pairs, "pairs"), named, rows))
         groups = stage(_grouped(members, links), "grouped")
-    ends = groups.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    least = sketches.select("node", "minima").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    apart = groups.join(ends.select("band"), "band").join(least, "node").select("band", "node", "group", "minima")
-    apart = apart.repartition("band").sortWithinPartitions("band")
-    pairs = stage(apart.mapInArrow(_left_apart, "a bigint, b bigint").distinct(), "pairs")
-    links = links.union(_verify(pairs, named, rows))
+    links = links.union(_compared(groups, sketches, named, rows))
     named = stage(_grouped(named, links), "named")
     names = named.groupBy("group").agg(F.min("own").alias("least"))
     named = stage(named.join(names, "group").select("node", "least"), "components")
