@@ -133,6 +133,19 @@ def test_repeats_with_one_id_for_several_texts(spark):
     assert got == sorted((i, " ".join(w)) for i, w in want)
 
 
+def test_repeats_exchange_each_text_once(spark):
+    docs = documents(spark, [WITHOUT_ID, rows()[0]])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = substrings.without_repeats(docs)
+        cut.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    final = cut._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len([line for line in final.splitlines() if "ReusedExchange" in line and "body" in line]) == 1
+
+
 def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(nothing(spark)).count() == 0
 

@@ -200,11 +200,12 @@ def _open_windows(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator
 KEPT = "n_words bigint, n_removed bigint, kept string"
 
 
-def _cut(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterable[pa.RecordBatch], min_words: int, as_is: bool) -> Iterator[pa.RecordBatch]:
     schema = schema_of(KEPT)
     for batch in slices(batches):
         out = []
-        for text, ranges in zip(utf8(batch.column("body").to_pylist()), batch.column("ranges").to_pylist()):
+        bodies = batch.column("body").to_pylist()
+        for body, text, ranges in zip(bodies, utf8(bodies), batch.column("ranges").to_pylist()):
             words = text.split()
             total = len(words)
             if ranges:
@@ -212,7 +213,8 @@ def _cut(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.Recor
                 for r in ranges:
                     keep[r["start"] : r["start"] + r["n"] + min_words - 1] = False
                 words = [words[i] for i in np.flatnonzero(keep)]
-            out.append((total, total - len(words), b" ".join(words).decode("utf-8")))
+            kept = body if as_is and not ranges else b" ".join(words).decode("utf-8")
+            out.append((total, total - len(words), kept))
         found = batch_of(list(zip(*out)), schema.names, schema.types)
         carried = [batch.column("row_id"), batch.column("row")]
         yield pa.RecordBatch.from_arrays([*carried, *found.columns], names=["row_id", "row", *schema.names])
@@ -230,36 +232,39 @@ def remove_repeats(
     min_words: int = MIN_WORDS,
     anchor_words: int = ANCHOR_WORDS,
     carry: Sequence[str] = (),
+    as_is: bool = False,
 ) -> DataFrame:
     """``(row_id, row, n_words, n_removed, kept)``: each text without its repeated passages, words joined by a
-    space. ``row`` is a struct of the ``carry`` columns."""
+    space; with ``as_is`` a text without any comes as it is. ``row`` is a struct of the ``carry`` columns."""
     if not 0 < anchor_words <= min_words:
         raise ValueError("an anchor must fit into a window")
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("row_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("body"), row.alias("row")
     )
-    seeds = rows.where("row_id IS NOT NULL").select("row_id", "body", "twin").mapInArrow(lambda b: _seed(b, min_words, anchor_words), _ROW)
+    known = rows.where("row_id IS NOT NULL")
+    seeds = known.select("row_id", "body", "twin").mapInArrow(lambda b: _seed(b, min_words, anchor_words), _ROW)
     met = seeds.repartition("key").sortWithinPartitions("key", "extent", "row_id")
     found = stage(met.mapInArrow(_extend, _RANGE), "ranges")
     undecided = _by_document(found.where("open"))
-    # Both joins read the same columns of the same rows, so the texts are exchanged once.
+    # Both joins read the same columns of the same rows, so the texts are exchanged once. That needs the same filter on
+    # both sides: an inner join drops rows without an id by itself, a left join doesn't.
     both, inputs = ["row_id", "twin"], ["row_id", "twin", "body", "row", "ranges"]
-    single = rows.join(undecided, both).select(*inputs).mapInArrow(lambda b: _open_windows(b, min_words), _ROW)
+    single = known.join(undecided, both).select(*inputs).mapInArrow(lambda b: _open_windows(b, min_words), _ROW)
     compared = single.repartition("key").sortWithinPartitions("key", "row_id").mapInArrow(_extend, _RANGE)
-    removed = found.where("NOT open").unionByName(compared)
-    whole = rows.join(_by_document(removed), both, "left").select(*inputs)
+    removed = _by_document(found.where("NOT open").unionByName(compared))
+    whole = known.join(removed, both, "left").select(*inputs)
+    nameless = rows.where("row_id IS NULL").withColumn("ranges", F.lit(None).cast(removed.schema["ranges"].dataType))
     kind = rows.schema["row"].dataType.simpleString()
-    return whole.mapInArrow(lambda b: _cut(b, min_words), f"row_id bigint, row {kind}, {KEPT}")
+    return whole.unionByName(nameless).mapInArrow(lambda b: _cut(b, min_words, as_is), f"row_id bigint, row {kind}, {KEPT}")
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
     """``docs`` with each text, and its length, after :func:`remove_repeats`; texts without repeats are unchanged."""
-    found = remove_repeats(docs, text_col=text_col, carry=docs.columns, **options)
-    cut = F.col("n_removed") > 0
-    columns = {c: F.col("row")[c] for c in docs.columns}
-    columns[text_col] = F.when(cut, F.col("kept")).otherwise(columns[text_col])
+    others = [c for c in docs.columns if c != text_col]
+    found = remove_repeats(docs, text_col=text_col, carry=others, as_is=True, **options)
+    columns = {c: F.col("kept") if c == text_col else F.col("row")[c] for c in docs.columns}
     if length_col in columns:
         kind = docs.schema[length_col].dataType
-        columns[length_col] = F.when(cut, F.length("kept").cast(kind)).otherwise(columns[length_col])
+        columns[length_col] = F.when(F.col("n_removed") > 0, F.length("kept").cast(kind)).otherwise(columns[length_col])
     return found.select(*[c.alias(name) for name, c in columns.items()])
