@@ -103,6 +103,26 @@ def test_training_labels(spark):
     assert quality.score_documents(docs, quality.fit_model(docs, labels.where("quality > 5"))).count() == docs.count()
 
 
+def test_training_compares_words_in_tasks(spark, monkeypatch):
+    """The driver compares disguises of the chosen words with the landmarks, not the training documents' words; the model is the same."""
+    compared, products = [0], kernel.Landmarks.products
+
+    def counted(self, words, *more):
+        compared[0] += len(words)
+        return products(self, words, *more)
+
+    found = [(i, t + " " + " ".join(f"{w}q{i}" for w in words(i, 40)), y) for i, t, _, y in labelled()]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in found], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in found], "doc_id bigint, toxic int")
+    here = toxicity.fit([t for _, t, _ in found], [y for *_, y in found])
+    monkeypatch.setattr(kernel.Landmarks, "products", counted)
+    model = toxicity.fit_model(docs, labels)
+    assert compared[0] < 2000 < len({w for _, t, _ in found for w in t.split()}), compared
+    assert model.landmarks.words == here.landmarks.words
+    np.testing.assert_allclose(model.weights, here.weights, rtol=1e-9)
+    np.testing.assert_allclose([model.offset, model.slope, model.shift], [here.offset, here.slope, here.shift], rtol=1e-9)
+
+
 def test_quality_scores(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, len(quality.FEATURES)))

@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from wellspark.llm import kernel
 from wellspark.llm.arrow import schema_of, slices
+from wellspark.staging import stage
 
 MAX_TRAIN = 4000
 MAX_WORDS = 2000
@@ -44,6 +45,11 @@ _LEAST_GAIN = 5.0
 _CACHE_WORDS = 120_000
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S)+(?!\S)")
 _TRAINING = "doc_id bigint, label int, forms string"
+_COUNTS = "start boolean, word string, toxic bigint, clean bigint"
+_GAINS = "word string, gain double"
+_NEAR = "doc_id bigint, label int, pieces array<string>"
+_PICKED = "doc_id bigint, label int, rank int, piece string, near binary"
+_TOPS = "doc_id bigint, label int, margin double"
 SCORES = "row_id bigint, margin double, score double, word string"
 
 
@@ -139,41 +145,40 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(np.clip(shift, -slope, slope))
 
 
-def choose_landmarks(toxic: list[dict[str, None]], clean: list[dict[str, None]], count: int) -> list[str]:
-    """Marked beginnings of words, or whole words, by how surely they tell toxic documents, then the
-    commonest clean words.
-
-    Lengths are gone through upwards: a beginning is counted only if the one before was in several
-    toxic documents.
-    """
-    a, b = len(toxic), len(clean)
-
-    def gain(n: int, m: int) -> float:
-        """Log-likelihood ratio of the two shares of documents; 0 if the clean share is not far smaller."""
-        if m * a * 10 > n * b:
-            return 0.0
-        total = 0.0
-        for k, size in ((n, a), (m, b)):
-            for part, share in ((k, (n + m) / (a + b)), (size - k, 1 - (n + m) / (a + b))):
-                total += part * np.log(part / size / share) if part else 0.0
-        return total
-
-    gains: dict[str, float] = {}
-    open_: set[str] | None = None
-    for n in range(_SHORTEST, _LONGEST + 2):
-
-        def starts(words: dict[str, None], n=n) -> set[str]:
-            found = set()
-            for w in words:
-                if len(w) >= n - 1 and (open_ is None or f"^{w[: n - 1]}" in open_):
-                    found.add(f"^{w[:n]}" if len(w) >= n else f"^{w}$")
-            return found
-
-        up = Counter(w for words in toxic for w in starts(words))
-        up = {w: k for w, k in up.items() if k > 1}
-        down = Counter(w for words in clean for w in starts(words) if w in up)
-        gains |= {w: g for w, k in up.items() if (g := gain(k, down[w])) >= _LEAST_GAIN}
-        open_ = {w for w in up if not w.endswith("$")}
+def _starts(words: Iterable[str]) -> set[str]:
+    """Marked beginnings of words, and whole words up to ``_LONGEST``."""
+    found = set()
+    for w in words:
+        found.update(f"^{w[:n]}" for n in range(_SHORTEST, min(len(w), _LONGEST + 1) + 1))
+        if _SHORTEST - 1 <= len(w) <= _LONGEST:
+            found.add(f"^{w}$")
+    return found
+
+
+def count_documents(found: Iterable[str], toxic: Iterable[bool]) -> tuple[Counter, Counter, Counter]:
+    """In how many toxic and clean documents each beginning is, and in how many clean ones each word."""
+    up, down, common = Counter(), Counter(), Counter()
+    for forms, bad in zip(found, toxic):
+        words = set(forms.split())
+        (up if bad else down).update(_starts(words))
+        if not bad:
+            common.update(w for w in words if len(w) >= _SHORTEST)
+    return up, down, common
+
+
+def gain(n: int, m: int, a: int, b: int) -> float:
+    """Log-likelihood ratio of the shares n of a toxic and m of b clean documents; 0 if the clean share is not far smaller."""
+    if m * a * 10 > n * b:
+        return 0.0
+    total = 0.0
+    for k, size in ((n, a), (m, b)):
+        for part, share in ((k, (n + m) / (a + b)), (size - k, 1 - (n + m) / (a + b))):
+            total += part * np.log(part / size / share) if part else 0.0
+    return total
+
+
+def choose_landmarks(gains: dict[str, float], common: list[str], count: int) -> list[str]:
+    """Beginnings by how surely they tell toxic documents, none that another one begins with, then the commonest clean words."""
     best: list[str] = []
     for w in sorted(gains, key=lambda w: (-round(gains[w], 6), -len(w), w)):
         if len(best) >= count - count // 4:
@@ -181,8 +186,7 @@ def choose_landmarks(toxic: list[dict[str, None]], clean: list[dict[str, None]],
         bare = w.rstrip("$")
         if not any(bare.startswith(x.rstrip("$")) or x.startswith(bare) for x in best):
             best.append(w)
-    common = Counter(w for words in clean for w in words if len(w) >= _SHORTEST)
-    return best + [f"^{w}$" for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: count // 4]]
+    return best + [f"^{w}$" for w in common[: count // 4]]
 
 
 def _disguised(word: str) -> list[str]:
@@ -204,80 +208,102 @@ def _forms(text: str | None, most: int | None = None) -> str:
 
 
 def fit_forms(found: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> ToxicityModel:
-    """Model from the word forms of labelled documents."""
-    y = np.where(np.array(labels, dtype=int) > 0, 1.0, -1.0)
-    if not (y > 0).any() or not (y < 0).any():
-        return ToxicityModel(None, np.empty(0), 0.0, 0.0, 20.0 if (y > 0).any() else -20.0)
-    same: dict[str, str] = {}
-    forms = [tuple(dict.fromkeys(same.setdefault(f, f) for f in words.split())) for words in found]
-    chosen = choose_landmarks([d for d, v in zip(forms, y) if v > 0], [d for d, v in zip(forms, y) if v < 0], landmarks)
-    marks = kernel.Landmarks(chosen or ["^the$"])
+    """Model from the word forms of labelled documents held here."""
+    toxic = [y > 0 for y in labels]
+    a, b = sum(toxic), len(toxic) - sum(toxic)
+    if not a or not b:
+        return _one_kind(a > 0)
+    up, down, common = count_documents(found, toxic)
+    gains = {w: g for w, k in up.items() if k > 1 and (g := gain(k, down[w], a, b)) >= _LEAST_GAIN}
+    marks = kernel.Landmarks(choose_landmarks(gains, sorted(common, key=lambda w: (-common[w], w)), landmarks) or ["^the$"])
+    known = [doc for at in range(0, len(found), 64) for doc in near_landmarks(map(pieces_of, found[at : at + 64]), marks)]
+    number = {p: k for k, p in enumerate(dict.fromkeys(["", *(p for pieces, _ in known for p in pieces)]))}
+    known = [(sorted(pieces, key=number.get), near[sorted(range(len(pieces)), key=lambda k: number[pieces[k]])]) for pieces, near in known]
+
+    def picked(coef: np.ndarray | None, count: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+        some = [(pieces[k], near[k], bad) for (pieces, near), bad in zip(known, toxic) for k in telling(near, bad, coef, count)]
+        return np.array([x for _, x, _ in some]), [p for p, _, _ in some], np.array([bad for *_, bad in some])
+
+    def tops(coef: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([(near @ coef).max() if len(near) else 0.0 for _, near in known]), np.array(toxic)
+
+    return _learn(marks, landmarks, rounds, picked, tops)
+
+
+def _one_kind(toxic: bool) -> ToxicityModel:
+    return ToxicityModel(None, np.empty(0), 0.0, 0.0, 20.0 if toxic else -20.0)
+
+
+def pieces_of(forms: str) -> list[str]:
+    """The distinct pieces of a document's word forms in order."""
+    return list(dict.fromkeys(p for f in forms.split() for p in kernel.pieces(f)))
+
+
+def near_landmarks(found: Iterable[list[str]], marks: kernel.Landmarks) -> list[tuple[list[str], np.ndarray]]:
+    """Of each document's pieces those that share something with a landmark, and their kernels; all others are one of zeros, the
+    empty piece."""
+    members = list(found)
     number: dict[str, int] = {}
-    members = []
-    for words in forms:
-        own = dict.fromkeys(number.setdefault(p, len(number)) for f in words for p in kernel.pieces(f))
-        members.append(np.array(list(own), dtype=np.int64))
-    del forms, same
-    vocabulary = list(number)
-    del number
-    # Words that hardly share anything with a landmark have one row of zeros together.
-    row_of = np.zeros(len(vocabulary), dtype=np.int64)
-    near = np.zeros((len(vocabulary) + 1, len(marks.words)), dtype=np.float32)
-    size = 1
-    for at in range(0, len(vocabulary), _BLOCK):
-        block = marks.products(vocabulary[at : at + _BLOCK])
+    distinct = list(dict.fromkeys(p for pieces in members for p in pieces))
+    kept = [np.zeros((1, len(marks.words)), dtype=np.float32)]
+    for at in range(0, len(distinct), _BLOCK):
+        block = marks.products(distinct[at : at + _BLOCK])
         some = np.flatnonzero(block.max(axis=1) > 0.1)
-        row_of[at + some] = size + np.arange(len(some))
-        near[size : size + len(some)] = block[some] ** DEGREE
-        size += len(some)
-    near = near[:size]
-    names = dict(zip(row_of.tolist(), vocabulary))
-    del vocabulary
-    members = [np.unique(row_of[m]) for m in members]
+        number.update(zip([distinct[at + k] for k in some.tolist()], range(len(number) + 1, len(number) + 1 + len(some))))
+        kept.append((block[some] ** DEGREE).astype(np.float32))
+    near = np.concatenate(kept)
+    out = []
+    for pieces in members:
+        own = [p for p in pieces if p in number]
+        names = [""] * (len(own) < len(pieces)) + own
+        out.append((names, near[[number.get(p, 0) for p in names]]))
+    return out
+
+
+def telling(near: np.ndarray, toxic: bool, coef: np.ndarray | None, count: int) -> np.ndarray:
+    """Which pieces stand for a document: of a clean one the four worst, of a toxic one the worst and all that hold one of the
+    first ``count`` landmarks whole. A toxic one without any likely piece is left out: its label says nothing about its words."""
+    share = near[:, :count].max(axis=1)
+    order = np.argsort(-(share if coef is None else near @ coef), kind="stable")
+    if not toxic:
+        return order[:4]
+    best = order[:6]
+    return best[(share[best] > 0.9**DEGREE) | ((np.arange(len(best)) == 0) & (share[best] > 0.5**DEGREE))]
+
+
+def _learn(marks: kernel.Landmarks, landmarks: int, rounds: int, picked: Callable, tops: Callable) -> ToxicityModel:
+    """Model from the pieces that ``picked`` finds to stand for the documents under the weights so far, and the documents' margins
+    that ``tops`` finds under the last ones."""
     values, vectors = np.linalg.eigh(marks.gram**DEGREE)
     # K(L, L)^-1/2; directions that the landmarks hardly span are damped.
     root = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
-    toxic_marks = len(marks.words) - min(len(marks.words), landmarks // 4)
-    margins = near[:, : max(1, toxic_marks)].max(axis=1)
+    count = max(1, len(marks.words) - min(len(marks.words), landmarks // 4))
     w = np.zeros(root.shape[1] + 1)
-    fake, spans = np.zeros((0, len(marks.words))), [0]
+    fake, spans, coef = np.zeros((0, len(marks.words))), [0], None
     for _ in range(rounds):
-        x, target = [], []
-        for m, v in zip(members, y):
-            if len(m) and v > 0:
-                # The worst word and all that hold a landmark whole. A document without any likely word
-                # is left out: its label says nothing about its words.
-                best = m[np.argsort(-margins[m], kind="stable")[:6]]
-                share = near[best, : max(1, toxic_marks)].max(axis=1)
-                likely = best[(share > 0.9**DEGREE) | ((np.arange(len(best)) == 0) & (share > 0.5**DEGREE))]
-                x.extend(likely)
-                target.extend([1.0] * len(likely))
-            elif len(m):
-                worst = m[np.argsort(-margins[m], kind="stable")[:4]]
-                x.extend(worst)
-                target.extend([-1.0] * len(worst))
-        x, target = np.array(x), np.array(target)
-        if not (target > 0).any():
+        x, names, toxic = picked(coef, count)
+        if not toxic.any():
             break
-        told = sorted({names[i] for i in x[target > 0].tolist()})
+        told = sorted({n for n, bad in zip(names, toxic.tolist()) if bad})
         spellings = [_disguised(t) for t in told]
-        spans = np.concatenate(([0], np.cumsum([len(x) for x in spellings if x]))).astype(int)
-        plain = [d for x in spellings for d in x]
+        spans = np.concatenate(([0], np.cumsum([len(s) for s in spellings if s]))).astype(int)
+        plain = [d for s in spellings for d in s]
         fake = np.zeros((len(plain), len(marks.words)))
         for at in range(0, len(plain), _BLOCK):
             fake[at : at + _BLOCK] = marks.products(plain[at : at + _BLOCK]) ** DEGREE
-        rows = np.concatenate((near[x], fake)) @ root
-        target = np.concatenate((target, np.ones(len(fake))))
+        rows = np.concatenate((x, fake)) @ root
+        target = np.concatenate((np.where(toxic, 1.0, -1.0), np.ones(len(fake))))
         weight = np.ones(len(target))
         up, real = target > 0, np.arange(len(target)) < len(x)
         weight[up & real] = (~up).sum() / 2 / max(1, (up & real).sum())
         weight[~real] = (~up).sum() / 4 / max(1, (~real).sum())
         w = _svm(rows, target, weight / len(weight), 1e-4)
-        margins = near @ (root @ w[:-1])
+        coef = root @ w[:-1]
     model = ToxicityModel(marks, root @ w[:-1], float(w[-1]), 1.0, 0.0)
-    worst = np.array([margins[m].max() if len(m) else 0.0 for m in members]) + model.offset
+    worst, toxic = tops(model.weights)
     weakest = np.minimum.reduceat(fake @ model.weights, spans[:-1]) + model.offset if len(fake) else np.empty(0)
-    model.slope, model.shift = _logistic(np.concatenate((worst, weakest)), np.concatenate((y, np.ones(len(weakest)))))
+    y = np.concatenate((np.where(toxic, 1.0, -1.0), np.ones(len(weakest))))
+    model.slope, model.shift = _logistic(np.concatenate((worst + model.offset, weakest)), y)
     return model
 
 
@@ -290,7 +316,7 @@ def _training_forms(batches: Iterable[pa.RecordBatch], max_words: int) -> Iterat
 
 def training_rows(
     docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_train: int = MAX_TRAIN, label: str = "toxic", max_words: int = MAX_WORDS
-) -> list:
+) -> DataFrame:
     """``(doc_id, label, forms)`` of at most ``max_train`` labelled documents, the same ones in every run."""
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marks = marks if learn is None else marks.where(learn)
@@ -299,12 +325,99 @@ def training_rows(
     # Of the rows of one id one is taken, so there are no more rows than chosen labels.
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     found = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return found.mapInArrow(lambda b: _training_forms(b, max_words), _TRAINING).collect()
+    return found.mapInArrow(lambda b: _training_forms(b, max_words), _TRAINING)
+
+
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = schema_of(_COUNTS)
+    for batch in slices(batches, size=512 << 10):
+        up, down, common = count_documents(batch.column(2).to_pylist(), [y > 0 for y in batch.column(1).to_pylist()])
+        words = list(up | down)
+        columns = [[True] * len(words) + [False] * len(common), words + list(common)]
+        columns += [[up[w] for w in words] + [0] * len(common), [down[w] for w in words] + list(common.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _gains(batches: Iterable[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [gain(n, m, a, b) for n, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        gains = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.float64())], schema=schema_of(_GAINS))
+        yield gains.filter(pa.array([g >= _LEAST_GAIN for g in found], type=pa.bool_()))
+
+
+def _near(batches: Iterable[pa.RecordBatch], marks: kernel.Landmarks) -> Iterator[pa.RecordBatch]:
+    schema = schema_of(_NEAR)
+    for batch in slices(batches):
+        pieces = [p for p, _ in near_landmarks(map(pieces_of, batch.column(2).to_pylist()), marks)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, type=schema.field(2).type)], schema=schema)
+
+
+def _documents(batch: pa.RecordBatch, marks: kernel.Landmarks) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """Kernels are made anew in each round: written out, they would be many times the texts."""
+    doc, label, pieces = (c.to_pylist() for c in batch.columns)
+    for i, y, (names, near) in zip(doc, label, near_landmarks(pieces, marks)):
+        yield i, y, names, near
+
+
+def _placed(near: DataFrame) -> DataFrame:
+    """``near`` with its pieces in the order of their first documents, so that equal margins are told apart alike in all documents;
+    the empty piece comes first."""
+    own = near.select("doc_id", "label", F.posexplode_outer("pieces").alias("at", "piece"))
+    first = own.where("piece IS NOT NULL").groupBy("piece").agg(F.min(F.struct("doc_id", "label", "at")).alias("first"))
+    key = F.when(F.col("piece").isNotNull(), F.struct((F.col("piece") != "").alias("some"), "first", "piece"))
+    placed = own.join(first, "piece", "left").groupBy("doc_id", "label").agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    return placed.select("doc_id", "label", F.col("keys.piece").alias("pieces"))
+
+
+def _picked(batches: Iterable[pa.RecordBatch], marks: kernel.Landmarks, coef: np.ndarray | None, count: int) -> Iterator[pa.RecordBatch]:
+    schema = schema_of(_PICKED)
+    for batch in slices(batches):
+        rows = [
+            (doc, label, rank, pieces[k], near[k].tobytes())
+            for doc, label, pieces, near in _documents(batch, marks)
+            for rank, k in enumerate(telling(near, label > 0, coef, count).tolist())
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _tops(batches: Iterable[pa.RecordBatch], marks: kernel.Landmarks, coef: np.ndarray) -> Iterator[pa.RecordBatch]:
+    schema = schema_of(_TOPS)
+    for batch in slices(batches):
+        margin = [float((near @ coef).max()) if len(near) else 0.0 for *_, near in _documents(batch, marks)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(margin, type=pa.float64())], schema=schema)
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_train: int = MAX_TRAIN) -> ToxicityModel:
-    rows = sorted(training_rows(docs, labels, learn, max_train), key=lambda r: (r["doc_id"], r["label"]))
-    return fit_forms([r["forms"] for r in rows], [r["label"] for r in rows])
+    """Model from labelled documents. Words are counted and compared with the landmarks in tasks; the driver is given counts of
+    telling beginnings, at most six pieces of a document and a margin for each."""
+    train = stage(training_rows(docs, labels, learn, max_train), "training")
+    seen = train.agg(F.count_if(F.col("label") > 0).alias("toxic"), F.count_if(F.col("label") <= 0).alias("clean")).first()
+    a, b = seen["toxic"], seen["clean"]
+    if not a or not b:
+        return _one_kind(a > 0)
+    counts = train.mapInArrow(_counts, _COUNTS).groupBy("start", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = stage(counts.where("NOT start OR toxic > 1"), "counts")
+    likely = counts.where("start").where(F.col("clean") * a * 10 <= F.col("toxic") * b).select("word", "toxic", "clean")
+    gains = {r["word"]: r["gain"] for r in likely.mapInArrow(lambda x: _gains(x, a, b), _GAINS).collect()}
+    common = counts.where("NOT start").orderBy(F.desc("clean"), "word").limit(LANDMARKS // 4)
+    marks = kernel.Landmarks(choose_landmarks(gains, [r["word"] for r in common.collect()], LANDMARKS) or ["^the$"])
+    width, order = len(marks.words), [("doc_id", "ascending"), ("label", "ascending")]
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    near = stage(train.repartition("doc_id").mapInArrow(lambda x: _near(x, shared.value), _NEAR), "near")
+    near = stage(_placed(near), "placed")
+
+    def picked(coef: np.ndarray | None, count: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+        some = near.mapInArrow(lambda x: _picked(x, shared.value, coef, count), _PICKED).toArrow().sort_by([*order, ("rank", "ascending")])
+        x = np.frombuffer(b"".join(some["near"].to_pylist()), dtype=np.float32).reshape(-1, width)
+        return x, some["piece"].to_pylist(), some["label"].to_numpy() > 0
+
+    def tops(coef: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = near.mapInArrow(lambda x: _tops(x, shared.value, coef), _TOPS).toArrow().sort_by(order)
+        return found["margin"].to_numpy(), found["label"].to_numpy() > 0
+
+    model = _learn(marks, LANDMARKS, 4, picked, tops)
+    shared.destroy()
+    return model
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
