@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.test_grid import intervals_frame
 from wellspark.functions import scalar as fn
 from wellspark.operators import evaluate, events, intervals, residual, thresholds
-from wellspark.schema import CauseProfile, CauseRules, DetectSettings, FeatureSettings, ResidualSettings
+from wellspark.schema import DAY, CauseProfile, CauseRules, DetectSettings, FeatureSettings, ResidualSettings
 
 T0 = pd.Timestamp("2024-01-01")
 
@@ -70,6 +70,32 @@ def test_pairs_of_a_busy_bucket_come_from_short_lists(spark, monkeypatch):
     assert sorted((r.well, pd.Timestamp(r.ts), r.interval_id) for r in got) == want
 
 
+def test_pairs_of_a_busy_bucket_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "_LISTED", 4)
+    monkeypatch.setattr(intervals, "_PAIRS", 100)
+    rows = random_intervals(7, 80, span=300)
+    spans = intervals_frame(spark, rows).select("interval_id", "well", "start_ts", "end_ts")
+    pdf = pd.DataFrame({"well": ["w0", "w1"] * 30, "ts": at(np.arange(60) * 10)})
+    pairs = intervals.points_in_intervals(points_frame(spark, pdf).coalesce(1), spans)
+    want = sorted((r.well, r.ts, i) for r in pdf.itertuples() for i, _, w, a, b, _, _ in rows if w == r.well and pd.Timestamp(a) <= r.ts <= pd.Timestamp(b))
+    assert sorted((r.well, pd.Timestamp(r.ts), r.interval_id) for r in pairs.collect()) == want
+    by_task = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 2 and max(r["count"] for r in by_task) < len(want) / 2  # two wells, a bucket each
+
+
+def test_pairs_are_written_in_a_few_bits(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    starts = rng.integers(0, 3 * DAY // 10**6, 3003)
+    spans = spark.createDataFrame(pd.DataFrame({"interval_id": rng.permutation(10**6)[:3003], "well": "w", "s": starts}))
+    spans = spans.select("interval_id", "well", *[F.timestamp_seconds(F.col("s") + x).cast("timestamp_ntz").alias(c) for c, x in (("start_ts", 0), ("end_ts", 86400))])
+    points = spark.createDataFrame(pd.DataFrame({"well": "w", "sample": rng.permutation(10**6)[:2000], "s": rng.integers(0, 4 * DAY // 10**6, 2000)}))
+    points = points.select("well", "sample", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+    pairs = intervals.points_in_intervals(points, spans, width=DAY // 6).select("sample", "interval_id")
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 0.4 * spark.read.parquet(str(tmp_path / "pairs")).count()
+
+
 def test_spans_hold_the_same_points(spark):
     rows = random_intervals(6, 200)
     times = [t for t in range(0, 3000, 60) if not 600 <= t < 2400]  # a day without any point
